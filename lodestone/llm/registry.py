@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, simhash
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_simhash": simhash.op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
