@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, chat, simhash, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_simhash": simhash.op2_simhash,
+    "op6_chat": chat.op6_chat,
+    "op8_topk": topk.op8_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": chat.SQL,
+    "op8_topk": topk.SQL,
+}
