@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +30,24 @@ from tokenizers import Tokenizer
 
 from .common import table
 
-#: Words whose ids a worker keeps between batches.
-CACHED_WORDS = 400_000
-#: Words longer than this are encoded anew each time.
-CACHED_WORD_CHARS = 256
+#: Pre-tokens whose ids a worker keeps between groups of texts.
+CACHED_PIECES = 300_000
+#: Characters of text that are encoded together.
+GROUP_CHARS = 2_000_000
+
+#: Texts of these characters alone are cut by ``SIMPLE_CUT``: they are stable
+#: under NFC, and Python lower-cases them as the library does.
+BEYOND_SIMPLE = re.compile("[^\x00-\u012f\u0131-\u017f]")
+SIMPLE_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
+#: The pattern that SIMPLE_CUT stands for.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_chars() -> list[str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 def public_path(name: str) -> str:
@@ -62,9 +77,21 @@ class PairIndexBpe:
         for token, i in self.special.items():
             self.names[i] = token
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.library = Tokenizer.from_file(path)
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        cuts = [x["pattern"].get("Regex") for x in spec["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        normal = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.simple = cuts == [CUT] and normal == ["NFC", "Replace", "Lowercase"]
+        if spec["decoder"] is not None or spec["model"]["type"] != "BPE":
+            raise ValueError("a BPE file without a decoder is needed")
+        self.path = path
+        self.spoken: pa.StringArray | None = None
+        self.library: Tokenizer | None = None
+        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_chars())})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = {"\n" + token: k for k, token in enumerate(self.special)}  # no pre-token starts with a line feed
+        self.ids = array("i", self.special.values())
+        self.first = array("q", range(len(self.special) + 1))
 
     # -- the pair occurrence index ------------------------------------------
 
@@ -143,61 +170,57 @@ class PairIndexBpe:
                 heapq.heappush(active, rank)
         return [tuple(x for x in ids[starts[w] : starts[w + 1]] if x >= 0) for w in range(len(tokens))]
 
-    # -- words and texts ----------------------------------------------------
-
-    def _learn(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Ids of words without white space, through the pre-tokens that are new."""
-        normal, cut = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
-        split = [[p for p, _ in cut(normal(w))] for w in words]
-        known = self.pieces
-        new = list(dict.fromkeys(p for parts in split for p in parts if p not in known))
-        fresh = dict(zip(new, self.merge_all(new), strict=True))
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            fresh |= dict(zip(more := list({p for parts in split for p in parts if p not in fresh}), self.merge_all(more), strict=True))
-        known.update((k, v) for k, v in fresh.items() if len(k) <= CACHED_WORD_CHARS)
-        get = lambda p: fresh[p] if p in fresh else known[p]
-        return {w: np.array([i for p in parts for i in get(p)], dtype=np.int32) for w, parts in zip(words, split, strict=True)}
+    # -- texts --------------------------------------------------------------
+
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
+        if self.simple and not BEYOND_SIMPLE.search(text):
+            return SIMPLE_CUT.findall(text.lower())
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        cut, normal = self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer
+        # as the library writes them, with one character a byte; the line feeds set them apart from plain ones
+        return ["\n\n" + p for p, _ in cut(normal.normalize_str(text) if normal else text)]
+
+    def _learn(self, new: list[str]) -> None:
+        written = [p[2:] if p.startswith("\n\n") else p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.bytes) for p in new]
+        for p, ids in zip(new, self.merge_all(written), strict=True):
+            self.number[p] = len(self.first) - 1
+            self.ids.extend(ids)
+            self.first.append(len(self.ids))
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts."""
-        parts: list[list[str]] = []
-        marks: dict[str, np.ndarray] = {}
+        flat: list[str] = []
+        rows = [0]
         for text in texts:
-            if self.special_re is not None and self.special_re.search(text):
-                row: list[str] = []
-                at = 0
+            at = 0
+            if self.special_re is not None:
                 for m in self.special_re.finditer(text):
-                    row += text[at : m.start()].replace("\n", " ").split(" ")
-                    key = "\n" + m.group()  # no word holds a line feed
-                    marks[key] = np.array([self.special[m.group()]], dtype=np.int32)
-                    row.append(key)
+                    flat += self.cut(text[at : m.start()])
+                    flat.append("\n" + m.group())
                     at = m.end()
-                row += text[at:].replace("\n", " ").split(" ")
-            else:
-                row = text.replace("\n", " ").split(" ")
-            parts.append(row)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        number: dict[str, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for row in parts for w in row), dtype=np.int64, count=sum(map(len, parts)))
-        words = self.words
-        learned = self._learn([w for w in number if w not in words and w not in marks])
-        every = [marks[w] if w in marks else words[w] if w in words else learned[w] for w in number]
-        words.update((w, v) for w, v in learned.items() if len(w) <= CACHED_WORD_CHARS)
-        sizes = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
-        store = np.concatenate(every) if every else np.zeros(0, np.int32)
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes[flat]
+            flat += self.cut(text[at:] if at else text)
+            rows.append(len(flat))
+        if len(self.number) > CACHED_PIECES:
+            self._forget()
+        number = self.number
+        if new := list({p for p in flat if p not in number}):
+            self._learn(new)
+        piece = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        first = np.array(self.first, dtype=np.int64)
+        n = np.diff(first)[piece]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = store[np.repeat(first[flat] - ends[:-1], n) + np.arange(ends[-1])]
-        rows = np.concatenate(([0], np.cumsum([len(r) for r in parts], dtype=np.int64)))
-        return ends[rows], ids
+        ids = np.array(self.ids, dtype=np.int32)[np.repeat(first[piece] - ends[:-1], n) + np.arange(ends[-1])]
+        return ends[np.array(rows)], ids
 
-    def decode_ids(self, ids: list[int]) -> str:
+    def decode_batch(self, lists: pa.ListArray) -> pa.StringArray:
         """Tokens joined by one space; without a decoder in the file, the library does the same."""
-        names = self.names
-        return " ".join([names[i] for i in ids])
+        if self.spoken is None:
+            self.spoken = pa.array(self.names, pa.string())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.spoken.take(lists.flatten())), " ")
 
 
 @lru_cache(maxsize=2)
@@ -205,10 +228,6 @@ def loaded(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-#: Characters of text that are encoded together.
-GROUP_CHARS = 8_000_000
-
-
 def _groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
@@ -222,40 +241,45 @@ def _groups(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns in ``keep`` and ``ids array<int>`` for every row of ``docs``."""
-    kept = [id_col, *keep]
-    frame = docs.select(*kept, F.col(text_col).alias("__text"))
+def _types(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+def _clean(texts: pa.Array) -> list[str]:
+    return [t or "" for t in texts.to_pylist()]
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """``id_col`` and ``ids array<int>`` for every row of ``docs``.
+
+    With ``decoded``, a column of that name holds what :func:`decode` makes of
+    the ids, made by the same worker.
+    """
+    frame = docs.select(id_col, F.col(text_col).alias("__text"))
+    names = [id_col, "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            texts = batch.column(len(kept))
-            for a, b in _groups(texts, GROUP_CHARS):
-                ends, ids = bpe.encode_batch([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            for a, b in _groups(batch.column(1), GROUP_CHARS):
+                ends, ids = bpe.encode_batch(_clean(batch.column(1).slice(a, b - a)))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(kept))), lists], names=[*kept, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, *([bpe.decode_batch(lists)] if decoded else [])], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{schema}, ids array<int>")
+    return frame.mapInArrow(run, f"{_types(frame.select(id_col))}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids, special tokens included."""
+    """``encoded`` with the text of its ids, special tokens included; null ids count as none."""
     names = [c for c in encoded.columns if c != out]
     frame = encoded.select(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(loaded(path).names, pa.string())
+        bpe = loaded(path)
         for batch in batches:
-            ids = batch.column(names.index(ids_col))
-            flat = table.take(ids.flatten())
-            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))).astype(np.int32)
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), flat), " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_batch(batch.column(names.index(ids_col)))], names=[*names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(run, f"{schema}, `{out}` string")
+    return frame.mapInArrow(run, f"{_types(frame)}, `{out}` string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
@@ -271,4 +295,4 @@ def digests(decoded: DataFrame) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encodes and decodes every whole text of ``documents``."""
     path = path or public_path("word_bpe_49k.json")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return digests(encode(table(spark, sf_dir, "documents"), path, decoded="decoded"))

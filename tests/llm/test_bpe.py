@@ -23,6 +23,19 @@ def ids_of(texts):
 HARD = ["", " ", "\n\t", "Hello, World's  end!", "<|endoftext|>a<|startoftext|>", "a" * 5000, "ΣΑΣ ΟΔΟΣ", "İstanbul ǅ", "é ạ̀  x y\u0085z\x1cw", "don't we'LL 12345 x‍y 😀😀", "aaaaaaa banana ananas", "x\x00y", "Ünïcödé ﬁ １２", "<|endoftext", "﻿bom"]
 
 
+def test_simple_cut_is_the_librarys():
+    every = [chr(c) for c in range(0x180)]
+    texts = [f"{a}{b}" for a in every for b in "a1' \x85"] + ["x".join(every), "".join(every).upper()]
+    assert not any(bpe.BEYOND_SIMPLE.search(t) for t in texts if "İ" not in t and not set(t) - set(every))
+    assert ids_of(texts) == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 3)
+    test_hard_texts()
+    test_hard_texts()
+
+
 def test_hard_texts():
     assert ids_of(HARD) == [LIB.encode(t, add_special_tokens=False).ids for t in HARD]
 
