@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, simhash, token_counts, topk
+from . import bpe, chat, langid, simhash, substrings, token_counts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_langid": langid.op5_langid,
     "op6_chat": chat.op6_chat,
     "op8_topk": topk.op8_topk,
+    "op9_substrings": substrings.op9_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
