@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, simhash, substrings, token_counts, topk
+from . import bpe, chat, decontaminate, langid, simhash, substrings, token_counts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat": chat.op6_chat,
     "op8_topk": topk.op8_topk,
     "op9_substrings": substrings.op9_substrings,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
