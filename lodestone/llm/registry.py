@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, simhash, substrings, token_counts, topk
+from . import bpe, chat, decontaminate, hmm, langid, simhash, substrings, token_counts, topk
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_simhash": simhash.op2_simhash,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_hmm": hmm.op4_hmm,
     "op5_langid": langid.op5_langid,
     "op6_chat": chat.op6_chat,
     "op8_topk": topk.op8_topk,
