@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, hmm, langid, simhash, substrings, token_counts, topk
+from . import bpe, chat, decontaminate, hmm, langid, simhash, substrings, token_counts, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_hmm": hmm.op4_hmm,
     "op5_langid": langid.op5_langid,
     "op6_chat": chat.op6_chat,
+    "op7_warc": warc.op7_warc,
     "op8_topk": topk.op8_topk,
     "op9_substrings": substrings.op9_substrings,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.SQL,
+    "op7_warc": warc.SQL,
     "op8_topk": topk.SQL,
 }
