@@ -1,13 +1,19 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints: A-Z lower-cased, words cut at ASCII white space, shingles of
-``width`` words (repeats count) hashed with XXH64, seed 42; a bit of the
-fingerprint is set if it is set in more than half the hashes.
-
-Links: two fingerprints within ``RADIUS`` differing bits agree on at least two
-of five bit ranges, so distinct fingerprints meet in ten tables keyed by two
-ranges each (at most ten short rows per fingerprint, never a pair).  Rows of
-equal keys lie together; tiles of them are compared bit-sliced: the 64 bit
+some words (repeats count) hashed with XXH64, seed 42; a bit of the fingerprint
+is set if it is set in more than half the hashes.  A wide fingerprint has
+further words of 64 bits, from the same hashes mixed with a constant.
+
+Links: fingerprints within ``radius`` differing bits.  Distinct fingerprints
+meet in tables, each keyed by some of the bits (a fixed number of short rows
+per fingerprint, never a pair).  In scheme ``EXACT`` two fingerprints within
+three bits agree on at least two of five bit ranges, so ten tables find every
+link.  In scheme ``WIDE``, 64 tables of 20 sampled bits find nine in ten links
+at a five-word similarity of 0.8, where 256 bits differ in about 39, and nearly
+all closer ones; its radius stands for a similarity of 0.77.
+
+Rows of equal keys lie together; tiles of them are compared bit-sliced: the bit
 planes of a block of lanes are stored vertically, a query's differences are
 added plane by plane into carry-save counters, and a block is abandoned as
 soon as all its lanes are beyond the radius.  A tile emits a spanning forest
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +42,40 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, table, written
 from .components import components
 
-RADIUS = 3
 SEED = 42
-#: Bit ranges of the five blocks: (shift, width).
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints that are compared with each other at once.
 TILE = 256
 #: Fingerprints of one key beyond which the key is cut into chunks.
 CHUNK = 2048
 #: Rows per hashing step, which bounds the unpacked bits of a long text.
-HASH_ROWS = 65_536
+HASH_ROWS = 32_768
+
+
+class Scheme(NamedTuple):
+    """What a fingerprint is, and which bits key a table."""
+
+    width: int
+    words: int
+    radius: int
+    tables: tuple[tuple[int, ...], ...]
+
+    def columns(self) -> list[str]:
+        return [f"f{k}" for k in range(self.words)]
+
+
+def _ranges() -> tuple[tuple[int, ...], ...]:
+    cuts = (0, 13, 26, 39, 52, 64)
+    blocks = [tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return tuple(x + y for x, y in combinations(blocks, 2))
+
+
+def _sampled(bits: int, size: int, tables: int) -> tuple[tuple[int, ...], ...]:
+    rng = np.random.default_rng(SEED)
+    return tuple(tuple(rng.permutation(bits)[:size].tolist()) for _ in range(tables))
+
+
+EXACT = Scheme(3, 1, 3, _ranges())
+WIDE = Scheme(5, 4, 44, _sampled(256, 20, 64))
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -57,59 +88,121 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.array([h(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(width)))], dtype=np.uint64)
 
 
-def fingerprint(text: str, width: int = 3) -> int:
-    """The fingerprint as an unsigned integer."""
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    if not word:
+        return hashes
+    x = (hashes ^ np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: str, width: int = EXACT.width, words: int = 1) -> np.ndarray:
+    """The fingerprint as unsigned words."""
     hashes = shingle_hashes(text, width)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), HASH_ROWS):
-        part = hashes[at : at + HASH_ROWS]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        part = np.stack([_mixed(hashes[at : at + HASH_ROWS], k) for k in range(words)], axis=1)
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` for every row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, f0, ..`` for every row; the columns hold 64 bits each as a signed long."""
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = scheme.columns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or "", width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py() or "", scheme.width, scheme.words) for t in batch.column(1)], dtype=np.uint64).reshape(-1, scheme.words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(scheme.words))], names=["doc_id", *names])
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long")
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
 
 
 # -- bit-sliced comparison ----------------------------------------------------
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 bit planes of the lanes, 64 lanes a word; lanes beyond the end repeat the last."""
+    """Bit planes of the lanes, 64 lanes a word; lanes beyond the end repeat the last."""
     n = -(-len(fps) // 64) * 64
-    padded = np.concatenate((fps, np.repeat(fps[-1:], n - len(fps))))
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    padded = np.concatenate((fps, np.repeat(fps[-1:], n - len(fps), axis=0)))
+    bits = np.unpackbits(padded.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def near(queries: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, lane) of all pairs within ``RADIUS``."""
+class Counters:
+    """Carry-save counters of many lanes at once, one bit of all counts an array."""
+
+    def __init__(self, radius: int, shape: tuple[int, int]) -> None:
+        self.radius, self.shape = radius, shape
+        self.sums = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
+        self.waiting: list[np.ndarray | None] = [None] * len(self.sums)
+        self.over = np.zeros(shape, np.uint64)
+
+    def add(self, bits: np.ndarray, level: int = 0) -> None:
+        """Two arrays of a level meet its sum in one full adder and give one carry."""
+        while level < len(self.sums):
+            other = self.waiting[level]
+            if other is None:
+                self.waiting[level] = bits
+                return
+            self.waiting[level] = None
+            own = self.sums[level]
+            half = own ^ bits
+            self.sums[level], bits = half ^ other, (own & bits) | (half & other)
+            level += 1
+        self.over |= bits
+
+    def beyond(self) -> np.ndarray:
+        """Lanes whose count exceeds the radius."""
+        for level, bits in enumerate(self.waiting):
+            if bits is not None:
+                self.waiting[level] = None
+                carry = self.sums[level] & bits
+                self.sums[level] = self.sums[level] ^ bits
+                if level + 1 == len(self.sums):
+                    self.over |= carry
+                else:
+                    later = self.waiting[level + 1]
+                    if later is None:
+                        self.waiting[level + 1] = carry
+                    else:
+                        self.waiting[level + 1] = None
+                        own = self.sums[level + 1]
+                        half = own ^ carry
+                        self.sums[level + 1] = half ^ later
+                        self._carry((own & carry) | (half & later), level + 2)
+        more, same = self.over.copy(), ~self.over
+        for level in range(len(self.sums) - 1, -1, -1):
+            if self.radius >> level & 1:
+                same &= self.sums[level]
+            else:
+                more |= same & self.sums[level]
+                same &= ~self.sums[level]
+        return more
+
+    def _carry(self, bits: np.ndarray, level: int) -> None:
+        if level >= len(self.sums):
+            self.over |= bits
+        else:
+            self.add(bits, level)
+
+
+def near(queries: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (query, lane) of all pairs within ``radius``; both are (fingerprint, word)."""
     sliced = planes(lanes)
+    every = np.uint64(0xFFFFFFFFFFFFFFFF)
     q_out, l_out = [], []
     for at in range(0, len(queries), TILE):
         part = queries[at : at + TILE]
-        flip = np.zeros(len(part), np.uint64)
-        one = np.zeros((len(part), sliced.shape[1]), np.uint64)
-        two, over = one.copy(), one.copy()
-        for bit in range(64):
-            flip = (np.uint64(0) - ((part >> np.uint64(bit)) & np.uint64(1)))[:, None]
-            differs = sliced[bit][None, :] ^ flip
-            carry = one & differs
-            one ^= differs
-            over |= two & carry
-            two ^= carry
-            if bit % 8 == 7 and bit >= 15 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
+        counters = Counters(radius, (len(part), sliced.shape[1]))
+        for bit in range(len(sliced)):
+            flip = (np.uint64(0) - ((part[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))[:, None]
+            counters.add(sliced[bit][None, :] ^ flip)
+            if bit % 32 == 31 and bit >= radius and bit + 1 < len(sliced) and (counters.beyond() == every).all():
                 break
         else:
-            hits = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : len(lanes)]
+            hits = np.unpackbits((~counters.beyond()).view(np.uint8), axis=1, bitorder="little")[:, : len(lanes)]
             q, lane = np.nonzero(hits)
             q_out.append(q + at)
             l_out.append(lane)
@@ -134,138 +227,176 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def linked(fps: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as fingerprints) that span all links within ``fps``, or between it and ``other``."""
+Rows = tuple[np.ndarray, np.ndarray]  # nodes, fingerprints
+
+
+def linked(rows: Rows, radius: int, other: Rows | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of nodes that span all links within ``rows``, or between them and ``other``."""
+    nodes, fps = rows
     if other is None:
-        q, lane = near(fps, fps)
+        q, lane = near(fps, fps, radius)
         keep = q < lane
-        q, lane, every = q[keep], lane[keep], fps
+        q, lane = q[keep], lane[keep]
     else:
-        q, lane = near(fps, other)
-        lane = lane + len(fps)
-        every = np.concatenate((fps, other))
+        q, lane = near(fps, other[1], radius)
+        lane, nodes = lane + len(fps), np.concatenate((nodes, other[0]))
     if not len(q):
-        return every[:0], every[:0]
-    root = forest(len(every), q, lane)
-    moved = np.nonzero(root != np.arange(len(every)))[0]
-    return every[moved], every[root[moved]]
+        return nodes[:0], nodes[:0]
+    root = forest(len(nodes), q, lane)
+    moved = np.nonzero(root != np.arange(len(nodes)))[0]
+    return nodes[moved], nodes[root[moved]]
+
+
+def _columns(batch: pa.RecordBatch, first: int, scheme: Scheme) -> np.ndarray:
+    return np.stack([batch.column(first + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(scheme.words)], axis=1)
+
+
+def _keys(scheme: Scheme):
+    """Rows (node, f0, ..): a row (key, node, f0, ..) for every table."""
+    tables = len(scheme.tables)
+    names = ["key", "node", *scheme.columns()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                fps = np.ascontiguousarray(_columns(batch, 1, scheme))
+                bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(np.int64)
+                keys = np.stack([(bits[:, t] << np.arange(len(t))).sum(axis=1) | k << 32 for k, t in enumerate(map(list, scheme.tables))], axis=1)
+                again = pa.array(np.repeat(np.arange(len(fps)), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(c.take(again) for c in batch.columns)], names=names)
+
+    return run
+
 
+_LINKS = "kind int, key long, chunk long, a long, b long"
 
-_OUT = ["kind", "key", "chunk", "a", "b"]
 
+def _out(kind: int, key: np.ndarray, chunk: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(key), pa.array(chunk), pa.array(a), pa.array(b)], names=["kind", "key", "chunk", "a", "b"])
 
-def _rows(kind: int, key: np.ndarray, chunk: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(chunk), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=_OUT)
 
+def _starts(k: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0], [len(k)])) if len(k) else np.zeros(1, int)
 
-def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key: links (kind 0), and rows of keys beyond a chunk (kind 1)."""
-    zeros = lambda n: np.zeros(n, np.int64)
-    keep_k, keep_f = zeros(0), np.zeros(0, np.uint64)
-    hot: int | None = None  # the key that is handed on, with the rows handed on so far
-    handed = 0
 
-    def tiles(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _compare_sorted(scheme: Scheme):
+    """Rows (key, node, f0, ..) sorted by key: links (kind 0), and rows of keys beyond a chunk (kind 1)."""
+
+    def tiles(k: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole keys, none beyond a chunk."""
         if len(k) < 2:
             return
         same = k[1:] == k[:-1]
         many = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        k, f = k[many], f[many]
-        starts = np.concatenate((np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0], [len(k)])) if len(k) else np.zeros(1, int)
+        k, nodes, fps = k[many], nodes[many], fps[many]
+        starts = _starts(k)
         at = 0
         while at < len(starts) - 1:
             to = max(at + 1, int(np.searchsorted(starts, starts[at] + TILE, side="right")) - 1)
-            a, b = linked(f[starts[at] : starts[to]])
+            part = slice(starts[at], starts[to])
+            own, one = np.unique(nodes[part], return_index=True)  # neighbouring keys may share fingerprints
+            a, b = linked((own, fps[part][one]), scheme.radius)
             if len(a):
-                yield _rows(0, zeros(len(a)), zeros(len(a)), a, b)
+                yield _out(0, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b)
             at = to
 
-    for batch in batches:
-        k = np.concatenate((keep_k, batch.column(0).to_numpy(zero_copy_only=False)))
-        f = np.concatenate((keep_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        starts = np.concatenate((np.nonzero(np.concatenate(([True], k[1:] != k[:-1])))[0], [len(k)])) if len(k) else np.zeros(1, int)
-        small = np.ones(len(k), bool)
-        for g in np.nonzero((np.diff(starts) > CHUNK) | (k[starts[:-1]] == hot if hot is not None and len(k) else False))[0] if len(k) else []:
-            s, e = int(starts[g]), int(starts[g + 1])
-            key = int(k[s])
-            if key != hot:
-                hot, handed = key, 0
-            small[s:e] = False
-            yield _rows(1, k[s:e], (handed + np.arange(e - s)) // CHUNK, f[s:e], f[s:e])
-            handed += e - s
-        last = int(starts[-2]) if len(k) else 0  # the last key may go on in the next batch
-        ready = small.copy()
-        ready[last:] = False
-        yield from tiles(k[ready], f[ready])
-        rest = small[last:]
-        keep_k, keep_f = k[last:][rest], f[last:][rest]
-    if len(keep_k):
-        yield from tiles(keep_k, keep_f)
-
-
-def _compare_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, side, fp) sorted so: links within a chunk or between two."""
-    at: tuple | None = None
-    sides: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if at is not None and sides[0]:
-            first = np.concatenate(sides[0])
-            if at[1] == at[2]:
-                a, b = linked(first)
-            elif sides[1]:
-                a, b = linked(first, np.concatenate(sides[1]))
-            else:
-                return
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        if not batch.num_rows:
-            continue
-        change = np.nonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))[0] + 1
-        for s, e in zip([0, *change], [*change, batch.num_rows], strict=True):
-            group = tuple(int(c[s]) for c in cols[:3])
-            if group != at:
-                yield from done()
-                at, sides = group, ([], [])
-            sides[int(cols[3][s])].append(cols[4][s:e].view(np.uint64))
-    yield from done()
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """``a, b``: links between distinct ``fp`` that span all pairs within the radius."""
-    spark = fps.sparkSession
-    parts = shuffle_partitions(spark)
-    keys = []
-    for number, (x, y) in enumerate(combinations(BLOCKS, 2)):
-        cut = [f"(shiftrightunsigned(fp, {s}) & {(1 << w) - 1})" for s, w in (x, y)]
-        keys.append(f"{number << 26} + shiftleft({cut[0]}, 13) + {cut[1]}")
-    keyed = fps.selectExpr(f"explode(array({', '.join(keys)})) AS key", "fp")
-    sorted_rows = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    found = written(sorted_rows.mapInArrow(_compare_sorted, "kind int, key long, chunk long, a long, b long"), "simhash-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, scheme.words), np.uint64))
+        hot: int | None = None  # the key that is handed on, with the rows handed on so far
+        handed = 0
+        for batch in batches:
+            new = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), _columns(batch, 2, scheme))
+            k, nodes, fps = (np.concatenate(x) for x in zip(kept, new, strict=True))
+            if not len(k):
+                continue
+            starts = _starts(k)
+            small = np.ones(len(k), bool)
+            large = np.diff(starts) > CHUNK
+            if hot is not None:
+                large |= k[starts[:-1]] == hot
+            for g in np.nonzero(large)[0]:
+                s, e = int(starts[g]), int(starts[g + 1])
+                if int(k[s]) != hot:
+                    hot, handed = int(k[s]), 0
+                small[s:e] = False
+                yield _out(1, k[s:e], (handed + np.arange(e - s)) // CHUNK, nodes[s:e], nodes[s:e])
+                handed += e - s
+            last = int(starts[-2])  # the last key may go on in the next batch
+            ready = small.copy()
+            ready[last:] = False
+            yield from tiles(k[ready], nodes[ready], fps[ready])
+            rest = small[last:]
+            kept = (k[last:][rest], nodes[last:][rest], fps[last:][rest])
+        yield from tiles(*kept)
+
+    return run
+
+
+def _compare_chunks(scheme: Scheme):
+    """Rows (key, lo, hi, side, node, f0, ..) sorted so: links within a chunk or between two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        sides: tuple[list[Rows], list[Rows]] = ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if sides[0] and (at[1] == at[2] or sides[1]):
+                whole = [tuple(np.concatenate(x) for x in zip(*side, strict=True)) if side else None for side in sides]
+                a, b = linked(whole[0], scheme.radius, whole[1])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            fps = _columns(batch, 5, scheme)
+            change = np.nonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0))[0] + 1
+            for s, e in zip([0, *change], [*change, batch.num_rows], strict=True):
+                group = tuple(int(c[s]) for c in cols[:3])
+                if group != at:
+                    yield from done()
+                    at, sides = group, ([], [])
+                sides[int(cols[3][s])].append((cols[4][s:e], fps[s:e]))
+        yield from done()
+
+    return run
+
+
+def links(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
+    """``a, b``: links between the nodes of ``distinct(node, f0, ..)`` that span all links found."""
+    parts = shuffle_partitions(distinct.sparkSession)
+    names = scheme.columns()
+    types = ", ".join(f"{c} long" for c in names)
+    own = distinct.select("node", *names)
+    keyed = own.mapInArrow(_keys(scheme), f"key long, node long, {types}")
+    found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_compare_sorted(scheme), _LINKS), "simhash-links")
     direct = found.where("kind = 0").select("a", "b")
-    hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("fp"))
+    hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("node"))
     if hot.isEmpty():
         return direct
     chunks = hot.groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
-    paired = hot.join(F.broadcast(chunks) if chunks.count() <= 100_000 else chunks, "key").select("key", "chunk", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    sided = paired.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "fp")
-    far = sided.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "fp").mapInArrow(_compare_chunks, "a long, b long")
+    paired = hot.join(chunks, "key").select("key", "chunk", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    sided = paired.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node")
+    full = sided.join(own, "node").select("key", "lo", "hi", "side", "node", *names)
+    far = full.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "node").mapInArrow(_compare_chunks(scheme), "a long, b long")
     return direct.unionByName(far)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    prints = written(fingerprints(docs, width, id_col, text_col), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")), "simhash-roots")
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = scheme.columns()
+    prints = written(fingerprints(docs, scheme, id_col, text_col), "simhash-prints")
+    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("least"))
+    # nodes hold from here on, as the table is written
+    node = F.col("f0") if scheme.words == 1 else F.monotonically_increasing_id()
+    distinct = written(distinct.select(node.alias("node"), *names, "least"), "simhash-distinct")
+    roots = components(links(distinct, scheme), "simhash-roots").withColumnRenamed("node", "member")
+    grouped = distinct.join(roots, distinct.node == roots.member, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = written(grouped.join(named, "root").select("fp", "component_id"), "simhash-members")
-    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = written(grouped.join(named, "root").select(*names, "component_id"), "simhash-members")
+    text = F.concat(*(F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)))
+    return prints.join(member, names).select("doc_id", text.alias("fingerprint"), "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

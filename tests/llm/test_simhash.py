@@ -75,36 +75,61 @@ def test_links_chains_and_hot_keys(spark, monkeypatch):
     for b in range(40):
         chain ^= 7 << b
         fps.add(chain)
+    fps = {f & (1 << 64) - 1 for f in fps}
     prints = list(enumerate(sorted(fps)))
     want = order(brute_components(prints))
     monkeypatch.setattr(simhash, "CHUNK", 128)
+    signed = lambda f: int(np.uint64(f).view(np.int64))
+    scheme = simhash.EXACT._replace(tables=(tuple(range(38, 64)), *simhash.EXACT.tables))
     for tile in (64, 256):
         monkeypatch.setattr(simhash, "TILE", tile)
-        signed = [(int(np.uint64(f).view(np.int64)),) for _, f in prints]
-        df = spark.createDataFrame(signed, "fp long")
         rows = []
-        key = sorted({(int(np.uint64(f)) >> 38, f) for _, f in prints})
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in key[i : i + 50]], pa.int64()), pa.array(np.array([f for _, f in key[i : i + 50]], np.uint64).view(np.int64))], names=["key", "fp"]) for i in range(0, len(key), 50)]
-        for out in simhash._compare_sorted(iter(batches)):
+        key = sorted((int(f) >> 38, signed(f)) for _, f in prints)
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[n] for x in key[i : i + 50]], pa.int64()) for n in (0, 1, 1)], names=["key", "node", "f0"]) for i in range(0, len(key), 50)]
+        for out in simhash._compare_sorted(scheme)(iter(batches)):
             rows += out.to_pylist()
         assert {r["key"] for r in rows if r["kind"] == 1} == {hot >> 38}
-        assert sum(r["kind"] for r in rows) <= sum(k == hot >> 38 for k, _ in key)
-        roots = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+        assert sum(r["kind"] for r in rows) == sum(k == hot >> 38 for k, _ in key)
+        df = spark.createDataFrame([(signed(f), signed(f)) for _, f in prints], "node long, f0 long")
+        roots = {r.node: r.root for r in components.components(simhash.links(df, scheme)).collect()}
         groups = {}
         for d, f in prints:
-            s = int(np.uint64(f).view(np.int64))
-            groups.setdefault(roots.get(s, s), []).append((d, f))
+            groups.setdefault(roots.get(signed(f), signed(f)), []).append((d, f))
         got = [(d, f"{f:016x}", min(x for x, _ in g)) for g in groups.values() for d, f in g]
         assert order(got) == want
 
 
+def test_wide_scheme_finds_near_copies(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(3000)]
+    rows, family = [], {}
+    for g in range(120):
+        base = rng.choice(words, 300).tolist()
+        for copy in range(3):
+            own = list(base)
+            for at in rng.choice(300, 5 * bool(copy), replace=False):
+                own[at] = "edited"
+            family[len(rows)] = g
+            rows.append((len(rows), " ".join(own), 0))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, f0 int"), simhash.WIDE).collect()}
+    assert all(family[d] == family[c] for d, c in got.items())
+    assert len(set(got.values())) <= 120 + 0.1 * 240  # nine in ten links
+    near = {i: simhash.fingerprint(t, 5, 4) for i, t, _ in rows}
+    brute = sum(int(np.bitwise_count(near[i] ^ near[j]).sum()) <= simhash.WIDE.radius for i in range(0, 360, 3) for j in (i + 1, i + 2))
+    assert brute >= 230
+
+
 def test_planes_and_forest():
     rng = np.random.default_rng(2)
-    fps = rng.integers(0, 2**64, 130, dtype=np.uint64)
-    fps[50:60] = fps[3] ^ np.uint64(5)
-    q, lane = simhash.near(fps, fps)
-    want = [(i, j) for i in range(130) for j in range(130) if int(fps[i] ^ fps[j]).bit_count() <= 3]
-    assert list(zip(q.tolist(), lane.tolist(), strict=True)) == want
+    for words, radius, flips in ((1, 3, 3), (4, 44, 60), (4, 7, 12), (2, 1, 2)):
+        fps = rng.integers(0, 2**64, (130, words), dtype=np.uint64)
+        for i in range(50, 90):
+            bits = np.unpackbits(fps[3].view(np.uint8), bitorder="little")
+            bits[rng.choice(64 * words, int(rng.integers(0, flips + 1)), replace=False)] ^= 1
+            fps[i] = np.packbits(bits, bitorder="little").view(np.uint64)
+        q, lane = simhash.near(fps, fps, radius)
+        want = [(i, j) for i in range(130) for j in range(130) if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radius]
+        assert list(zip(q.tolist(), lane.tolist(), strict=True)) == want
     path = np.arange(99)
     assert (simhash.forest(100, path, path + 1) == 0).all()
 
