@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lodestone.plans import ingest_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = [ingest_queries, search_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-10 passages by cosine for the vector with id 0."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(10).select(F.col("vec_id"))
+    """The ten best points by cosine for the vector with id 0."""
+    return search_queries.topk_cosine(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
