@@ -15,7 +15,7 @@ NO_RESPONSE, NOT_SELECTED, NO_REASON = "Please enter a response.", "No response
 def valid_request(json: Column) -> Column:
     """Whether a JSON text is a request: two non-empty arrays of well-formed entries."""
     r = F.from_json(json, REQUEST)
-    actions = (F.size(r.action_requests) > 0) & F.forall(r.action_requests, lambda a: a.name.isNotNull() & a.args.isNotNull())
+    actions = (F.size(r.action_requests) > 0) & F.forall(r.action_requests, lambda a: a["name"].isNotNull() & a.args.isNotNull())
     configs = (F.size(r.review_configs) > 0) & F.forall(r.review_configs, lambda c: c.action_name.isNotNull() & c.allowed_decisions.isNotNull())
     return F.coalesce(actions & configs, F.lit(False))
 

@@ -97,7 +97,7 @@ def tool_use_blocks(blocks: Column) -> Column:
     """``array<struct<id, name, args>>`` of the streamed calls with an id; unreadable arguments are ``{}``."""
     own = F.filter(blocks, lambda b: (b.type == "tool_use") & b.id.isNotNull())
     args = lambda b: F.when(F.try_parse_json(b.input).isNotNull(), b.input).otherwise("{}")
-    return F.transform(own, lambda b: F.struct(b.id.alias("id"), b.name.alias("name"), args(b).alias("args")))
+    return F.transform(own, lambda b: F.struct(b.id.alias("id"), b["name"].alias("name"), args(b).alias("args")))
 
 
 def changed_errors(errors: DataFrame) -> DataFrame:
