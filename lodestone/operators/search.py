@@ -65,10 +65,12 @@ def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str
     q_kind = queries.schema[query_id].dataType.simpleString()
     schema = f"query_id {q_kind}, id {kinds['id']}, score double"
     out = None
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(few) <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
     for block in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        rows = own.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).collect()
+        # hashed blocks hold about QUERY_BLOCK queries each
+        rows = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(([r.i for r in rows], np.array([r.v for r in rows], dtype=np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,9 @@ def chunked(articles: DataFrame, size: int = 800) -> DataFrame:
 
 @dataclass(frozen=True)
 class Engine:
-    """An index of passages ``chunk_id, location, source, text, embedding`` with an encoder and a generator."""
+    """Passages ``chunk_id, location, source, text`` and their index, which has an embedding too, with an encoder and a generator."""
 
+    passages: DataFrame
     index: DataFrame
     embedder: Embedder
     generator: Generator
@@ -38,7 +39,7 @@ class Engine:
     @classmethod
     def over(cls, passages: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, **settings) -> Engine:
         embedder = embedder or HashedEmbedder()
-        return cls(embedder.transform(passages, "text"), embedder, generator or Extractive(), **settings)
+        return cls(passages, embedder.transform(passages, "text"), embedder, generator or Extractive(), **settings)
 
     def rewrite(self, state: DataFrame) -> DataFrame:
         return state.withColumn("rewritten_query", clean_rewrite(self.generator.rewrite(F.col("question")), F.col("question")))
@@ -48,8 +49,8 @@ class Engine:
         queries = embed_queries(self.embedder, state.select("question_id", "rewritten_query"), "rewritten_query", self.prefix).select(F.col("question_id").alias("query_id"), "embedding")
         points = location_filter(self.index, location)
         found = search_many(points, queries, self.top_k, self.metric, id_col="chunk_id")
-        # texts are fetched for the hits alone
-        payload = points.select("chunk_id", "text", "location", "source")
+        # texts are fetched for the hits alone, from the passages, which need no encoding
+        payload = location_filter(self.passages, location).select("chunk_id", "text", "location", "source")
         named = found.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank").join(payload, "chunk_id")
         return named.select("question_id", "rank", "score", "chunk_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "location", "source")))
 
