@@ -59,6 +59,8 @@ END = "\n"
 GROUP_CHARS = 2_000_000
 #: Classes of a block of summed counts.
 BLOCK = 4096
+#: Groups of tasks whose sums are added up first.
+FANS = 64
 #: Learning sequences that run in lockstep.
 TOGETHER = 4096
 
@@ -334,7 +336,11 @@ def baum_welch(texts: DataFrame, base: Base, states: int = STATES, rounds: int =
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
 
-        summed = texts.select("classes").mapInArrow(expect, "block int, sums binary").repartition(min(blocks + 1, shuffle_partitions(spark)), "block").mapInArrow(add, "block int, sums binary").toArrow()
+        # in two steps, so that no task meets the sums of all others
+        each = texts.select("classes").mapInArrow(expect, "block int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FANS)))
+        parts = shuffle_partitions(spark)
+        some = each.repartition(parts, "part", "block").select("block", "sums").mapInArrow(add, "block int, sums binary")
+        summed = some.repartition(min(blocks + 1, parts), "block").mapInArrow(add, "block int, sums binary").toArrow()
         sums = Sums(classes, states)
         for k, x in zip(summed["block"].to_pylist(), summed["sums"].to_pylist(), strict=True):
             part = np.frombuffer(x, np.float64)
