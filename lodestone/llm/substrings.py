@@ -10,8 +10,9 @@ never cross documents.
    marks a place (winnowing; of near ties only as many as cover all windows).
    Equal strings hold an anchor of equal hash at the same offset, so the
    *context* of an anchor, the bytes of all strings that hold it, is all that
-   must be compared, and only with contexts of equal anchors.  Anchors are
-   shuffled as (hash of the anchor, hash of the context, text key, position).
+   must be compared, and only with contexts of equal anchors.  Anchors are kept
+   as (hash of the anchor, hash of the context, text key, position); counts are
+   combined before the shuffle, and joined back where a hot one can be split.
 3. Contexts that occur more than once are repeated as a whole, whatever their
    number.  One context of each kind is fetched if its anchor has several
    kinds; equal anchors go to the same task, which sorts the suffixes of its
@@ -19,8 +20,8 @@ never cross documents.
    merge) and compares adjacent prefixes.  This deals the corpus out by
    content instead of by rank: sorting all suffixes of the corpus in one order
    would shuffle every byte as a row of ranks at each level of the recursion.
-4. An anchor with more kinds of contexts than a task sorts is dealt out once
-   more, by the strings themselves, so that no group is bounded or dropped.
+4. An anchor with more kinds of contexts than a task sorts is dealt out by the
+   strings themselves, so that no group is bounded or dropped.
 
 Contexts and the strings of step 4 count as equal if two 64-bit hashes agree.
 Text keys are 64-bit hashes, too; should two different texts share one, another
@@ -186,53 +187,19 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([_long(a), _long(c), _long(keys[row]), pa.array(at.astype(np.int32))], names=["a", "c", "key", "pos"])
 
 
-def _judge_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, c, key, pos) sorted by a and c.
+def judge_anchors(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the anchors ``a, c, key, pos``: places of contexts that repeat, and kinds to compare.
 
-    Gives every place of a context that repeats (kind 0), and one place of each
-    kind of context whose anchor has several kinds (kind 1; ``twin``: it repeats).
-    Only the first row of the last kind is carried to the next batch.
+    The first has ``key, pos`` of every place of a context that occurs more than
+    once; the second ``a, key, pos, twin, kinds``, one place of each kind of
+    context whose anchor has several kinds (``twin``: it occurs more than once).
     """
-    names = ["kind", "a", "key", "pos", "twin"]
-    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.int32),)
-    carry, was_twin, told, mixed = empty, False, False, False
-
-    def out(kind: int, rows: tuple[np.ndarray, ...], pick: np.ndarray, twin: np.ndarray) -> pa.RecordBatch:
-        n = len(pick)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(rows[0][pick]), pa.array(rows[2][pick]), pa.array(rows[3][pick]), pa.array(twin)], names=names)
-
-    def judge(new: tuple[np.ndarray, ...] | None) -> Iterator[pa.RecordBatch]:
-        nonlocal carry, was_twin, told, mixed
-        rows = carry if new is None else tuple(np.concatenate(x) for x in zip(carry, new, strict=True))
-        n, held = len(rows[0]), len(carry[0])
-        if not n:
-            return
-        new_a = np.concatenate(([True], rows[0][1:] != rows[0][:-1]))
-        new_c = new_a | np.concatenate(([True], rows[1][1:] != rows[1][:-1]))
-        first = np.nonzero(new_c)[0]
-        kind = np.cumsum(new_c) - 1
-        run_of_kind = (np.cumsum(new_a) - 1)[first]
-        twin = np.diff(np.concatenate((first, [n]))) > 1
-        several = np.bincount(run_of_kind) > 1
-        if held:
-            twin[0] |= was_twin
-            several[0] |= mixed
-        places = np.nonzero(twin[kind])[0]
-        if held and told:
-            places = places[places > 0]
-        if len(places):
-            yield out(0, rows, places, np.ones(len(places), bool))
-        whole = len(first) - (new is not None)  # the last kind may go on
-        reps = np.nonzero(several[run_of_kind[:whole]])[0]
-        if len(reps):
-            yield out(1, rows, first[reps], twin[reps])
-        last = first[-1]
-        carry, was_twin, told, mixed = tuple(x[last : last + 1] for x in rows), bool(twin[-1]), bool(twin[-1]), bool(several[run_of_kind[-1]])
-
-    for batch in batches:
-        if batch.num_rows:
-            yield from judge(tuple(batch.column(i).to_numpy() for i in range(4)))
-    yield from judge(None)
+    again = marked.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    cand = written(marked.join(again, "a"), "substrings-anchors")
+    kinds = written(cand.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at")), "substrings-kinds")
+    places = cand.join(kinds.where("n > 1").select("a", "c"), ["a", "c"]).select("key", "pos")
+    several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return places, kinds.join(several, "a").select("a", "at.key", "at.pos", (F.col("n") > 1).alias("twin"), "kinds")
 
 
 def _fetch_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +258,8 @@ def runs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[cut], reach[np.concatenate((np.nonzero(cut)[0][1:] - 1, [len(lo) - 1]))] if len(lo) else reach
 
 
-_SPANS = ["kind", "key", "lo", "hi", "twin", "context"]
-
-
 def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, key, lo, twin, context) sorted by a: spans (kind 0), or the contexts of an anchor with too many (kind 1)."""
+    """Rows (a, key, lo, twin, context) sorted by a: spans (key, lo, hi) of the strings that start in two places."""
 
     def spans(contexts: list[Context]) -> Iterator[pa.RecordBatch]:
         own, offset = repeated_strings(contexts)
@@ -308,46 +272,28 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         key, lo = key[order], lo[order]
         cut = np.concatenate(([True], (key[1:] != key[:-1]) | (lo[1:] > lo[:-1] + SIZE)))
         ends = np.concatenate((np.nonzero(cut)[0][1:] - 1, [len(lo) - 1]))
-        n = int(cut.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(key[cut]), pa.array(lo[cut].astype(np.int32)), pa.array((lo[ends] + SIZE).astype(np.int32)), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.binary())], names=_SPANS)
-
-    def hand_on(contexts: list[Context]) -> pa.RecordBatch:
-        n = len(contexts)
-        cols = list(zip(*contexts, strict=True))
-        lo = np.array(cols[1], dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(cols[0], pa.int64()), pa.array(lo), pa.array(lo), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.binary())], names=_SPANS)
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(lo[cut].astype(np.int32)), pa.array((lo[ends] + SIZE).astype(np.int32))], names=["key", "lo", "hi"])
 
     ready: list[Context] = []
     group: list[Context] = []
-    symbols, at, hot = 0, None, False
+    ready_size = group_size = 0
+    at = None
     for batch in batches:
         for a, *context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if a != at:
-                if not hot:
-                    ready += group
-                    symbols += sum(len(c[3]) + 1 for c in group)
-                elif group:
-                    yield hand_on(group)
-                if symbols > SYMBOLS // 2:
+                if ready and ready_size + group_size > SYMBOLS:
                     yield from spans(ready)
-                    ready, symbols = [], 0
-                group, at, hot = [], a, False
+                    ready, ready_size = [], 0
+                ready += group
+                ready_size += group_size
+                group, group_size, at = [], 0, a
             group.append(tuple(context))
-            if len(group) > KINDS or hot and len(group) >= 256:
-                hot = True
-                yield hand_on(group)
-                group = []
-    if hot:
-        if group:
-            yield hand_on(group)
-    else:
-        ready += group
-    if ready:
-        # a last group beside a full list may be too much for one sorting
-        half = len(ready) - len(group) if not hot and len(group) < len(ready) and symbols + sum(len(c[3]) + 1 for c in group) > SYMBOLS else 0
-        for part in (ready[:half], ready[half:]):
-            if part:
-                yield from spans(part)
+            group_size += len(context[3]) + 1
+    if ready and ready_size + group_size > SYMBOLS:
+        yield from spans(ready)
+        ready = []
+    if ready or group:
+        yield from spans(ready + group)
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,18 +344,20 @@ def find_spans(name: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
     texts = spark.table(name)
     parts = shuffle_partitions(spark)
-    marked = texts.select("key", "text").mapInArrow(_find_anchors, "a long, c long, key long, pos int")
-    judged = written(marked.repartition(parts, "a").sortWithinPartitions("a", "c").mapInArrow(_judge_anchors, "kind int, a long, key long, pos int, twin boolean"), "substrings-anchors")
-    places = judged.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("pos", "a", "twin")).alias("places"))
-    contexts = texts.select("key", "text").join(places, "key").select("key", "text", "places").mapInArrow(_fetch_contexts, "a long, key long, lo int, twin boolean, context binary")
-    sorted_ones = contexts.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_sort_contexts, "kind int, key long, lo int, hi int, twin boolean, context binary")
-    found = written(sorted_ones, "substrings-spans")
+    marked = written(texts.select("key", "text").mapInArrow(_find_anchors, "a long, c long, key long, pos int"), "substrings-marked")
+    repeating, kinds = judge_anchors(marked)
+    kinds = written(kinds, "substrings-compared")
+
+    def contexts(some: DataFrame) -> DataFrame:
+        places = some.groupBy("key").agg(F.collect_list(F.struct("pos", "a", "twin")).alias("places"))
+        return texts.select("key", "text").join(places, "key").select("key", "text", "places").mapInArrow(_fetch_contexts, "a long, key long, lo int, twin boolean, context binary")
+
+    sorted_ones = contexts(kinds.where(F.col("kinds") <= KINDS)).repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_sort_contexts, "key long, lo int, hi int")
     # spans beyond a text's end are cut when they are applied
-    spans = judged.where("kind = 0").select("key", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("lo"), (F.col("pos") + SIZE).alias("hi"))
-    spans = spans.unionByName(found.where("kind = 0").select("key", "lo", "hi"))
-    hot = found.where("kind = 1")
+    spans = repeating.select("key", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("lo"), (F.col("pos") + SIZE).alias("hi")).unionByName(sorted_ones)
+    hot = kinds.where(F.col("kinds") > KINDS)
     if not hot.isEmpty():
-        spans = spans.unionByName(_strings_elsewhere(hot))
+        spans = spans.unionByName(_strings_elsewhere(contexts(hot)))
     return spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -86,51 +86,22 @@ def test_shared_passages_and_near_copies(spark):
     check(spark, family(np.random.default_rng(8)))
 
 
-def test_anchors_with_many_contexts(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "KINDS", 6)
-    run = substrings._sort_contexts
-    rows = family(np.random.default_rng(9))
-    lines = []
-    for batch in contexts(rows):
-        lines.append(batch)
-    out = [r for b in run(iter(lines)) for r in b.to_pylist()]
-    assert {0, 1} == {r["kind"] for r in out}
-    hot = spark.createDataFrame([(r["key"], r["lo"], r["twin"], bytes(r["context"])) for r in out if r["kind"]], "key long, lo int, twin boolean, context binary")
-    found = {(r.key, r.lo) for r in substrings._strings_elsewhere(hot).collect()}
-    texts = [t.encode() for _, t in rows]
-    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
-    assert found and all(seen[texts[k][lo : lo + 200]] > 1 for k, lo in found)
-    spans = {(r["key"], i) for r in out if not r["kind"] for i in range(r["lo"], r["hi"] - 199)} | found
-    gone = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1}
-    whole = {(k, i) for k, lo, hi in twins(rows) for i in range(lo, min(hi, len(texts[k])) - 199)}
-    assert spans | whole == gone
-
-
-def judged(rows):
-    hashes = substrings.Hashes(substrings.GROUP_BYTES)
-    found = sorted((int(np.uint64(a).view(np.int64)), int(np.uint64(c).view(np.int64)), int(k), int(p)) for row, at, aa, cc in substrings.anchors_of_column(pa.array([t.encode() for _, t in rows], pa.binary()), hashes) for k, p, a, c in zip(row, at, aa, cc, strict=True))
-    cols = list(zip(*found, strict=True))
-    for size in (7, 10_000):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size], pa.int32() if n == 3 else pa.int64()) for n, c in enumerate(cols)], names=["a", "c", "key", "pos"]) for i in range(0, len(found), size)]
-        out = [tuple(r.values()) for b in substrings._judge_anchors(iter(batches)) for r in b.to_pylist()]
-        assert size == 7 or sorted(out) == sorted(before)
-        before = out
-    return out
-
-
-def twins(rows):
-    return [(key, max(0, pos - substrings.BEFORE), pos + 200) for kind, _, key, pos, _ in judged(rows) if kind == 0]
-
-
-def contexts(rows):
-    places = {}
-    for kind, a, key, pos, twin in judged(rows):
-        if kind == 1:
-            places.setdefault(key, []).append({"pos": pos, "a": a, "twin": twin})
-    kind = pa.list_(pa.struct([("pos", pa.int32()), ("a", pa.int64()), ("twin", pa.bool_())]))
-    batch = pa.RecordBatch.from_arrays([pa.array(list(places), pa.int64()), pa.array([rows[k][1].encode() for k in places], pa.binary()), pa.array(list(places.values()), kind)], names=["key", "text", "places"])
-    table = pa.Table.from_batches(list(substrings._fetch_contexts(iter([batch])))).sort_by("a")
-    return table.to_batches(max_chunksize=50)
+@pytest.mark.parametrize("kinds,symbols", [(6, 700_000), (2048, 3000)])
+def test_anchors_with_many_contexts(spark, monkeypatch, kinds, symbols):
+    monkeypatch.setattr(substrings, "KINDS", kinds)
+    monkeypatch.setattr(substrings, "SYMBOLS", symbols)
+    used = []
+    elsewhere = substrings._strings_elsewhere
+    monkeypatch.setattr(substrings, "_strings_elsewhere", lambda hot: used.append(1) or elsewhere(hot))
+    check(spark, family(np.random.default_rng(9)))
+    assert bool(used) == (kinds == 6)
+
+
+def test_judged_anchors(spark):
+    rows = [(1, 1, 10, 0), (1, 1, 11, 5), (1, 2, 12, 7), (2, 3, 10, 3), (3, 4, 10, 4), (3, 4, 10, 90), (4, 5, 1, 1), (4, 6, 2, 2)]
+    places, kinds = substrings.judge_anchors(spark.createDataFrame(rows, "a long, c long, key long, pos int"))
+    assert sorted(map(tuple, places.collect())) == [(10, 0), (10, 4), (10, 90), (11, 5)]
+    assert sorted(map(tuple, kinds.collect())) == [(1, 10, 0, True, 2), (1, 12, 7, False, 2), (4, 1, 1, False, 2), (4, 2, 2, False, 2)]
 
 
 def test_long_text_in_segments(spark, monkeypatch):
