@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, langid, simhash, substrings
+from lodestone.llm import bpe, decontaminate, langid, similar, substrings
 from lodestone.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,11 +30,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group, the one with the smallest id.
 
-    The groups are those of the wide scheme: five-word shingles, 256 bits,
-    similarity of about 0.8 or more.  Rows without an id can't be chosen and
+    Links are pairs whose sets of five-word shingles have a similarity of 0.8 or
+    more, all of them and no others.  Rows without an id can't be chosen and
     stay; rows that repeat id and text count as copies.
     """
-    groups = simhash.near_duplicates(docs, simhash.WIDE)
+    groups = similar.similar_groups(docs)
     chosen = groups.select(F.col("component_id").alias("doc_id")).distinct()
     named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     unnamed = docs.select(*COLUMNS).where("doc_id IS NULL")
