@@ -28,17 +28,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the smallest id.
+    """Keeps one document of each near-duplicate group.
 
     Links are pairs whose sets of five-word shingles have a similarity of 0.8 or
-    more, all of them and no others.  Rows without an id can't be chosen and
-    stay; rows that repeat id and text count as copies.
+    more, found by bit-sliced SimHash comparison and checked on the whole sets.
+    The smallest id stays; a row without an id stays only if no row of its
+    group has one, and then one of them; of rows that share the smallest id or
+    repeat each other, one stays (:func:`similar.one_of_each`).
     """
-    groups = similar.similar_groups(docs)
-    chosen = groups.select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.select(*COLUMNS).where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    unnamed = docs.select(*COLUMNS).where("doc_id IS NULL")
-    return named.join(chosen, "doc_id", "left_semi").select(*COLUMNS).unionByName(unnamed)
+    return similar.one_of_each(docs.select(*COLUMNS))
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

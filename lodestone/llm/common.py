@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Long keys that a join may broadcast, 16 MB of them.
+BROADCAST_KEYS = 1_000_000
+
+
+def _small(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
+def within(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose long ``on`` is among ``keys``; few keys are sent to the rows, many meet them in a shuffle."""
+    return rows.join(F.broadcast(keys) if _small(keys) else keys, on, "left_semi")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose long ``on`` isn't among ``keys``, likewise."""
+    return rows.join(F.broadcast(keys) if _small(keys) else keys, on, "left_anti")

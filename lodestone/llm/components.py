@@ -11,6 +11,12 @@ from .common import written
 MAX_ROUNDS = 100
 
 
+def _state(links: DataFrame) -> tuple:
+    """Number and order-free checksums of the links, which tell one round's set from another's."""
+    code = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count("*"), F.bit_xor(code), F.bit_xor(F.xxhash64("b", "a", F.lit(1))), F.sum(F.pmod(code, F.lit(1 << 31)))).first())
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for every node of ``links(a, b)``: root is the smallest node reachable.
 
@@ -23,6 +29,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(now, name)
+    before = _state(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
@@ -30,10 +37,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(lower, "a")
         small = pairs.select("a", F.col("m").alias("b")).unionByName(pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        after = written(small, name)
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = written(small, name)
+        if before == (before := _state(now)):
             break
-        now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

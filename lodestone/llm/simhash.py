@@ -6,20 +6,20 @@ is set if it is set in more than half the hashes.  A wide fingerprint has
 further words of 64 bits, from the same hashes mixed with a constant.
 
 Links: fingerprints within ``radius`` differing bits.  Distinct fingerprints
-meet in tables, each keyed by some of the bits (a fixed number of short rows
-per fingerprint, never a pair).  In scheme ``EXACT`` two fingerprints within
-three bits agree on at least two of five bit ranges, so ten tables find every
-link.  In scheme ``WIDE``, 64 tables of 20 sampled bits find nine in ten links
-at a five-word similarity of 0.8, where 256 bits differ in about 39, and nearly
-all closer ones; its radius stands for a similarity of 0.77.
+meet by keys, a fixed number of short rows per fingerprint, never a pair.  In
+scheme ``EXACT`` the keys are bits of the fingerprint: within three bits, two
+fingerprints agree on at least two of five bit ranges, so ten tables find every
+link.
 
 Rows of equal keys lie together; tiles of them are compared bit-sliced: the bit
-planes of a block of lanes are stored vertically, a query's differences are
-added plane by plane into carry-save counters, and a block is abandoned as
-soon as all its lanes are beyond the radius.  A tile emits a spanning forest
-of its links, not its pairs.  A key with more fingerprints than a tile holds is
-cut into chunks, and the chunks are compared two by two in tasks of their own,
-so that any key is handled exactly in bounded memory.
+planes of blocks of 64 lanes are stored vertically, a query's differences are
+added plane by plane into carry-save counters, and a block is abandoned for a
+query as soon as all of its lanes are beyond the radius; lanes that the query
+need not meet count as beyond it from the start.  Hits are folded into a
+spanning forest as they come, and a tile emits the forest, not its pairs.  A
+key with more fingerprints than a tile holds is cut into chunks, and the chunks
+are compared two by two in tasks of their own, so that any key is handled
+exactly in bounded memory.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; equal rows share a component;
@@ -49,6 +49,7 @@ TILE = 256
 CHUNK = 2048
 #: Rows per hashing step, which bounds the unpacked bits of a long text.
 HASH_ROWS = 32_768
+_EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Scheme(NamedTuple):
@@ -69,13 +70,7 @@ def _ranges() -> tuple[tuple[int, ...], ...]:
     return tuple(x + y for x, y in combinations(blocks, 2))
 
 
-def _sampled(bits: int, size: int, tables: int) -> tuple[tuple[int, ...], ...]:
-    rng = np.random.default_rng(SEED)
-    return tuple(tuple(rng.permutation(bits)[:size].tolist()) for _ in range(tables))
-
-
 EXACT = Scheme(3, 1, 3, _ranges())
-WIDE = Scheme(5, 4, 44, _sampled(256, 20, 64))
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -98,7 +93,11 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint(text: str, width: int = EXACT.width, words: int = 1) -> np.ndarray:
     """The fingerprint as unsigned words."""
-    hashes = shingle_hashes(text, width)
+    return print_of(shingle_hashes(text, width), words)
+
+
+def print_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The fingerprint of some hashes."""
     ones = np.zeros(64 * words, dtype=np.int64)
     for at in range(0, len(hashes), HASH_ROWS):
         part = np.stack([_mixed(hashes[at : at + HASH_ROWS], k) for k in range(words)], axis=1)
@@ -133,11 +132,11 @@ def planes(fps: np.ndarray) -> np.ndarray:
 class Counters:
     """Carry-save counters of many lanes at once, one bit of all counts an array."""
 
-    def __init__(self, radius: int, shape: tuple[int, int]) -> None:
-        self.radius, self.shape = radius, shape
-        self.sums = [np.zeros(shape, np.uint64) for _ in range(radius.bit_length())]
+    def __init__(self, radius: int, over: np.ndarray) -> None:
+        """``over``: the lanes that are beyond the radius from the start."""
+        self.radius, self.over = radius, over
+        self.sums = [np.zeros(len(over), np.uint64) for _ in range(radius.bit_length())]
         self.waiting: list[np.ndarray | None] = [None] * len(self.sums)
-        self.over = np.zeros(shape, np.uint64)
 
     def add(self, bits: np.ndarray, level: int = 0) -> None:
         """Two arrays of a level meet its sum in one full adder and give one carry."""
@@ -155,23 +154,9 @@ class Counters:
 
     def beyond(self) -> np.ndarray:
         """Lanes whose count exceeds the radius."""
-        for level, bits in enumerate(self.waiting):
-            if bits is not None:
-                self.waiting[level] = None
-                carry = self.sums[level] & bits
-                self.sums[level] = self.sums[level] ^ bits
-                if level + 1 == len(self.sums):
-                    self.over |= carry
-                else:
-                    later = self.waiting[level + 1]
-                    if later is None:
-                        self.waiting[level + 1] = carry
-                    else:
-                        self.waiting[level + 1] = None
-                        own = self.sums[level + 1]
-                        half = own ^ carry
-                        self.sums[level + 1] = half ^ later
-                        self._carry((own & carry) | (half & later), level + 2)
+        for level in range(len(self.waiting)):
+            if self.waiting[level] is not None:
+                self.add(np.zeros_like(self.over), level)
         more, same = self.over.copy(), ~self.over
         for level in range(len(self.sums) - 1, -1, -1):
             if self.radius >> level & 1:
@@ -181,34 +166,54 @@ class Counters:
                 same &= ~self.sums[level]
         return more
 
-    def _carry(self, bits: np.ndarray, level: int) -> None:
-        if level >= len(self.sums):
-            self.over |= bits
-        else:
-            self.add(bits, level)
-
-
-def near(queries: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, lane) of all pairs within ``radius``; both are (fingerprint, word)."""
-    sliced = planes(lanes)
-    every = np.uint64(0xFFFFFFFFFFFFFFFF)
-    q_out, l_out = [], []
-    for at in range(0, len(queries), TILE):
-        part = queries[at : at + TILE]
-        counters = Counters(radius, (len(part), sliced.shape[1]))
-        for bit in range(len(sliced)):
-            flip = (np.uint64(0) - ((part[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)))[:, None]
-            counters.add(sliced[bit][None, :] ^ flip)
-            if bit % 32 == 31 and bit >= radius and bit + 1 < len(sliced) and (counters.beyond() == every).all():
-                break
-        else:
-            hits = np.unpackbits((~counters.beyond()).view(np.uint8), axis=1, bitorder="little")[:, : len(lanes)]
-            q, lane = np.nonzero(hits)
-            q_out.append(q + at)
-            l_out.append(lane)
-    if not q_out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(q_out), np.concatenate(l_out)
+    def keep(self, some: np.ndarray) -> None:
+        """Only some of the blocks from here on; nothing may be waiting."""
+        self.over = self.over[some]
+        self.sums = [x[some] for x in self.sums]
+
+
+class Near:
+    """Pairs of fingerprints within a radius; both sides are (fingerprint, word)."""
+
+    def __init__(self, queries: np.ndarray, lanes: np.ndarray | None, radius: int) -> None:
+        """Without ``lanes``, every query meets the queries behind it."""
+        self.queries, self.own, self.radius = queries, lanes is None, radius
+        lanes = queries if lanes is None else lanes
+        self.lanes, self.sliced = len(lanes), planes(lanes)
+        #: blocks compared, and those abandoned before the last bit
+        self.blocks = self.abandoned = 0
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices (query, lane), for some queries at a time."""
+        for at in range(0, len(self.queries), TILE):
+            yield self._some(at, self.queries[at : at + TILE])
+
+    def _some(self, at: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bits, words = self.sliced.shape
+        query, block = np.divmod(np.arange(len(part) * words), words)
+        over = np.zeros(len(query), np.uint64)
+        if self.own:  # lanes up to the query itself are masked
+            behind = np.clip(query + at + 1 - 64 * block, 0, 64)
+            over = np.where(behind == 64, _EVERY, (np.uint64(1) << (behind % 64).astype(np.uint64)) - np.uint64(1))
+            some = over != _EVERY
+            query, block, over = query[some], block[some], over[some]
+        self.blocks += len(query)
+        counters = Counters(self.radius, over)
+        flips = np.uint64(0) - np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").T.astype(np.uint64)
+        for bit in range(bits):
+            counters.add(self.sliced[bit][block] ^ flips[bit][query])
+            if bit % 16 == 15 and bit > 2 * self.radius and bit + 1 < bits:
+                some = counters.beyond() != _EVERY
+                if not some.all():
+                    self.abandoned += len(some) - int(some.sum())
+                    counters.keep(some)
+                    query, block = query[some], block[some]
+                    if not len(query):
+                        break
+        row, lane = np.nonzero(np.unpackbits((~counters.beyond()).view(np.uint8).reshape(len(query), 8), axis=1, bitorder="little"))
+        lane = lane + 64 * block[row]
+        real = lane < self.lanes
+        return query[row[real]] + at, lane[real]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,16 +238,15 @@ Rows = tuple[np.ndarray, np.ndarray]  # nodes, fingerprints
 def linked(rows: Rows, radius: int, other: Rows | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of nodes that span all links within ``rows``, or between them and ``other``."""
     nodes, fps = rows
-    if other is None:
-        q, lane = near(fps, fps, radius)
-        keep = q < lane
-        q, lane = q[keep], lane[keep]
-    else:
-        q, lane = near(fps, other[1], radius)
-        lane, nodes = lane + len(fps), np.concatenate((nodes, other[0]))
-    if not len(q):
-        return nodes[:0], nodes[:0]
-    root = forest(len(nodes), q, lane)
+    shift = 0
+    if other is not None:
+        shift, nodes = len(fps), np.concatenate((nodes, other[0]))
+    root = np.arange(len(nodes))
+    for q, lane in Near(fps, None if other is None else other[1], radius):
+        lane = lane + shift
+        new = root[q] != root[lane]
+        if new.any():
+            root = forest(len(nodes), np.concatenate((np.arange(len(nodes)), q[new])), np.concatenate((root, lane[new])))
     moved = np.nonzero(root != np.arange(len(nodes)))[0]
     return nodes[moved], nodes[root[moved]]
 
@@ -365,11 +369,15 @@ def _compare_chunks(scheme: Scheme):
 
 def links(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """``a, b``: links between the nodes of ``distinct(node, f0, ..)`` that span all links found."""
-    parts = shuffle_partitions(distinct.sparkSession)
     names = scheme.columns()
-    types = ", ".join(f"{c} long" for c in names)
     own = distinct.select("node", *names)
-    keyed = own.mapInArrow(_keys(scheme), f"key long, node long, {types}")
+    return links_by_key(own.mapInArrow(_keys(scheme), f"key long, node long, {', '.join(f'{c} long' for c in names)}"), own, scheme)
+
+
+def links_by_key(keyed: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
+    """``a, b``: links that span all links between nodes of an equal key, for ``keyed(key, node, f0, ..)`` and ``own(node, f0, ..)``."""
+    parts = shuffle_partitions(keyed.sparkSession)
+    names = scheme.columns()
     found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_compare_sorted(scheme), _LINKS), "simhash-links")
     direct = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("node"))
@@ -378,7 +386,7 @@ def links(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     chunks = hot.groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
     paired = hot.join(chunks, "key").select("key", "chunk", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     sided = paired.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node")
-    full = sided.join(own, "node").select("key", "lo", "hi", "side", "node", *names)
+    full = sided.join(own.select("node", *names), "node").select("key", "lo", "hi", "side", "node", *names)
     far = full.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "node").mapInArrow(_compare_chunks(scheme), "a long, b long")
     return direct.unionByName(far)
 

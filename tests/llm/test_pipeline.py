@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from lodestone.llm import decontaminate, simhash
+from lodestone.llm import decontaminate, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,8 +56,16 @@ def test_run_over_documents(spark, sf):
     final = cp.run(spark, sf).collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert 0 < len(final) < len(docs)
-    prints = {i: simhash.fingerprint(r.text, 5, 4) for i, r in docs.items()}
-    assert len({prints[r.doc_id].tobytes() for r in final}) == len(final)
+    assert len({similar.node_of(similar.shingle_set(docs[r.doc_id].text)) for r in final}) == len(final)
+
+
+def test_copies_without_ids_are_not_lost(spark, own_sf):
+    """A named row stands for its unnamed copies, and one of several unnamed ones stays."""
+    text, other = ("".join(f" word{k}{c}" for k in range(60)) for c in "ab")
+    at = spark.createDataFrame([(1, text, "en", "s", 0), (None, text, "en", "s", 0), (None, other, None, None, 0), (None, other, "de", "s", 0), (5, "some more words", "en", "s", 0)], SCHEMA)
+    for name, stage in cp.STAGES:
+        at = cp.written(stage(spark, at, own_sf[0]), name)
+        assert sorted(str(r.doc_id) for r in at.collect()) == (["1", "5", "None", "None", "None"] if name == "language_id" else ["1", "5", "None"]), name
 
 
 @pytest.mark.parametrize("name,stage", cp.STAGES)

@@ -99,41 +99,30 @@ def test_links_chains_and_hot_keys(spark, monkeypatch):
         assert order(got) == want
 
 
-def test_wide_scheme_finds_near_copies(spark):
-    rng = np.random.default_rng(6)
-    words = [f"w{k}" for k in range(3000)]
-    rows, family = [], {}
-    for g in range(120):
-        base = rng.choice(words, 300).tolist()
-        for copy in range(3):
-            own = list(base)
-            for at in rng.choice(300, 5 * bool(copy), replace=False):
-                own[at] = "edited"
-            family[len(rows)] = g
-            rows.append((len(rows), " ".join(own), 0))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, f0 int"), simhash.WIDE).collect()}
-    assert all(family[d] == family[c] for d, c in got.items())
-    assert len(set(got.values())) <= 120 + 0.1 * 240  # nine in ten links
-    near = {i: simhash.fingerprint(t, 5, 4) for i, t, _ in rows}
-    brute = sum(int(np.bitwise_count(near[i] ^ near[j]).sum()) <= simhash.WIDE.radius for i in range(0, 360, 3) for j in (i + 1, i + 2))
-    assert brute >= 230
-
-
-def test_planes_and_forest():
+def test_near_and_forest():
     rng = np.random.default_rng(2)
     for words, radius, flips in ((1, 3, 3), (4, 44, 60), (4, 7, 12), (2, 1, 2)):
-        fps = rng.integers(0, 2**64, (130, words), dtype=np.uint64)
+        fps = rng.integers(0, 2**64, (300, words), dtype=np.uint64)
         for i in range(50, 90):
             bits = np.unpackbits(fps[3].view(np.uint8), bitorder="little")
             bits[rng.choice(64 * words, int(rng.integers(0, flips + 1)), replace=False)] ^= 1
             fps[i] = np.packbits(bits, bitorder="little").view(np.uint64)
-        q, lane = simhash.near(fps, fps, radius)
-        want = [(i, j) for i in range(130) for j in range(130) if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= radius]
-        assert list(zip(q.tolist(), lane.tolist(), strict=True)) == want
+        far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2, dtype=int) > radius
+        for lanes in (None, fps):
+            found = [p for q, lane in simhash.Near(fps, lanes, radius) for p in zip(q.tolist(), lane.tolist(), strict=True)]
+            assert sorted(found) == [(i, j) for i in range(300) for j in range(300) if not far[i, j] and (lanes is not None or i < j)]
     path = np.arange(99)
     assert (simhash.forest(100, path, path + 1) == 0).all()
 
 
+def test_blocks_beyond_the_radius_are_abandoned():
+    fps = np.random.default_rng(4).integers(0, 2**64, (512, 4), dtype=np.uint64)
+    for words, radius, lanes in ((1, 3, None), (1, 3, fps[:, :1]), (4, 60, None)):
+        near = simhash.Near(np.ascontiguousarray(fps[:, :words]), lanes, radius)
+        assert sum(len(q) for q, _ in near) == (512 if lanes is not None else 0)
+        assert near.abandoned > 0.95 * (near.blocks - 512 * (lanes is not None))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(1000, x) for x in range(900, 1000)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
