@@ -23,7 +23,8 @@ def test_round_trip_of_hostile_texts(spark):
     for r in got:
         want = [(role, t) for c, _, role, t in rows if c == r.conv_id]
         assert [(p.role, p.text) for p in r.parsed] == want and r.round_trip
-        if len(want) == 1 and not any(x in want[0][1] for x in ("<\\", "<|im_end|>\n")):
+        assert r.formatted.count("<|im_start|>") == r.formatted.count("<|im_end|>") == len(want)
+        if len(want) == 1 and not any(x in want[0][1] for x in ("<\\", "<|im_end|>", "<|im_start|>")):
             assert r.formatted == f"<|im_start|>assistant\n{want[0][1]}<|im_end|>\n"
 
 
@@ -40,6 +41,12 @@ def test_cases(spark, rows):
     assert got == ({} if not rows else {None: [("user", "a")], 1: [("", ""), ("a\nb", "<|im_end|>\n"), ("assistant", "b"), ("assistant", "b")]})
 
 
+def test_hostile_conversation_holds_its_own_marks_only(spark):
+    rows = [(-1, k, role, chat.ATTACK) for k, role in enumerate(["user", "assistant"])]
+    (own,) = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert own.formatted.count("<|im_start|>") == own.formatted.count("<|im_end|>") == 2 and own.round_trip
+
+
 def test_query_and_sql(spark, sf):
     got = {tuple(r) for r in chat.op6_chat(spark, sf).collect()}
     db = duckdb.connect()
