@@ -8,8 +8,8 @@ share of the item's weight.  Postings are cut into blocks of items with the
 largest impact of each block.
 
 Every passage of every text is a query: windows of ``PASSAGE`` words that
-overlap by the longest item part, so that any copy lies whole in one window;
-longer items are indexed in parts.  For all passages of a group of texts the
+overlap by ``PART`` words, so that any copy of an indexed part lies whole in one
+window; items of more words are indexed in parts.  For all passages of a group of texts the
 block maxima of their words are summed; a block whose sum is below the
 threshold is skipped for good.  In a block that is left, WAND moves the cursors
 of the passage's posting lists to the next item for which the lists' maxima in
@@ -19,7 +19,9 @@ items at or above the threshold are retrieved; none is dropped.
 An item is a question and an answer: up to the last ``?`` that has words behind
 it, or else its two halves.  A retrieved item counts as found if the passage
 holds, in order, at least ``QUESTION`` of the question's and ``ANSWER`` of the
-answer's word ``GRAM``-grams (of all words, if there are fewer).
+answer's word ``GRAM``-grams (of all words, if there are fewer); an item of
+several parts is held against the whole text.  What is found for an item hence
+never depends on the other items of its shard.
 
 The index is broadcast in shards of at most ``SHARD_WORDS`` words, so its size
 is bounded for any number of items; each shard is one more pass over the texts.
@@ -49,13 +51,13 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION = ANSWER = 0.5
 GRAM = 3
-#: Words of an indexed part of an item, and of a passage beyond the longest part.
+#: Words of an indexed part of an item, and of a passage beyond such a part.
 PART = 128
 PASSAGE = 64
 #: Parts of a block at least; there are at most BLOCKS blocks in a shard.
 BLOCK, BLOCKS = 4, 64
 SHARD_WORDS = 4_000_000
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 250_000
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -93,7 +95,6 @@ class Index:
         self.item_of = [item for item, _ in parts]
         self.number: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
-        self.longest = max((len(w) for _, w in parts), default=0)
         for p, (_, words) in enumerate(parts):
             norm = K1 * (1 - B + B * len(words) / mean)
             impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + norm) for w, c in Counter(words).items()}
@@ -159,7 +160,7 @@ class Index:
         number = self.number
         out: list[dict[int, float]] = [{} for _ in texts]
         step = max(1, PASSAGE)
-        size = step + self.longest
+        size = step + PART
         ids: list[np.ndarray] = []
         where: list[tuple[int, int]] = []
         words: list[list[str]] = []
@@ -183,7 +184,7 @@ class Index:
                     item = self.item_of[part]
                     if score > out[t].get(item, 0.0):
                         _, question, answer = self.items[item]
-                        whole = passage if len(question) + len(answer) <= self.longest else words[t]
+                        whole = passage if len(question) + len(answer) <= PART else words[t]
                         if overlap(question, whole) >= QUESTION and overlap(answer, whole) >= ANSWER:
                             out[t][item] = score
         return [[(self.items[i][0], s) for i, s in sorted(found.items())] for found in out]

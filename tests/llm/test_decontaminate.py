@@ -17,11 +17,10 @@ def brute(docs, items):
         parts += [(i, words[k : k + dc.PART]) for k in range(0, len(words), dc.PART)]
     df = Counter(w for _, p in parts for w in set(p))
     mean = sum(len(p) for _, p in parts) / max(1, len(parts))
-    longest = max((len(p) for _, p in parts), default=0)
     out = set()
     for d, text in docs:
         words = dc.WORD.findall((text or "").lower())
-        size = dc.PASSAGE + longest
+        size = dc.PASSAGE + dc.PART
         for at in range(0, max(1, len(words) - size + dc.PASSAGE), dc.PASSAGE):
             passage = words[at : at + size]
             have = set(passage)
@@ -32,7 +31,7 @@ def brute(docs, items):
                     weight[w] = idf * c * (dc.K1 + 1) / (c + dc.K1 * (1 - dc.B + dc.B * len(part) / mean))
                 if sum(x for w, x in weight.items() if w in have) >= dc.THRESHOLD * sum(weight.values()):
                     q, a = dc.question_and_answer(items[i][1])
-                    whole = passage if len(q) + len(a) <= longest else words
+                    whole = passage if len(q) + len(a) <= dc.PART else words
                     if dc.overlap(q, whole) >= dc.QUESTION and dc.overlap(a, whole) >= dc.ANSWER:
                         out.add((d, items[i][0]))
     return out
