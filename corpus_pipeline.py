@@ -17,12 +17,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: no text, or no letter in it.
+    """Drops the documents without a language: no text (null or empty), or no letter in it.
 
     ``lang`` stays as it came; a prediction fills it where it is null.  The
-    model learns from the labelled documents of this input that aren't held out.
+    model learns from the labelled documents of this input that aren't held out;
+    if there are none, every text with a letter stays and ``lang`` with it.
+    Ids play no part but for the split and may be null or repeat; repeated rows
+    all stay.
     """
     model = langid.train(docs.where(~langid.held_out()).select("lang", "text"), bpe.public_path("piece_bpe_32k.model"))
+    if not model.languages:
+        return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
     said = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -43,7 +48,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Removes the 200-byte strings that occur elsewhere, in whole characters.
 
     ``n_chars`` follows the text; a document of which nothing but white space
-    is left goes.
+    is left goes.  Null and empty texts and those under 200 bytes stay as they
+    are; repeated rows, had the stage before left any, would lose all copies.
     """
     lost = substrings.repeated(docs, with_text=True).select("sha", "kept")
     own = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
@@ -54,13 +60,13 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold an item of ``benchmark``."""
+    """Drops the documents that hold an item of ``benchmark``; null and empty texts hold none, ids play no part."""
     found = decontaminate.flag(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where("n_items = 0").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, ids`` and the digests of ids and decoded text of every document."""
+    """``doc_id, ids`` and the digests of ids and decoded text of every row; a null text encodes as the empty one."""
     path = bpe.public_path("word_bpe_49k.json")
     encoded = bpe.encode(docs, path, decoded="decoded")
     return encoded.select(
@@ -80,7 +86,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: No stage can be written in SQL; tests hold each against a brute-force version.
+#: No stage can be written in SQL; tests hold their operators against brute-force versions and the stages against planted cases.
 ORACLE_SQL = None
 
 

@@ -3,16 +3,18 @@
 Every language has a unigram distribution over the pieces of a fixed public
 vocabulary.  The probability of a word is the sum over all of its
 segmentations into pieces, by the forward algorithm; a text's is the product
-over its words (runs of letters, lower-cased, with the mark of a word start,
-cut every ``WORD_CHARS`` letters).  A letter that no piece covers is a piece of
-its own, shared by all such letters.  Languages have equal priors; the score
+over its words (runs of letters, lower-cased, with the mark of a word start).
+Words of up to ``WORD_CHARS`` letters are worked through together; longer ones
+one by one and in logarithms, with the last positions only in memory.  A letter
+that no piece covers is a piece of its own, shared by all such letters.  Languages have equal priors; the score
 of a prediction is its posterior probability.
 
 The piece probabilities are the maximum-likelihood ones under that model,
 found by expectation-maximisation from one common start and smoothed towards
 the mean of the languages.  They are fitted on a bounded sample of labelled
-rows: of each of the ``MAX_LANGUAGES`` commonest languages, the rows whose hash
-lies below SAMPLE / (its rows), so about SAMPLE rows; from those whole texts.
+rows: of each language, the rows whose hash lies below SAMPLE / (its rows), so
+about SAMPLE rows; from those whole texts.  Every language that a labelled row
+names is learned; the model in memory is the table of pieces by languages.
 Prediction runs over all rows and whole texts, and no column but the text is
 read for it.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,9 @@ from .pieces import normal_pieces
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters up to which the probability of a word is far above the smallest double.
 WORD_CHARS = 16
 SAMPLE = 3000
-MAX_LANGUAGES = 256
 ROUNDS = 3
 #: Weight of the languages' mean in a language's distribution, in pieces.
 PRIOR = 200.0
@@ -57,9 +60,7 @@ def words_of(text: str) -> list[str]:
     found = LETTERS.findall(text.lower())
     if not all(map(str.isalpha, found)):  # digits that are no decimals, as in x²
         found = [w for x in found if (w := "".join(filter(str.isalpha, x)))]
-    if max(map(len, found), default=0) <= WORD_CHARS:
-        return found
-    return [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
+    return found
 
 
 class Pieces:
@@ -69,33 +70,81 @@ class Pieces:
         names = [p for p, _ in normal_pieces(path)]
         self.number = {p: k for k, p in enumerate(names)}
         self.size = len(names) + 1
+        #: pieces by number, and -1 for what only begins a piece
+        self.begins = dict.fromkeys((p[:k] for p in names for k in range(1, len(p))), -1) | self.number
         self.longest = max(map(len, names), default=1)
         self.weight = np.ones(self.size)
         self.weight[-1] = ONE_LETTER
 
 
+def edges_of(token: str, begins: dict[str, int], unknown: int) -> Iterator[tuple[int, int, int]]:
+    """All pieces (start, end, number) in a word, by start; a letter that is no piece counts as ``unknown``."""
+    size = len(token)
+    for i in range(size):
+        p = begins.get(token[i], -2)
+        yield i, i + 1, p if p >= 0 else unknown
+        if p > -2:
+            for j in range(i + 2, size + 1):
+                p = begins.get(token[i:j], -2)
+                if p >= 0:
+                    yield i, j, p
+                elif p == -2:
+                    break
+
+
+class LongWord:
+    """All segmentations of one word of any length, in logarithms."""
+
+    def __init__(self, pieces: Pieces, word: str) -> None:
+        self.pieces, self.token = pieces, MARK + word
+
+    def _steps(self) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        for i, edges in groupby(edges_of(self.token, self.pieces.begins, self.pieces.size - 1), key=lambda e: e[0]):
+            yield i, list(edges)
+
+    def forward(self, logs: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]], np.ndarray]]:
+        """Position, the edges from it, and the logarithms of the sums over what comes before it; at last the word's."""
+        ahead = {0: np.zeros(logs.shape[1])}
+        for i, edges in self._steps():
+            here = ahead.pop(i)
+            yield i, edges, here
+            for _, j, p in edges:
+                ahead[j] = np.logaddexp(ahead[j], here + logs[p]) if j in ahead else here + logs[p]
+        yield len(self.token), [], ahead[len(self.token)]
+
+    def total(self, logs: np.ndarray) -> np.ndarray:
+        for _, _, here in self.forward(logs):
+            pass
+        return here
+
+    def add_expected(self, logs: np.ndarray, counts: np.ndarray, uses: np.ndarray) -> None:
+        """Adds the expected uses (piece, language) for counts (language)."""
+        steps = list(self.forward(logs))
+        whole = steps[-1][2]
+        after = {len(self.token): np.zeros(logs.shape[1])}
+        for i, edges, here in reversed(steps[:-1]):
+            sums = [logs[p] + after[j] for _, j, p in edges]
+            for (_, _, p), x in zip(edges, sums, strict=True):
+                uses[p] += counts * np.exp(here + x - whole)
+            after[i] = np.logaddexp.reduce(sums)
+            after.pop(i + self.pieces.longest, None)
+
+
 class Lattices:
     """All segmentations of some words, as edges (word, start, end, piece)."""
 
     def __init__(self, pieces: Pieces, words: list[str]) -> None:
-        number, longest, unknown = pieces.number, pieces.longest, pieces.size - 1
+        begins, unknown = pieces.begins, pieces.size - 1
         word: list[int] = []
         start: list[int] = []
         end: list[int] = []
         piece: list[int] = []
         for w, text in enumerate(words):
-            token = MARK + text
-            size = len(token)
-            for i in range(size):
-                one = True
-                for j in range(i + 1, min(size, i + longest) + 1):
-                    p = number.get(token[i:j])
-                    if p is not None or one:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(unknown if p is None else p)
-                    one = False
+            for i, j, p in edges_of(MARK + text, begins, unknown):
+                word.append(w)
+                start.append(i)
+                end.append(j)
+                piece.append(p)
         self.n = len(words)
         self.word, self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
         self.sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
@@ -134,6 +183,34 @@ class Lattices:
         return np.stack([np.bincount(self.piece, uses[:, k], minlength=len(probs)) for k in range(probs.shape[1])], axis=1)
 
 
+def word_scores(pieces: Pieces, words: list[str], probs: np.ndarray) -> np.ndarray:
+    """Log probabilities (word, language) of words of any length; ``probs``: (piece, language)."""
+    out = np.empty((len(words), probs.shape[1]))
+    many = np.fromiter((len(w) > WORD_CHARS for w in words), bool, len(words))
+    short = np.nonzero(~many)[0]
+    for at in range(0, len(short), TOGETHER):
+        part = short[at : at + TOGETHER]
+        lattices = Lattices(pieces, [words[k] for k in part])
+        out[part] = np.log(lattices.totals(lattices.forward(probs)))
+    if many.any():
+        logs = np.log(probs)
+        for k in np.nonzero(many)[0]:
+            out[k] = LongWord(pieces, words[k]).total(logs)
+    return out
+
+
+def expected_uses(pieces: Pieces, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """Expected uses (piece, language) in words of any length; ``counts``: (word, language)."""
+    many = np.fromiter((len(w) > WORD_CHARS for w in words), bool, len(words))
+    short = np.nonzero(~many)[0]
+    uses = Lattices(pieces, [words[k] for k in short]).expected(probs, counts[short]) if len(short) else np.zeros_like(probs)
+    if many.any():
+        logs = np.log(probs)
+        for k in np.nonzero(many)[0]:
+            LongWord(pieces, words[k]).add_expected(logs, counts[k], uses)
+    return uses
+
+
 class Model:
     """Languages and the probability of every piece in each of them."""
 
@@ -156,22 +233,18 @@ class Scorer:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and log likelihoods (text, language)."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros((len(texts), 0))
         rows = [words_of(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.scores = {}, self.scores[:0]
         new = list({w for row in rows for w in row if w not in self.known})
-        parts = [self.scores]
-        for at in range(0, len(new), TOGETHER):
-            lattices = Lattices(self.pieces, new[at : at + TOGETHER])
-            parts.append(np.log(lattices.totals(lattices.forward(self.probs))))
+        self.scores = np.concatenate((self.scores, word_scores(self.pieces, new, self.probs)))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.scores = np.concatenate(parts)
         total = np.zeros((len(texts), len(self.languages)))
         for k, row in enumerate(rows):
             if row:
                 total[k] = self.scores[np.fromiter(map(self.known.__getitem__, row), np.int64, len(row))].sum(axis=0)
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts)), total
         posterior = np.exp(total - total.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
         best = posterior.argmax(axis=1)
@@ -182,7 +255,7 @@ class Scorer:
 def _sample(labelled: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
     """About ``sample`` rows of each language, by a hash of the text."""
     spark = labelled.sparkSession
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     names = sorted(r.lang for r in sizes)
     kept = spark.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in sizes] or [], "lang string, share double")
     part = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -211,10 +284,10 @@ def train(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = RO
     flat = 1.0 / (np.arange(pieces.size) + 10.0)
     probs = np.repeat((flat / flat.sum())[:, None], len(names), axis=1)
     for _ in range(rounds):
-        now = probs
+        shared = labelled.sparkSession.sparkContext.broadcast(probs)
 
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Pieces(path)
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, now = Pieces(path), shared.value
             weighted = now * own.weight[:, None]
             total = np.zeros_like(now)
             for batch in batches:
@@ -222,12 +295,12 @@ def train(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = RO
                     part = batch.slice(at, TOGETHER)
                     n = np.zeros((part.num_rows, len(names)))
                     n[np.arange(part.num_rows), [place[x] for x in part.column(0).to_pylist()]] = part.column(2).to_numpy()
-                    total += Lattices(own, part.column(1).to_pylist()).expected(weighted, n)
+                    total += expected_uses(own, part.column(1).to_pylist(), n, weighted)
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "uses"])
 
         summed = counts.mapInArrow(expect, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow()
-        uses = np.zeros_like(now)
+        uses = np.zeros_like(probs)
         uses[summed["piece"].to_numpy(), summed["lang"].to_numpy()] = summed["uses"].to_numpy()
         share = uses / np.maximum(uses.sum(axis=0), 1e-300)
         mean = 0.9 * share.mean(axis=1) + 0.1 * flat / flat.sum()
@@ -240,9 +313,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     names = [c for c in docs.columns if c not in (lang_out, score_out)]
     frame = docs.select(*names)
     at = names.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        scorer = shared.value.scorer()
         for batch in batches:
             for a, b in _groups(batch.column(at), GROUP_CHARS):
                 part = batch.slice(a, b - a)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -37,6 +38,46 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(row[k], brute(pieces, probs[:, k], langid.MARK + w), rel_tol=1e-9)
 
 
+def by_position(pieces, probs, token):
+    """Exact sum over all segmentations, position by position in whole numbers over a power of two."""
+    sums = [Fraction(1)]
+    for j in range(1, len(token) + 1):
+        total = Fraction(0)
+        for i in range(max(0, j - pieces.longest), j):
+            k = pieces.number.get(token[i:j], pieces.size - 1 if j == i + 1 else None)
+            if k is not None:
+                total += sums[i] * Fraction(probs[k])
+        sums.append(total)
+    return sums[-1]
+
+
+def log_of(x):
+    return math.log(x.numerator) - math.log(x.denominator)
+
+
+def test_long_words_are_summed_whole():
+    pieces = langid.Pieces(PATH)
+    rng = np.random.default_rng(6)
+    probs = rng.random((pieces.size, 2)) / pieces.size
+    words = ["donaudampfschifffahrtsgesellschaftskapitaenswitwenrentenkasse", "the", "日" * 90, "internationalisation", "x" * 17]
+    got = langid.word_scores(pieces, words, probs)
+    for w, row in zip(words, got, strict=True):
+        for k in range(2):
+            assert math.isclose(row[k], log_of(by_position(pieces, probs[:, k], langid.MARK + w)), rel_tol=1e-9)
+    n = rng.random((3, 2))
+    whole = langid.Lattices(pieces, words[3:] + ["the"]).expected(probs, n)
+    assert np.allclose(langid.expected_uses(pieces, words[3:] + ["the"], n, probs), whole, rtol=1e-8)
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(f"l{k:03}", f"{letters[k // 20] * 3}{letters[k % 20] * 4} " * 30) for k in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), PATH, rounds=1)
+    assert len(model.languages) == 300
+    said, _, _ = model.scorer().predict([t for _, t in rows])
+    assert sum(a == b for a, (b, _) in zip(said, rows, strict=True)) > 280
+
+
 def test_expected_uses_are_the_gradient():
     pieces = langid.Pieces(PATH)
     probs = np.full((pieces.size, 1), 1.0 / pieces.size)
