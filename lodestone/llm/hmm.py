@@ -4,31 +4,34 @@ Tokens: the words of a text (A-Z lower-cased, cut at ASCII white space), then
 one end.  The base is the smoothed unigram ``(c + 0.1) / (N + 0.1 (V + 1))``
 from the training documents.  The model is a hidden Markov chain of ``STATES``
 states.  A state emits a class: one of the ``WORDS`` commonest words (of at
-most ``WORD_BYTES`` bytes), the end, or *rare*, for all other words.  Given
-rare, a word is unknown with the Good-Turing probability, training words that
-occur once over training tokens that are rare, and else a known one by its share
-of the base; unknown words are one event, as in the base.  So the model is a
-proper distribution over texts, and a text's log probability is the chain's for
-its classes plus one term per rare word, which needs no state.
+most ``WORD_BYTES`` bytes), the end, or for every other word, known or not, the
+one of ``HASHED`` classes that its CRC-32 names; so the emission of any word
+depends on the state, and the model has the same size for any vocabulary.
+Among the words without a class of their own, a word is unknown with the
+Good-Turing probability, those that occur once over all their tokens, and then
+in any hashed class alike, in every state; else it is a known one, by its share
+of the base within its class.  The unknown words of a class are one event.  So the model is a proper distribution
+over texts, and a text's log probability is the chain's for its classes plus
+one term per word without a class of its own, which needs no state.
 
 Learning: counts of all words of all training documents, combined before the
-shuffle; then ``ROUNDS`` rounds of Baum-Welch over all training documents.  A
-task adds up expected starts, transitions and emissions, which are summed by
-blocks of classes across the partitions.  For learning alone, a text is cut
-into sequences of ``PIECE`` tokens, each with a start of its own kind.
+shuffle; then ``ROUNDS`` rounds of Baum-Welch over all training documents,
+whole texts.  Texts run in lockstep in pieces of ``PIECE`` tokens; scaled
+products of the pieces' matrices give the exact forward and backward vectors at
+each cut, and moves across it count like any other.  A task adds up expected
+starts, moves and emissions, which are summed by blocks of classes across the
+partitions, first by groups of about the square root of the number of tasks.
 Emissions are smoothed by the base.
 
 Scoring is exact over whole texts: the scaled forward recursion runs over the
 stretches of a text in lockstep, each as a scaled matrix product, and chains
-the products.  What rare words contribute is found by a join on the word, not
-by a table in memory: broadcast are only the ``WORDS`` classes.  Words beyond
-those are grouped by text before the join, where adaptive execution may split
-a common one.
+the products.  What words without a class of their own contribute is found by a
+join of each text's distinct ones with the counts, not by a table in memory.
 
 Defined cases: a null text counts as empty and is an end alone; a null id
 counts as the empty text in the split; repeated rows are scored each; other
-columns are ignored; without training documents all words are rare and N and V
-are 0; an empty table gives an empty result.
+columns are ignored; without training documents all words are unknown and N and
+V are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+from math import isqrt
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +52,12 @@ from .common import shuffle_partitions, table, written
 
 STATES = 6
 ROUNDS = 5
-WORDS = 1 << 16
+#: Words with a class of their own, their largest size, and the classes of all others.
+WORDS = 1 << 15
 WORD_BYTES = 64
-#: Tokens of a learning sequence, and of a stretch of a text that is scored.
-PIECE = 128
+HASHED = 1 << 14
+#: Tokens of a piece of a text in learning, and of a stretch in scoring.
+PIECE = 512
 STRETCH = 64
 #: Weight of the base in a state's emissions, and of the prior in its moves, in tokens.
 PRIOR = 20.0
@@ -59,10 +67,8 @@ END = "\n"
 GROUP_CHARS = 2_000_000
 #: Classes of a block of summed counts.
 BLOCK = 4096
-#: Groups of tasks whose sums are added up first.
-FANS = 64
-#: Learning sequences that run in lockstep.
-TOGETHER = 4096
+#: Pieces that run in lockstep.
+TOGETHER = 1024
 
 
 def tokens(text: str) -> list[bytes]:
@@ -94,113 +100,144 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 class Base:
-    """The unigram over classes: words, then rare, then the end."""
+    """The unigram over classes: words, then hashed classes, then the end."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, end: int, n: int, v: int, once: int = 0) -> None:
+    def __init__(self, words: list[str], counts: np.ndarray, end: int, n: int, v: int, once: int, mass: np.ndarray) -> None:
+        """``mass``: sums of ``c + 0.1`` over the known words of each hashed class."""
         self.words = words
         self.n, self.v = n, v
         self.total = n + 0.1 * (v + 1)
-        own = (np.concatenate((counts, [end])) + 0.1) / self.total
-        self.end = len(words) + 1
-        self.rare = len(words)
-        left = max(1.0 - own.sum(), 0.0)
-        self.probs = np.concatenate((own[:-1], [left], own[-1:]))
-        if not end:  # nothing is known: the end shares the mass with all words
-            self.probs[self.rare], self.probs[self.end] = 0.5, 0.5
+        self.mass = mass / self.total
+        self.hashed = slice(len(words), len(words) + len(mass))
+        self.end = self.hashed.stop
         self.end_known = end > 0
-        # given rare: the probability of the unknown, and the base's mass of the known
-        self.known_mass = left - 0.1 / self.total
-        rare = n - end - float(counts.sum())
-        unknown = min(0.9, once / rare) if rare else 1.0
-        self.unknown = max(unknown, 0.1 / self.total / max(left, 0.1 / self.total)) if rare else 1.0
-        #: what rare has at least in every state
-        self.least_rare = min(0.5, max(once / max(n, 1), self.probs[self.rare] if not rare else 0.0, 1e-12))
+        unseen = 0.1 / self.total  # the base's one unknown event
+        others = n - end - float(counts.sum())
+        #: the unknown's share among the words without a class of their own
+        self.rate = min(0.9, max(once, 1) / others) if others else 1.0
+        weight = (1 - self.rate) * self.mass / max(self.mass.sum(), 1e-300) + self.rate / len(mass)
+        self.unknown = self.rate / len(mass) / weight
+        own = np.concatenate((counts + 0.1, [end + 0.1])) / self.total
+        self.probs = np.concatenate((own[:-1], (self.mass.sum() + unseen) * weight, own[-1:]))
+        if not n:  # nothing is known
+            self.probs = np.concatenate((0.5 * weight, [0.5]))
+        self.probs /= self.probs.sum()
+        self.end_log10 = float(np.log10((end + 0.1) / self.total))
+        #: what the hashed classes have together at least in every state
+        self.least = min(0.5, max(once / max(n, 1), unseen))
 
     def log10(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / self.total)
 
+    def class_terms(self) -> list[tuple[int, float, float]]:
+        """Of each hashed class what a known word's base logarithm lacks, and an unknown word's logarithm."""
+        known = np.log10(np.maximum(1 - self.unknown, 1e-300)) - np.log10(np.maximum(self.mass, 1e-300))
+        return [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(known, np.log10(self.unknown), strict=True))]
+
+
+def _hashed_class(token: str, classes: int) -> Column:
+    return (F.crc32(F.col(token).cast("binary")) % classes).cast("int")
+
 
-def learn_base(counts: DataFrame, words: int | None = None) -> Base:
-    """The base from ``counts(token, n)``; collects the commonest words only."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == END, F.col("n"))), F.lit(0))).first()
-    once = counts.where((F.col("n") == 1) & (F.col("token") != END)).count()
-    common = counts.where((F.col("token") != END) & (F.octet_length("token") <= WORD_BYTES)).orderBy(F.desc("n"), "token").limit(words or WORDS).toArrow()
-    return Base(common["token"].to_pylist(), common["n"].to_numpy().astype(np.float64), total[2], total[0], total[1], once)
+def learn_base(counts: DataFrame, words: int | None = None, hashed: int | None = None) -> Base:
+    """The base from ``counts(token, n)``; collects the commonest words and one sum for each hashed class."""
+    hashed = hashed or HASHED
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("token") == END, F.col("n"))), F.lit(0)), F.count_if((F.col("n") == 1) & (F.col("token") != END))).first()
+    common = counts.where((F.col("token") != END) & (F.octet_length("token") <= WORD_BYTES)).orderBy(F.desc("n"), "token").limit(words or WORDS)
+    common = written(common, "hmm-words")
+    others = counts.where(F.col("token") != END).join(F.broadcast(common.select("token")), "token", "left_anti")
+    sums = others.groupBy(_hashed_class("token", hashed).alias("class")).agg(F.sum(F.col("n") + 0.1).alias("mass")).toArrow()
+    mass = np.zeros(hashed)
+    mass[sums["class"].to_numpy()] = sums["mass"].to_numpy()
+    common = common.toArrow()
+    return Base(common["token"].to_pylist(), common["n"].to_numpy().astype(np.float64), total[2], total[0], total[1], total[3], mass)
 
 
 def number_texts(docs: DataFrame, base: Base) -> DataFrame:
-    """``docs(doc_id, held_out, text)`` as ``row, doc_id, held_out, classes, rare``: class numbers and the rare words."""
+    """``docs(doc_id, held_out, text)`` as ``row, doc_id, held_out, classes, others``: class numbers, and the distinct words without a class of their own."""
     shared = docs.sparkSession.sparkContext.broadcast(base.words)
     frame = docs.select("doc_id", "held_out", "text")
-    rare, end = base.rare, base.end
+    first, hashed, end = base.hashed.start, len(base.mass), base.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w.encode(): k for k, w in enumerate(shared.value)}
         for batch in batches:
             for a, b in _groups(batch.column(2), GROUP_CHARS):
                 classes: list[int] = []
-                ends, others, other_ends = [0], [], [0]
+                ends, others, times, other_ends = [0], [], [], [0]
                 for t in _clean(batch.column(2).slice(a, b - a)):
                     words = tokens(t)
-                    own = [number.get(w, rare) for w in words]
-                    others += [w for w, k in zip(words, own, strict=True) if k == rare]
+                    own = [number.get(w, -1) for w in words]
+                    if -1 in own:
+                        left = Counter(w for w, k in zip(words, own, strict=True) if k < 0)
+                        place = {w: first + crc32(w) % hashed for w in left}
+                        own = [place[w] if k < 0 else k for w, k in zip(words, own, strict=True)]
+                        others += left
+                        times += left.values()
                     classes += own
                     classes.append(end)
                     ends.append(len(classes))
                     other_ends.append(len(others))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(classes, pa.int32()))
-                words = pa.ListArray.from_arrays(pa.array(other_ends, pa.int32()), _names(others))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, words], names=["doc_id", "held_out", "classes", "rare"])
+                left = pa.StructArray.from_arrays([_names(others), pa.array(times, pa.int32())], names=["token", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, pa.ListArray.from_arrays(pa.array(other_ends, pa.int32()), left)], names=["doc_id", "held_out", "classes", "others"])
 
-    numbered = frame.mapInArrow(run, f"{_types(frame.select('doc_id', 'held_out'))}, classes array<int>, rare array<string>")
+    numbered = frame.mapInArrow(run, f"{_types(frame.select('doc_id', 'held_out'))}, classes array<int>, others array<struct<token string, times int>>")
     # the numbers of rows hold from here on, as the table is written
     return written(numbered.select(F.monotonically_increasing_id().alias("row"), "*"), "hmm-texts")
 
 
+def _cut(ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Texts cut into parts of ``size`` tokens: of each its text, number, begin and length; and the texts' numbers of parts."""
+    sizes = np.diff(ends)
+    parts = -(-sizes // size)
+    owner = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return owner, number, ends[:-1][owner] + number * size, np.minimum(size, sizes[owner] - number * size), parts
+
+
 class Chain:
     """Start, moves and emissions: (state), (state, state), (class, state)."""
 
-    def __init__(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray, inner: np.ndarray) -> None:
+    def __init__(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.moves, self.emit = start, moves, emit
-        self.inner = inner  # start of a learning sequence that isn't the first of its text
 
     @classmethod
     def first(cls, base: Base, states: int) -> Chain:
         rng = np.random.default_rng(17)
         emit = base.probs[:, None] * rng.gamma(2.0, size=(len(base.probs), states))
         moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-        even = np.full(states, 1.0 / states)
-        return cls(even, moves, emit / emit.sum(axis=0), even)
+        return cls(np.full(states, 1.0 / states), moves, emit / emit.sum(axis=0))
 
-    def log_likelihoods(self, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of all texts ``classes[ends[i]:ends[i + 1]]``."""
+    def _products(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scaled products of the matrices of each part's tokens, and the logarithms of the scales; a text's first token has no move before it."""
         k = len(self.start)
-        sizes = np.diff(ends)
-        stretches = -(-sizes // STRETCH)
-        owner = np.repeat(np.arange(len(sizes)), stretches)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        begin = ends[:-1][owner] + number * STRETCH
-        length = np.minimum(STRETCH, sizes[owner] - number * STRETCH)
         order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        product = np.empty((len(order), k, k))
-        scale = np.zeros(len(order))
-        for t in range(int(length.max(initial=0))):
-            n = int(np.searchsorted(-length, -t, side="left"))  # stretches longer than t
-            out = self.emit[classes[begin[:n] + t]]
+        begin, length, first = begin[order], length[order], first[order]
+        product = np.empty((len(order), k, k), emit.dtype)
+        moves, scale = self.moves.astype(emit.dtype), np.zeros(len(order))
+        longest = int(length.max(initial=0))
+        for t in range(longest):
+            n = int(np.searchsorted(-length, -t, side="left"))  # parts longer than t
+            out = emit[classes[begin[:n] + t]]
             if t:
-                product[:n] = (product[:n].reshape(-1, k) @ self.moves).reshape(-1, k, k) * out[:, None, :]
-            else:  # the first token of a text has no move before it
-                product[:n] = np.where(number[order][:n, None, None] == 0, np.eye(k), self.moves) * out[:, None, :]
-            if t % 8 == 7 or t == STRETCH - 1:
+                product[:n] = (product[:n].reshape(-1, k) @ moves).reshape(-1, k, k) * out[:, None, :]
+            else:
+                product[:n] = np.where(first[:n, None, None], np.eye(k, dtype=emit.dtype), moves) * out[:, None, :]
+            if t % 8 == 7 or t == longest - 1:
                 top = product[:n].max(axis=(1, 2))
                 product[:n] /= top[:, None, None]
                 scale[:n] += np.log(top)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        product, scale = product[back], scale[back]
-        total = np.zeros(len(sizes))
-        state = np.repeat(self.start[None, :], len(sizes), axis=0)
+        return product[back], scale[back]
+
+    def log_likelihoods(self, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of all texts ``classes[ends[i]:ends[i + 1]]``."""
+        _, number, begin, length, stretches = _cut(ends, STRETCH)
+        product, scale = self._products(classes, begin, length, number == 0, self.emit)
+        total = np.zeros(len(stretches))
+        state = np.repeat(self.start[None, :], len(stretches), axis=0)
         firsts = np.cumsum(stretches) - stretches
         by_length = np.argsort(-stretches, kind="stable")
         for step in range(int(stretches.max(initial=0))):
@@ -214,25 +251,40 @@ class Chain:
 
     def expect(self, classes: np.ndarray, ends: np.ndarray, sums: Sums) -> None:
         """Adds the expected counts of the texts to ``sums``."""
-        sizes = np.diff(ends)
-        parts = -(-sizes // PIECE)
-        owner = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = ends[:-1][owner] + number * PIECE
-        length = np.minimum(PIECE, sizes[owner] - number * PIECE)
+        owner, number, begin, length, parts = _cut(ends, PIECE)
+        k = len(self.start)
+        emit = self.emit32()
+        before = np.zeros((len(owner), k), np.float32)  # the state before a piece, but for the first of a text
+        after = np.ones((len(owner), k), np.float32)  # what comes behind a piece, given its last state
+        several = np.nonzero(parts[owner] > 1)[0]
+        if len(several):
+            product = np.zeros((len(owner), k, k), np.float32)
+            for at in range(0, len(several), TOGETHER):
+                own = several[at : at + TOGETHER]
+                product[own] = self._products(classes, begin[own], length[own], number[own] == 0, emit)[0]
+            firsts = np.cumsum(parts) - parts
+            for step in range(1, int(parts.max())):
+                texts = np.nonzero(parts > step)[0]
+                at = firsts[texts] + step
+                now = np.repeat(self.start[None, :].astype(np.float32), len(at), axis=0) if step == 1 else before[at - 1]
+                now = np.einsum("nk,nkl->nl", now, product[at - 1])
+                before[at] = now / now.sum(axis=1, keepdims=True)
+                at = firsts[texts] + parts[texts] - step
+                now = np.einsum("nkl,nl->nk", product[at], after[at])
+                after[at - 1] = now / now.max(axis=1, keepdims=True)
         order = np.argsort(-length, kind="stable")
         for at in range(0, len(order), TOGETHER):
             own = order[at : at + TOGETHER]
-            self._expect(classes, begin[own], length[own], number[own] == 0, sums)
+            self._expect(classes, begin[own], length[own], number[own] == 0, before[own], after[own], emit, sums)
 
-    def _expect(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, sums: Sums) -> None:
-        k, n, longest = len(self.start), len(begin), int(length.max())
+    def _expect(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, before: np.ndarray, after: np.ndarray, emit: np.ndarray, sums: Sums) -> None:
+        k, longest = len(self.start), int(length.max())
         alive = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest)]
-        emit32, moves = self.emit32(), self.moves.astype(np.float32)
+        moves = self.moves.astype(np.float32)
         alpha, outs = [], []
-        now = np.where(first[:, None], self.start, self.inner).astype(np.float32)
+        now = np.where(first[:, None], self.start.astype(np.float32), before @ moves)
         for t, m in enumerate(alive):
-            out = emit32[classes[begin[:m] + t]]
+            out = emit[classes[begin[:m] + t]]
             now = (now if t == 0 else now[:m] @ moves) * out
             now /= now.sum(axis=1, keepdims=True)
             alpha.append(now)
@@ -240,22 +292,24 @@ class Chain:
         beta = np.ones((0, k), np.float32)
         pair = np.zeros((k, k))
         for t in range(longest - 1, -1, -1):
-            m = alive[t]
-            here = np.ones((m, k), np.float32)
-            if len(beta):
+            m, on = alive[t], len(beta)
+            here = after[:m].copy()
+            if on:
                 follow = beta * outs[t + 1]
-                back = follow @ moves.T
-                norm = (alpha[t][: len(beta)] * back).sum(axis=1, keepdims=True)
-                pair += (alpha[t][: len(beta)] / norm).T @ follow
-                here[: len(beta)] = back / norm
-            gamma = alpha[t] * here
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            beta = here
+                here[:on] = follow @ moves.T
+            norm = (alpha[t] * here).sum(axis=1, keepdims=True)
+            if on:
+                pair += (alpha[t][:on] / norm[:on]).T @ follow
+            beta = here / norm
             sums.of_classes.append(classes[begin[:m] + t])
-            sums.weights.append(gamma)
+            sums.weights.append(alpha[t] * beta)
+        inner = ~first
+        if inner.any():  # the moves into the pieces
+            follow = beta[inner] * outs[0][inner]
+            norm = (before[inner] * (follow @ moves.T)).sum(axis=1, keepdims=True)
+            pair += (before[inner] / norm).T @ follow
         sums.pair += pair * self.moves
-        sums.start += gamma[first].sum(axis=0)
-        sums.inner += gamma[~first].sum(axis=0)
+        sums.start += sums.weights[-1][first].sum(axis=0)
         sums.gather()
 
     def emit32(self) -> np.ndarray:
@@ -268,18 +322,20 @@ class Chain:
         moves = sums.pair + MOVES / k
         emit = sums.emit + PRIOR * base.probs[:, None]
         emit /= emit.sum(axis=0)
-        rare = np.maximum(emit[base.rare], base.least_rare)
-        emit *= (1 - rare) / np.maximum(1 - emit[base.rare], 1e-300)
-        emit[base.rare] = rare
-        even = lambda x: (x + MOVES / k) / (x + MOVES / k).sum()
-        return cls(even(sums.start), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), even(sums.inner))
+        hashed = emit[base.hashed].sum(axis=0)
+        want = np.maximum(hashed, base.least)
+        block = want * ((1 - base.rate) * emit[base.hashed] / hashed + base.rate / len(base.mass))
+        emit *= (1 - want) / np.maximum(1 - hashed, 1e-300)
+        emit[base.hashed] = block
+        start = sums.start + MOVES / k
+        return cls(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
 class Sums:
     """Expected counts."""
 
     def __init__(self, classes: int, states: int) -> None:
-        self.start, self.inner, self.pair = np.zeros(states), np.zeros(states), np.zeros((states, states))
+        self.start, self.pair = np.zeros(states), np.zeros((states, states))
         self.emit = np.zeros((classes, states))
         self.of_classes: list[np.ndarray] = []
         self.weights: list[np.ndarray] = []
@@ -308,12 +364,19 @@ def _slices(column: pa.ListArray, limit: int = 500_000) -> Iterator[tuple[int, i
         at = to
 
 
+def _sums_batch(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in rows.values()], pa.binary())], names=["block", "sums"])
+
+
 def baum_welch(texts: DataFrame, base: Base, states: int = STATES, rounds: int = ROUNDS) -> Chain:
     """The chain after ``rounds`` rounds over all of ``texts(classes)``."""
     spark = texts.sparkSession
     classes = len(base.probs)
     chain = Chain.first(base, states)
     blocks = -(-classes // BLOCK)
+    own = texts.select("classes")
+    fans = max(1, isqrt(own.rdd.getNumPartitions()))
+    parts = shuffle_partitions(spark)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(chain)
 
@@ -323,29 +386,26 @@ def baum_welch(texts: DataFrame, base: Base, states: int = STATES, rounds: int =
                 for a, b in _slices(batch.column(0)):
                     now.expect(*_lists(batch.column(0).slice(a, b - a)), sums)
             if sums.start.any():
-                rows = [(-1, np.concatenate((sums.start, sums.inner, sums.pair.ravel())))]
-                rows += [(k, sums.emit[k * BLOCK : (k + 1) * BLOCK].ravel()) for k in range(blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["block", "sums"])
+                yield _sums_batch({-1: np.concatenate((sums.start, sums.pair.ravel()))} | {k: sums.emit[k * BLOCK : (k + 1) * BLOCK].ravel() for k in range(blocks)})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    part = np.frombuffer(x.as_buffer(), np.float64)
-                    total[k] = total[k] + part if k in total else part
+                    part = np.frombuffer(x.as_buffer(), np.float32)
+                    total[k] = total.get(k, 0.0) + part.astype(np.float64)
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
+                yield _sums_batch(total)
 
         # in two steps, so that no task meets the sums of all others
-        each = texts.select("classes").mapInArrow(expect, "block int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FANS)))
-        parts = shuffle_partitions(spark)
+        each = own.mapInArrow(expect, "block int, sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(fans)))
         some = each.repartition(parts, "part", "block").select("block", "sums").mapInArrow(add, "block int, sums binary")
         summed = some.repartition(min(blocks + 1, parts), "block").mapInArrow(add, "block int, sums binary").toArrow()
         sums = Sums(classes, states)
         for k, x in zip(summed["block"].to_pylist(), summed["sums"].to_pylist(), strict=True):
-            part = np.frombuffer(x, np.float64)
+            part = np.frombuffer(x, np.float32).astype(np.float64)
             if k < 0:
-                sums.start, sums.inner, sums.pair = part[:states], part[states : 2 * states], part[2 * states :].reshape(states, states)
+                sums.start, sums.pair = part[:states], part[states:].reshape(states, states)
             else:
                 sums.emit[k * BLOCK : (k + 1) * BLOCK] = part.reshape(-1, states)
         if not sums.start.any():
@@ -361,12 +421,10 @@ def score_texts(texts: DataFrame, counts: DataFrame, base: Base, chain: Chain) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, chain = shared.value
-        # rare words are added after the join
-        log_base = np.log10(base.probs)
-        log_base[base.rare] = 0.0
-        log_base[base.end] = base.log10(np.array(0.0)) if not base.end_known else log_base[base.end]
-        known = np.ones(len(base.probs), dtype=np.int64)
-        known[base.rare], known[base.end] = 0, int(base.end_known)
+        # words without a class of their own are added after the join
+        log_base, known = np.log10(base.probs), np.ones(len(base.probs), dtype=np.int64)
+        log_base[base.hashed], known[base.hashed] = 0.0, 0
+        log_base[base.end], known[base.end] = base.end_log10, int(base.end_known)
         for batch in batches:
             for a, b in _slices(batch.column(3)):
                 part = batch.slice(a, b - a)
@@ -379,23 +437,24 @@ def score_texts(texts: DataFrame, counts: DataFrame, base: Base, chain: Chain) -
                 )
 
     scored = frame.mapInArrow(run, f"{_types(frame.drop('classes'))}, n_tokens long, n_known long, base_score double, score double")
-    words = texts.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count("*").alias("times"))
-    found = words.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known_rare"),
-        F.sum(F.when(F.col("n") > 0, 0).otherwise(F.col("times"))).alias("unknown"),
-        F.sum(F.when(F.col("n") > 0, F.col("times") * F.log10((F.col("n") + 0.1) / F.lit(base.total)))).alias("known_score"),
+    words = texts.select("row", F.explode("others").alias("other")).select("row", "other.token", "other.times")
+    terms = texts.sparkSession.createDataFrame(base.class_terms(), "class int, known double, unknown double")  # a row for each hashed class
+    seen = F.col("n") > 0
+    found = words.join(counts, "token", "left").withColumn("class", _hashed_class("token", len(base.mass))).join(F.broadcast(terms), "class").groupBy("row").agg(
+        F.sum(F.when(seen, F.col("times")).otherwise(0)).alias("known_others"),
+        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(base.total))).alias("others_base"),
+        F.sum(F.col("times") * F.when(seen, F.log10((F.col("n") + 0.1) / F.lit(base.total)) + F.col("known")).otherwise(F.col("unknown"))).alias("others_score"),
     )
     both = scored.join(found, "row", "left")
-    known, unknown, own = (F.coalesce(c, F.lit(0)) for c in ("known_rare", "unknown", "known_score"))
-    share = float(np.log10((1 - base.unknown) / base.known_mass)) if base.unknown < 1 else 0.0
+    known, others_base, others_score = (F.coalesce(c, F.lit(0)) for c in ("known_others", "others_base", "others_score"))
     return both.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + known).cast("long").alias("n_known"),
         F.lit(base.n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + own + unknown * float(base.log10(np.array(0.0)))).alias("base_score"),
-        (F.col("score") + own + known * share + unknown * float(np.log10(base.unknown))).alias("score"),
+        (F.col("base_score") + others_base).alias("base_score"),
+        (F.col("score") + others_score).alias("score"),
     )
 
 
