@@ -23,8 +23,10 @@ never cross documents.
 4. An anchor with more kinds of contexts than a task sorts is dealt out by the
    strings themselves, so that no group is bounded or dropped.
 
-Contexts and the strings of step 4 count as equal if two 64-bit hashes agree.
-Text keys are 64-bit hashes, too; should two different texts share one, another
+Contexts of one anchor count as equal if their XXH3 hashes of 64 bits, lengths
+and offsets agree, the strings of step 4 if their XXH3 hashes of 128 bits do;
+the anchors' own hashes only bring together what is then compared.  Text keys
+are 64-bit hashes, too; should two different texts share one, another
 seed is taken.
 
 Defined cases: a null text counts as empty; texts shorter than ``SIZE`` bytes
@@ -41,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +91,6 @@ class Hashes:
         np.cumsum(self.of_byte[data] * self.up[: len(data)], out=out[1:])
         return out
 
-    def between(self, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix((sums[hi] - sums[lo]) * self.down[lo])
-
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """``op`` over each ``width`` neighbours, from every position with that many behind it."""
@@ -147,7 +147,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: Hash
     keep = thinned(at, grams[at])
     at, text = at[keep], text[keep]
     lo, hi = np.maximum(at - BEFORE, starts[text]), np.minimum(at + SIZE, ends[text])
-    context = mix(hashes.between(sums, lo, hi) ^ mix(((hi - lo) << 16 | (at - lo)).astype(np.uint64)))
+    view = memoryview(data)
+    own = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
+    context = mix(own ^ mix(((hi - lo) << 16 | (at - lo)).astype(np.uint64)))
     return text, at, grams[at], context
 
 
@@ -194,7 +196,8 @@ def judge_anchors(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     once; the second ``a, key, pos, twin, kinds``, one place of each kind of
     context whose anchor has several kinds (``twin``: it occurs more than once).
     """
-    again = marked.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # a table of its own, so that adaptive execution can split the join with a hot anchor
+    again = written(marked.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "substrings-again")
     cand = written(marked.join(again, "a"), "substrings-anchors")
     kinds = written(cand.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at")), "substrings-kinds")
     places = cand.join(kinds.where("n > 1").select("a", "c"), ["a", "c"]).select("key", "pos")
@@ -297,18 +300,16 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, twin, context): every string of a context by two hashes."""
-    hashes = Hashes(2 * SIZE)
+    """Rows (key, lo, twin, context): every string of a context by the two halves of its hash."""
     for batch in batches:
         for key, lo, twin, context in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             n = len(context) - SIZE + 1
             if n <= 0:
                 continue
-            data = np.frombuffer(context, np.uint8)
-            at = np.arange(n)
-            sums, reverse = hashes.sums(data), hashes.sums(data[::-1])
+            view, at = memoryview(context), np.arange(n)
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[k : k + SIZE]) for k in range(n)), np.int64).reshape(n, 2)
             yield pa.RecordBatch.from_arrays(
-                [_long(hashes.between(sums, at, at + SIZE)), _long(hashes.between(reverse, len(data) - at - SIZE, len(data) - at)), pa.array(np.full(n, key)), pa.array((lo + at).astype(np.int32)), pa.array(np.full(n, twin))],
+                [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(np.full(n, key)), pa.array((lo + at).astype(np.int32)), pa.array(np.full(n, twin))],
                 names=["s", "r", "key", "lo", "twin"],
             )
 
