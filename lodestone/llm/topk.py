@@ -8,9 +8,11 @@ bound of its distance and so an upper bound of its score.  A query evaluates
 its candidates in the order of that bound and stops, exactly, when no later
 candidate can enter its k best.
 
-Pivots: chosen farthest-first among ``SAMPLE`` vectors, those with the smallest
-hash of their id.  That bound only steers how much is eliminated; every row is
-in the table.
+Pivots: chosen farthest-first among ``SAMPLE`` candidates, those with the
+smallest hash of their id.  The same candidates give every query a floor before
+it meets any block, the k-th best score among them: what is bounded below the
+floor is eliminated at once, whole blocks if need be.  The sample only steers
+how much is eliminated; every row is in the table.
 
 Queries and candidates are hashed into blocks by id, so that equal vectors
 spread; a pair of blocks is one task's work of bounded size.  Candidates are
@@ -19,8 +21,9 @@ shuffled once per block of queries, queries once per block of candidates.
 Defined cases: vectors that are null, empty, or hold null or non-finite
 components, and rows without an id, take no part; nor do vectors of another
 length than a query's.  ``vec_id`` names a row: a query never meets a row of
-its own id, a repeated query is answered once, and a repeated candidate counts
-once for each row.  Equal scores go to the smaller id.  Scores beyond 2**52
+its own id; of queries that share an id, the smallest vector is answered; and a
+repeated candidate counts once for each row.  A component beyond a long is an
+error.  Equal scores go to the smaller id.  Scores beyond 2**52
 are evaluated in Python integers, and one that no long holds is an error.  Other columns are ignored.
 """
 
@@ -37,11 +40,13 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, table, written
 
 PIVOTS = 16
-SAMPLE = 512
+SAMPLE = 2048
 #: Rows of a block at most on average; a table has at least MIN_BLOCKS of candidates.
 QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 65_536
 MIN_BLOCKS = 64
+#: Queries that meet the sample together.
+QUERY_STEP = 1024
 #: Candidates evaluated at first; the next steps double.
 STEP = 64
 LIMIT = 2**31  # components up to here stay exact as doubles
@@ -51,7 +56,8 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """``vec_id long, v array<long>`` of the rows that take part."""
     frame = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return frame.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"))
+    whole = lambda e: F.when(F.abs(e * scale) < 2.0**63, F.floor(e * scale)).otherwise(F.raise_error(F.lit("a component is too large for a long")))
+    return frame.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", F.transform("x", whole).alias("v"))
 
 
 def farthest_first(sample: np.ndarray, k: int) -> np.ndarray:
@@ -65,14 +71,15 @@ def farthest_first(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
-def pick_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Pivots of the commonest length in a bounded sample."""
-    found = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the commonest length in a bounded sample."""
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()
     if not found:
-        return np.zeros((0, 0))
-    sizes = [len(v) for v in found]
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+    sizes = [len(r.v) for r in found]
     size = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    return farthest_first(np.array([v for v in found if len(v) == size], dtype=np.float64), pivots)
+    found = [r for r in found if len(r.v) == size]
+    return np.array([r.vec_id for r in found], dtype=np.int64), np.array([r.v for r in found], dtype=np.int64)
 
 
 class Block:
@@ -87,10 +94,20 @@ class Block:
         near = pivots if pivots.shape[1:] == self.v.shape[1:] else np.zeros((1, self.v.shape[1]))
         squared = self.norm[:, None] + (near * near).sum(axis=1)[None, :] - 2 * self.v @ near.T
         self.table = np.sqrt(np.maximum(squared, 0))
+        #: candidates whose scores were computed
+        self.evaluated = 0
 
 
-def search(q: Block, i: int, c: Block, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one query among the candidates of a block."""
+def floors(q: Block, sample: Block, k: int) -> np.ndarray:
+    """For every query the k-th best score among sampled candidates, or minus infinity."""
+    if not (q.exact and sample.exact) or q.v.shape[1:] != sample.v.shape[1:]:
+        return np.full(len(q.ids), -np.inf)
+    scores = np.where(q.ids[:, None] == sample.ids[None, :], -np.inf, q.v @ sample.v.T)
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q.ids), -np.inf)
+
+
+def search(q: Block, i: int, c: Block, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+    """The k best (score, id) of one query among the candidates of a block; those below ``floor`` may be missing."""
     if not (q.exact and c.exact):
         scored = sorted(((sum(int(a) * int(b) for a, b in zip(q.whole[i], row, strict=True)), int(x)) for x, row in zip(c.ids, c.whole, strict=True) if x != q.ids[i]), key=lambda t: (-t[0], t[1]))
         return scored[:k]
@@ -100,7 +117,8 @@ def search(q: Block, i: int, c: Block, k: int) -> list[tuple[int, int]]:
     # rounding of the distances moves a bound by far less than what is added
     slack = 1 + 1e-9 * (q.norm[i] + c.norm)
     bound = (q.norm[i] + c.norm - gap * gap) / 2 + slack
-    order = np.argsort(-bound, kind="stable")  # equal bounds: the smaller id
+    open_ = np.nonzero(bound >= floor)[0]
+    order = open_[np.argsort(-bound[open_], kind="stable")]  # equal bounds: the smaller id
     best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
     at, step = 0, STEP
     while at < len(order):
@@ -108,6 +126,7 @@ def search(q: Block, i: int, c: Block, k: int) -> list[tuple[int, int]]:
             break
         part = order[at : at + step]
         part_ids = c.ids[part]
+        c.evaluated += len(part)
         keep = part_ids != q.ids[i]
         s = np.concatenate((best_s, c.v[part[keep]] @ q.v[i]))
         x = np.concatenate((best_i, part_ids[keep]))
@@ -126,21 +145,43 @@ def _by_length(rows: pd.DataFrame, pivots: np.ndarray) -> dict[int, Block]:
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query; both inputs as :func:`quantised` gives them."""
     candidates = written(candidates, "topk-candidates")
-    queries = written(queries.dropDuplicates(["vec_id"]), "topk-queries")
-    pivots = pick_pivots(candidates)
+    spark = candidates.sparkSession
+    ids, vectors = sampled(candidates)
+    pivots = farthest_first(vectors.astype(np.float64), PIVOTS) if len(ids) else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast((ids, vectors, pivots))
+
+    def with_floor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors, _ = shared.value
+        sample = Block(ids, vectors, np.zeros((0, 0))) if len(ids) else None
+        for whole in batches:
+            for at in range(0, len(whole), QUERY_STEP):
+                rows = whole.iloc[at : at + QUERY_STEP].copy()
+                rows["floor"] = -np.inf
+                if sample is not None:
+                    sizes = rows["v"].map(len).to_numpy()
+                    for n in np.unique(sizes):
+                        block = Block(rows["vec_id"].to_numpy()[sizes == n], np.stack(rows["v"].to_numpy()[sizes == n]), np.zeros((0, 0)))
+                        found = dict(zip(block.ids.tolist(), floors(block, sample, k).tolist(), strict=True))
+                        rows.loc[sizes == n, "floor"] = [found[x] for x in rows["vec_id"].to_numpy()[sizes == n].tolist()]
+                yield rows
+
+    one = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = written(one.mapInPandas(with_floor, "vec_id long, v array<long>, floor double"), "topk-queries")
     n_q = max(1, -(-queries.count() // QUERY_BLOCK))
     n_c = max(MIN_BLOCKS, -(-candidates.count() // CANDIDATE_BLOCK))
     blocks = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(blocks(n_c)).alias("cb"))
+    q = queries.select("vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(blocks(n_c)).alias("cb"))
     c = candidates.select("vec_id", "v", F.explode(blocks(n_q)).alias("qb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_c)).cast("int").alias("cb"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
+        pivots = shared.value[2]
         mine, theirs = _by_length(left, pivots), _by_length(right, pivots)
+        floor = dict(zip(left["vec_id"].tolist(), left["floor"].tolist(), strict=True))
         for n, block in mine.items():
             if n in theirs:
-                for i, x in enumerate(block.ids):
-                    out += [(int(x), v, s) for s, v in search(block, i, theirs[n], k)]
+                for i, x in enumerate(block.ids.tolist()):
+                    out += [(x, v, s) for s, v in search(block, i, theirs[n], k, floor[x])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "query_id long, vec_id long, score long")

@@ -12,7 +12,7 @@ from lodestone.llm import topk
 def brute(rows, k, queries):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
-    for q, v in {i: v for i, v in ok if queries(i)}.items():
+    for q, v in {i: min(w for j, w in ok if j == i) for i, _ in ok if queries(i)}.items():
         best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v)))[:k]
         out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     return out
@@ -50,27 +50,32 @@ def test_clusters_ties_and_small_blocks(spark, monkeypatch):
         [(0, None), (50, [1.0, None]), (100, [float("nan"), 1.0]), (150, [float("inf"), 1.0]), (None, [1.0, 2.0]), (200, [])],
         [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (50, [3.0]), (51, [2.0]), (0, [1.0, 2.0])],
         [(0, [1e6, -1e6]), (1, [1e6 + 3, 1.0]), (2, [-3.5, 2.0])],
+        [(0, [2.0, 1.0]), (0, [1.0, 3.0]), (50, [1.0, 1.0]), (3, [1.0, 0.0])],
     ],
 )
 def test_cases(spark, rows):
-    assert run(spark, rows) == brute([*dict.fromkeys((i, tuple(v or ())) for i, v in rows if i == 0), *[(i, v) for i, v in rows if i != 0]], 5, lambda i: i % 50 == 0)
+    assert run(spark, rows) == brute(rows, 5, lambda i: i % 50 == 0)
+
+
+def test_a_component_beyond_a_long_is_an_error(spark):
+    with pytest.raises(Exception, match="too large for a long"):
+        run(spark, [(0, [1e18]), (1, [1.0])])
 
 
 def test_elimination_skips_candidates():
     rng = np.random.default_rng(4)
     v = np.concatenate([np.floor(rng.normal(size=(500, 4)) * 3 + c) for c in (0, 4000, 9000)]).astype(np.int64)
-    block = topk.Block(np.arange(len(v)), v, topk.farthest_first(v.astype(float), 8))
-
-    class Counted(np.ndarray):
-        seen = 0
-
-        def __getitem__(self, part):
-            Counted.seen += np.size(part)
-            return np.asarray(super().__getitem__(part))
-
-    block.v = block.v.view(Counted)
-    got = topk.search(block, 1400, block, 5)
+    pivots = topk.farthest_first(v.astype(float), 8)
     scores = v @ v[1400]
     want = sorted((-int(s), i) for i, s in enumerate(scores) if i != 1400)[:5]
-    assert got == [(-s, i) for s, i in want]
-    assert Counted.seen < 1000
+    block = topk.Block(np.arange(len(v)), v, pivots)
+    assert topk.search(block, 1400, block, 5) == [(-s, i) for s, i in want]
+    assert 0 < block.evaluated < 1000
+    # a floor from a sample eliminates a block of others as a whole, and never a result
+    some = topk.Block(np.arange(1000, 1500, 5), v[1000:1500:5], pivots)
+    floor = topk.floors(block, some, 5)[1400]
+    assert floor <= -want[-1][0] and topk.floors(block, topk.Block(np.arange(3), v[:3], pivots), 5)[1400] == -np.inf
+    whole = topk.Block(np.arange(len(v)), v, pivots)
+    assert topk.search(whole, 1400, whole, 5, floor) == [(-s, i) for s, i in want] and whole.evaluated <= block.evaluated
+    far = topk.Block(np.arange(500), v[:500], pivots)
+    assert topk.search(block, 1400, far, 5, floor) == [] and far.evaluated == 0
