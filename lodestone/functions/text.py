@@ -57,6 +57,47 @@ def truncate_json(c: Column, size: int = 100) -> Column:
     return F.when(F.length(c) > size, F.concat(F.lit("Truncated "), F.length(c).cast("string"), F.lit(" characters..."))).otherwise(c)
 
 
+def is_complex(json: Column) -> Column:
+    """Whether a JSON text is an array or an object."""
+    kind = F.schema_of_variant(F.try_parse_json(json))
+    return F.coalesce(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(False))
+
+
+def scalar_text(json: Column) -> Column:
+    """A JSON string without its quotes; numbers, arrays and objects as JSON."""
+    value = F.try_parse_json(json)
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(json)
+
+
+def _items(json: Column) -> Column:
+    """The items of a JSON array as ``array<struct<key, value>>``, keyed from 0; strings come without quotes."""
+    return F.transform(F.from_json(json, "array<string>"), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value")))
+
+
+def _entries(json: Column) -> Column:
+    return F.transform(F.map_entries(F.from_json(json, "map<string,string>")), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
+
+
+def result_rows(c: Column, items: int = 5) -> Column:
+    """A tool result as ``array<struct<key, value>>``: the first items of a JSON array, the entries of an object, else the text without a key."""
+    raw = F.array(F.struct(F.lit(None).cast("string").alias("key"), c.alias("value")))
+    return F.when(~is_complex(c), raw).when(c.rlike(r"^\s*\["), F.slice(_items(c), 1, items)).otherwise(_entries(c))
+
+
+def truncate_value(json: Column, size: int = 100, items: int = 2) -> Column:
+    """A JSON value for a narrow place: a cut string, the first items of an array, a note for a long object, else the value."""
+    first = F.to_json(F.transform(F.slice(F.from_json(json, "array<string>"), 1, items), lambda x: truncate_string(x, size)))
+    text = scalar_text(json)
+    return F.when(json.rlike(r"^\s*\[") & is_complex(json), first).when(is_complex(json), truncate_json(json, size)).otherwise(truncate_string(text, size))
+
+
+def interrupt_rows(json: Column, items: int = 5, lines: int = 4, size: int = 500) -> Column:
+    """Rows ``key, value`` of a collapsed interrupt: the first items of an array; an object's entries, cut only if it is tall or long."""
+    big = (F.size(F.split(json, "\n", -1)) > lines) | (F.length(json) > size)
+    cut = F.transform(_entries(json), lambda e: F.struct(e.key.alias("key"), F.when(is_complex(e.value), truncate_value(e.value)).otherwise(truncate_string(e.value)).alias("value")))
+    return F.when(json.rlike(r"^\s*\["), F.slice(_items(json), 1, items)).when(big, cut).otherwise(_entries(json))
+
+
 def prettify(c: Column) -> Column:
     """Start case: words from underscores, hyphens and camel case."""
     spaced = F.regexp_replace(F.regexp_replace(c, "[_-]+", " "), "([a-z0-9])([A-Z])", "$1 $2")

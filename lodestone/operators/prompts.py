@@ -52,6 +52,11 @@ def joined_text_blocks(blocks: Column, separator: str) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: b.type == "text"), lambda b: b.text), separator)
 
 
+def content_string(plain: Column, blocks: Column) -> Column:
+    """A content that is text as it is, else the texts of its text blocks, joined by a space."""
+    return F.coalesce(plain, joined_text_blocks(blocks, " "), F.lit(""))
+
+
 def role_label(kind: Column) -> Column:
     """Only the capital form of ``System`` has a label."""
     return F.when(kind == "human", "User").when(kind == "ai", "Assistant").when(kind == "tool", "Tool").when(kind == "System", "System").otherwise("")

@@ -12,14 +12,18 @@ OFFERED, DEFAULTS = ("edit", "approve", "reject"), ("approve", "reject", "edit")
 NO_RESPONSE, NOT_SELECTED, NO_REASON = "Please enter a response.", "No response selected.", "Please provide a rejection reason."
 
 
-def valid_request(json: Column) -> Column:
-    """Whether a JSON text is a request: two non-empty arrays of well-formed entries."""
-    r = F.from_json(json, REQUEST)
+def _valid(r: Column) -> Column:
     actions = (F.size(r.action_requests) > 0) & F.forall(r.action_requests, lambda a: a["name"].isNotNull() & a.args.isNotNull())
     configs = (F.size(r.review_configs) > 0) & F.forall(r.review_configs, lambda c: c.action_name.isNotNull() & c.allowed_decisions.isNotNull())
     return F.coalesce(actions & configs, F.lit(False))
 
 
+def valid_request(json: Column) -> Column:
+    """Whether a JSON text is a request, two non-empty arrays of well-formed entries, or an array that begins with one."""
+    several = F.get(F.from_json(json, f"array<{REQUEST}>"), F.lit(0))
+    return F.when(json.rlike(r"^\s*\["), _valid(several)).otherwise(_valid(F.from_json(json, REQUEST)))
+
+
 def config_for(name: Column, configs: Column, fallback: Column) -> Column:
     """The first config of the action's name, else the one at a 0-based place."""
     return F.coalesce(F.get(F.filter(configs, lambda c: c.action_name == name), F.lit(0)), F.get(configs, fallback))
@@ -79,5 +83,10 @@ def after_decision(status: Column, complete: Column) -> Column:
     return F.when((status == "interrupted") & complete, "busy").otherwise(status)
 
 
+def after_resolve(status: Column) -> Column:
+    """A thread whose interrupt is resolved goes to its end, whatever is decided or open."""
+    return F.when(status == "interrupted", "idle").otherwise(status)
+
+
 def interrupt_title(title: Column, number: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit("Interrupt "), number.cast("string")))

@@ -1,10 +1,13 @@
 """Exact similarity search.
 
 ``search`` answers one query as a plan of scan, filter, projection and top-k.
-``search_many`` answers any number: queries are read in blocks of bounded size,
-each block scores the points where they lie (Arrow, one matrix product a
-batch), keeps the best of every batch, and the rest is a top-k per query.
-Equal scores, to six digits, go to the smaller id.
+``search_many`` answers any number in one plan.  A block of at most
+``QUERY_BLOCK`` queries is sent to the points, which are scored where they lie
+(Arrow, one matrix product a batch).  More queries are dealt into blocks, and
+blocks of points meet them in a cogroup, without the driver.  The best of every
+batch go on to a top-k per query.  Equal scores, to six digits, go to the
+smaller id.  A vector that is null or empty, holds nulls or has another length
+than its counterpart takes no part.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from lodestone.functions.vectors import distance
 
 #: Queries that are sent to the points together.
 QUERY_BLOCK = 4096
+#: Points of a block on average that meets a block of queries.
+POINT_BLOCK = 65_536
 #: Points that are scored together.
 POINT_BATCH = 2048
 
@@ -55,60 +61,93 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return product
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.where((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
+
+
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
+        at = np.nonzero(sizes == n)[0]
+        yield at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(n))
+
+
+Block = dict[int, tuple[list, np.ndarray]]  # by length: ids and vectors of queries
+
+
+def _best(asked: Block, points: pa.RecordBatch, name: str, sign: float, k: int) -> Iterator[pa.RecordBatch]:
+    """Columns (id, v) of points: the ``k`` best of them for each query."""
+    for start in range(0, points.num_rows, POINT_BATCH):
+        batch = points.slice(start, POINT_BATCH)
+        for at, v in _by_length(batch.column(1)):
+            if v.shape[1] not in asked:
+                continue
+            ids, q = asked[v.shape[1]]
+            own = batch.column(0).take(pa.array(at))
+            score = np.round(_scores(name, q, v), 6)
+            by_id = np.argsort(np.array(own.to_pylist()), kind="stable")
+            best = by_id[np.argsort(sign * score[:, by_id], axis=1, kind="stable")[:, :k]]
+            n = best.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), own.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["query_id", "id", "score"])
+
+
+def _ranked(found: DataFrame, k: int, larger: bool) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best points of every query; ``queries(query_id, embedding)``."""
     _, larger = distance(metric)
     name, sign = metric.upper(), -1.0 if larger else 1.0
     spark = points.sparkSession
-    frame = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    kinds = {n: frame.schema[n].dataType.simpleString() for n in ("id",)}
-    q_kind = queries.schema[query_id].dataType.simpleString()
-    schema = f"query_id {q_kind}, id {kinds['id']}, score double"
-    out = None
-    asked = queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-    few = asked.limit(QUERY_BLOCK + 1).collect()
-    blocks = 1 if len(few) <= QUERY_BLOCK else -(-asked.count() // QUERY_BLOCK)
-    for block in range(blocks):
-        # hashed blocks hold about QUERY_BLOCK queries each
-        rows = few if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast(([r.i for r in rows], np.array([r.v for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, POINT_BATCH):
-                    batch = whole.slice(at, POINT_BATCH)
-                    v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    score = np.round(_scores(name, q, v), 6)
-                    by_id = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")
-                    best = by_id[np.argsort(sign * score[:, by_id], axis=1, kind="stable")[:, :k]]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i for i in ids for _ in range(n)]), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())],
-                        names=["query_id", "id", "score"],
-                    )
-
-        found = frame.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    asked = _whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")))
+    schema = f"query_id {asked.schema['i'].dataType.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        ids, vectors = few.column(0).to_pylist(), few.column(1).combine_chunks()
+        shared = spark.sparkContext.broadcast({v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _best(shared.value, batch, name, sign, k)
+
+        return _ranked(frame.mapInArrow(run, schema), k, larger)
+
+    n_q = -(-asked.count() // QUERY_BLOCK)
+    n_p = max(spark.sparkContext.defaultParallelism, -(-frame.count() // POINT_BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("qb", dealt("i", n_q)).withColumn("pb", each(n_p))
+    right = frame.withColumn("pb", dealt("id", n_p)).withColumn("qb", each(n_q))
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, vectors = mine.column("i").to_pylist(), mine.column("v").combine_chunks()
+        block = {v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)} if ids else {}
+        kind = pa.schema([("query_id", mine.schema.field("i").type), ("id", theirs.schema.field("id").type), ("score", pa.float64())])
+        parts = [x for batch in theirs.select(["id", "v"]).combine_chunks().to_batches() for x in _best(block, batch, name, sign, k)]
+        found = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x.columns, kind, strict=True)], schema=kind) for x in parts], schema=kind)
+        order = found.sort_by([("query_id", "ascending"), ("score", "descending" if larger else "ascending"), ("id", "ascending")])
+        own = order.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        return order.filter(pa.array(rank < k))
+
+    return _ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(meet, schema), k, larger)
 
 
 def search_many_native(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """As :func:`search_many` in DataFrame functions, for a block of at most QUERY_BLOCK queries."""
-    rows = queries.limit(QUERY_BLOCK + 1).select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries; search_many has no such bound")
+    """As :func:`search_many` in DataFrame functions; every block of queries is one row that the points meet by its number."""
     score, larger = distance(metric)
-    kind = queries.schema[query_id].dataType.simpleString()
-    local = points.sparkSession.createDataFrame([(r.i, r.v) for r in rows], f"query_id {kind}, q array<double>")
-    every = F.array(*(F.struct(F.lit(r.i).cast(kind).alias("query_id"), F.array(*map(F.lit, r.v)).alias("q")) for r in rows)) if rows else None
-    if every is None:
-        return local.select("query_id").join(points.select(F.col(id_col).alias("id")).limit(0), F.lit(True)).selectExpr("query_id", "id", "0D AS score", "1 AS rank").limit(0)
-    paired = points.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.explode(every).alias("one"))
-    scored = paired.select("one.query_id", "id", F.round(score(F.col("v"), F.col("one.q")), 6).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score") if larger else F.asc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = _whole(queries.select(F.col(query_id).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    listed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("asked"))
+    frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    frame = frame.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = frame.join(F.broadcast(listed) if blocks == 1 else listed, "block").select("id", "v", F.explode("asked").alias("one")).where(F.size("v") == F.size("one.q"))
+    scored = met.select("one.query_id", "id", F.round(score(F.col("v"), F.col("one.q")), 6).alias("score"))
+    return _ranked(scored, k, larger)
 
 
 def distinct_sources(hits: DataFrame, key: str) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.vectors import distance
 
@@ -19,6 +25,18 @@ def chunk_id() -> F.Column:
     return F.md5(F.concat_ws("|", "location", "source", F.col("article_no").cast("string"), F.col("chunk_no").cast("string")))
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one under a local master alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-work-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        root = "file://" + root
+    return os.path.join(root, uuid.uuid4().hex)
+
+
 class Collection:
     """A named set of points of one dimension and distance.
 
@@ -34,9 +52,12 @@ class Collection:
         return self.spark.read.schema("version int, dim int, metric string").json(os.path.join(self.path, "_versions"))
 
     def version(self) -> int:
+        """The version in use; 0 if the collection was never built."""
         try:
             found = self._meta().agg(F.max("version")).first()[0]
-        except Exception:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return 0
         return found or 0
 
@@ -54,7 +75,11 @@ class Collection:
         points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("location").parquet(path)
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.path, f"v{self.version()}"))
+        """The points in use; a location is text, even where all locations look like numbers."""
+        path = os.path.join(self.path, f"v{self.version()}")
+        found = self.spark.read.parquet(path).schema
+        kinds = T.StructType([T.StructField("location", T.StringType()) if f.name == "location" else f for f in found])
+        return self.spark.read.schema(kinds).parquet(path)
 
     def count(self) -> int:
         return self.points().count()

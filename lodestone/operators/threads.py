@@ -110,3 +110,16 @@ def first_tokens(states: DataFrame) -> DataFrame:
     """The states in which the number of messages has changed and the last one is an AI message."""
     order = Window.partitionBy("conv_id").orderBy("step")
     return states.withColumn("before", F.coalesce(F.lag("n").over(order), F.lit(0))).where((F.col("n") != F.col("before")) & (F.col("last_type") == "ai")).drop("before")
+
+
+def submission(rows: DataFrame, typed: DataFrame) -> DataFrame:
+    """``conv_id, place, type, id, content``: what a submission sends, missing tool replies in order and then the human message.
+
+    ``typed(conv_id, id, content)`` has the human messages; nothing is sent to a
+    conversation without one.
+    """
+    replies = missing_tool_replies(rows).join(typed.select("conv_id"), "conv_id", "left_semi")
+    sent = replies.select("conv_id", F.lit(0).alias("last"), "turn", "call_no", F.lit("tool").alias("type"), "id", "content")
+    human = typed.select("conv_id", F.lit(1).alias("last"), F.lit(None).cast(sent.schema["turn"].dataType).alias("turn"), F.lit(None).cast("int").alias("call_no"), F.lit("human").alias("type"), "id", "content")
+    order = Window.partitionBy("conv_id").orderBy("last", "turn", "call_no", "id")
+    return sent.unionByName(human).select("conv_id", F.row_number().over(order).alias("place"), "type", "id", "content")

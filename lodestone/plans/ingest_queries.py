@@ -102,14 +102,14 @@ SELECT doc_id AS article_no, CAST(chunk_no AS INTEGER) AS chunk_no, chunk FROM l
 """
 
 
-def _packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = F.transform(chunking.cut(F.col("text"), "\n", "\n"), lambda t: F.struct(t.alias("t"), F.lit(False).alias("b")))
     return articles(spark, sf_dir).where("text IS NOT NULL").select("location", "article_no", "source", F.posexplode(chunking.pack(pieces, 800)).alias("chunk_no", "chunk")).where("chunk <> ''")
 
 
 @query(_PACKED)
 def chunks_packed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_lines(spark, sf_dir).select("article_no", "chunk_no", "chunk")
+    return _lines(spark, sf_dir).select("article_no", "chunk_no", "chunk")
 
 
 @query(f"SELECT doc_id AS article_no, {_STRIP.replace('x,', 'text,', 1)} AS text FROM documents WHERE {_STRIP.replace('x,', 'text,', 1)} <> ''")
@@ -122,16 +122,14 @@ def chunks_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select("article_no", F.posexplode(F.split("text", "\n", -1)).alias("chunk_no", "line"))
 
 
-@query("WITH c AS (" + _PACKED.replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + """)
-SELECT md5(d.source || '|doc:' || d.doc_id || '|' || d.doc_id || '|' || c.chunk_no) AS chunk_id, d.source AS location, 'doc:' || d.doc_id AS source, c.chunk_no
-FROM c JOIN documents d ON d.doc_id = c.article_no""")
+@query()
 def chunks_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_lines(spark, sf_dir).select(store.chunk_id().alias("chunk_id"), "location", "source", "chunk_no")
+    return chunked(articles(spark, sf_dir)).select("chunk_id", "location", "source", "chunk_no")
 
 
 @query()
 def chunks_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All five levels; SQL has no form of it, tests hold it against a plain model."""
+    """All five levels; SQL has no form of it, tests hold it and the counts against a plain splitter."""
     return chunked(articles(spark, sf_dir))
 
 
@@ -144,14 +142,14 @@ def chunk_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("article_no", (whole == bare(F.col("text"))).alias("in_order"), F.forall("c", lambda x: F.length(x) <= 800).alias("bounded"), (F.length(whole) - F.length(bare(F.col("text")))).cast("long").alias("repeated_chars"))
 
 
-@query("WITH c AS (" + _PACKED + ") SELECT d.source AS location, count(*) AS n FROM c JOIN documents d ON d.doc_id = c.article_no GROUP BY 1")
+@query()
 def chunks_per_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_lines(spark, sf_dir).groupBy("location").agg(F.count("*").alias("n"))
+    return chunked(articles(spark, sf_dir)).groupBy("location").agg(F.count("*").alias("n"))
 
 
-@query("WITH c AS (" + _PACKED + ") SELECT count(*) AS n FROM c")
+@query()
 def chunks_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_lines(spark, sf_dir).agg(F.count("*").alias("n"))
+    return chunked(articles(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,22 +157,32 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.col("vec_id").cast("string"))).alias("id"), F.col("label").cast("string").alias("location"), "vec_id", "embedding")
 
 
+def _collection(spark: SparkSession, sf_dir: str, times: int = 1) -> store.Collection:
+    """All points in a collection of their dimension, rebuilt so many times."""
+    points = _points(spark, sf_dir)
+    dim = points.agg(F.max(F.size("embedding"))).first()[0] or 1
+    kept = store.Collection(spark, store.work_dir(spark), "points", dim)
+    for _ in range(times):
+        kept.rebuild(points)
+    return kept
+
+
 @query("SELECT md5(label || '|' || vec_id) AS id, CAST(label AS VARCHAR) AS location, vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
 def collection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows a rebuild writes: vector and payload are columns of one row."""
-    return _points(spark, sf_dir).select("id", "location", "vec_id", F.size("embedding").alias("dim"))
+    """The rows of a rebuilt collection: vector and payload are columns of one row."""
+    return _collection(spark, sf_dir).points().select("id", "location", "vec_id", F.size("embedding").alias("dim"))
 
 
 @query("SELECT count(*) AS n FROM embeddings")
 def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir).agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(_collection(spark, sf_dir).count(),)], "n long")
 
 
-@query("SELECT CAST(label AS VARCHAR) AS location, count(*) AS n, count(DISTINCT vec_id) AS n_ids FROM embeddings GROUP BY 1")
+@query("SELECT CAST(label AS VARCHAR) AS location, count(*) AS n, count(DISTINCT vec_id) AS n_ids, 2 AS version FROM embeddings GROUP BY 1")
 def index_rebuild_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sets of equal points keep one row per id."""
-    points = _points(spark, sf_dir).select("id", "location")
-    return points.unionByName(points).distinct().groupBy("location").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+    """A collection rebuilt twice from equal points holds each of them once."""
+    kept = _collection(spark, sf_dir, 2)
+    return kept.points().groupBy("location").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.lit(kept.version()).alias("version"))
 
 
 _FILES = [("a.png", "image/png", "one"), ("b.pdf", "application/pdf", "two"), ("c.txt", "text/plain", "three"), ("d.jpg", "image/jpeg", "")]

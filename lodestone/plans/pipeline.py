@@ -14,6 +14,7 @@ from lodestone.operators.generate import Extractive, Generator
 from lodestone.operators.prompts import answer_text, format_context
 from lodestone.operators.search import location_filter, search_many
 from lodestone.operators.store import chunk_id
+from lodestone.operators.threads import append, last_user_text
 
 HIT = "array<struct<rank:int,score:double,text:string,location:string,source:string>>"
 
@@ -73,6 +74,18 @@ class Engine:
     def ask(self, spark: SparkSession, question: str) -> DataFrame:
         return self.ask_batch(spark.createDataFrame([(0, question)], "question_id long, question string"))
 
+    def chat(self, rows: DataFrame) -> DataFrame:
+        """Messages ``conv_id, turn, id, type, content`` with an answer of type ``ai`` at the end of every conversation.
+
+        The question of a conversation is its last human text; the id of the
+        answer follows from conversation and length, so a repetition gives the same.
+        """
+        asked = last_user_text(rows).select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
+        length = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+        said = self.ask_batch(asked).select(F.col("question_id").alias("conv_id"), "answer").join(length, "conv_id")
+        own = F.concat_ws("-", F.lit("answer"), F.col("conv_id").cast("string"), F.col("last").cast("string"))
+        return append(rows, said.select("conv_id", own.alias("id"), F.lit("ai").alias("type"), F.col("answer").alias("content")))
+
     def trace(self, questions: DataFrame) -> DataFrame:
         """``question_id, step, node, delta``: what each node adds, as JSON."""
         done = questions.transform(self.rewrite).transform(self.retrieve).transform(self.answer)

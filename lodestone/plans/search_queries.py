@@ -70,9 +70,8 @@ def topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_points(spark, sf_dir).where(search.all_of(F.col("label") == 3)), _probe(spark, sf_dir))
 
 
-_FIRST_OF_LABEL = "SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY label"
 _BATCH = f"""
-WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM p WHERE vec_id IN ({_FIRST_OF_LABEL})),
+WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS qv FROM p WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, label, round({_COSINE}, 6) AS score FROM p, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s),
 hits AS (SELECT * FROM r WHERE rank <= 10)
@@ -80,10 +79,9 @@ hits AS (SELECT * FROM r WHERE rank <= 10)
 
 
 def _batch(spark: SparkSession, sf_dir: str, run=search.search_many) -> DataFrame:
-    """The ten best points for the first point of every label."""
+    """The ten best points for every point whose id is divisible by 50."""
     points = _points(spark, sf_dir)
-    first = points.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
-    queries = points.join(first, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return run(points, queries)
 
 
@@ -208,15 +206,41 @@ def ask_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extracted answers; tests hold them against a plain model."""
+    """The extracted answers; SQL has no form of them, tests look at planted questions."""
     engine, questions = _engine(spark, sf_dir)
     return engine.ask_batch(questions).select("question_id", "answer")
 
 
-@query(_ASK + "SELECT item_id AS question_id, step, node FROM rew, (VALUES (1, 'rewrite'), (2, 'retrieve'), (3, 'answer')) t(step, node)")
+TOLD = _ASK + """, listed AS (SELECT item_id, string_agg('[' || rank || '] (Location: ' || location || ') ' || text || chr(10) || '    Source: ' || source, chr(10) || chr(10) ORDER BY rank) AS context,
+  string_agg(location, ', ' ORDER BY rank) AS line FROM full_hits GROUP BY item_id)
+SELECT item_id AS question_id, step, node, CASE step WHEN 1 THEN rewritten_query WHEN 2 THEN md5(context) ELSE line END AS said
+FROM rew LEFT JOIN listed USING (item_id), (VALUES (1, 'rewrite'), (2, 'retrieve'), (3, 'answer')) t(step, node)"""
+
+
+def told(trace: DataFrame) -> DataFrame:
+    """``question_id, step, node, said``: what a delta holds, read back from its JSON."""
+    d = F.from_json("delta", f"rewritten_query string, retrieved_docs {pipeline.HIT}, sources array<struct<location:string,source:string>>")
+    context = F.md5(prompts.format_context(d.retrieved_docs))
+    line = F.array_join(F.transform(d.sources, lambda s: s.location), ", ")
+    return trace.select("question_id", "step", "node", F.when(F.col("step") == 1, d.rewritten_query).when(F.col("step") == 2, context).otherwise(line).alias("said"))
+
+
+@query(TOLD)
 def ask_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine, questions = _engine(spark, sf_dir)
-    return engine.trace(questions).select("question_id", "step", "node")
+    return told(engine.trace(questions))
+
+
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END AS type, md5(text) AS kept FROM conversations
+UNION ALL SELECT conv_id, max(turn) + 1, 'ai', NULL FROM conversations GROUP BY conv_id
+""")
+def chat_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer to its last question at its end; tests look at the answers."""
+    engine, _ = _engine(spark, sf_dir)
+    kind = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "ai").otherwise(F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.col("text").alias("content"))
+    return engine.chat(rows).select("conv_id", "turn", "type", F.when(~F.col("id").startswith("answer-"), F.md5("content")).alias("kept"))
 
 
 @query()
@@ -238,14 +262,13 @@ def passage_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-@query("""
-WITH r AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)
-SELECT source AS location, md5(string_agg('[' || rank || '] (Location: ' || source || ') ' || text || chr(10) || '    Source: doc:' || doc_id, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM r GROUP BY source
-""")
+@query(_BATCH + "SELECT query_id, md5(string_agg('[' || rank || '] (Location: ' || label || ') point ' || vec_id || chr(10) || '    Source: vec:' || vec_id, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM hits GROUP BY query_id")
 def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All articles of a location as one numbered context."""
-    rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("location")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", F.col("source").alias("location"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source")))).alias("hits"))
-    return rows.select("location", F.md5(prompts.format_context(F.col("hits"))).alias("context_md5"))
+    """The hits of every query as one numbered context."""
+    name = F.col("vec_id").cast("string")
+    payload = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), F.concat(F.lit("point "), name).alias("text"), F.col("label").cast("string").alias("location"), F.concat(F.lit("vec:"), name).alias("source"))
+    hits = _batch(spark, sf_dir).join(payload, "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "location", "source"))).alias("hits"))
+    return hits.select("query_id", F.md5(prompts.format_context(F.col("hits"))).alias("context_md5"))
 
 
 @query("""

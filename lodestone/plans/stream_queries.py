@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import prompts
+from lodestone.operators.store import work_dir
 from lodestone.plans.pipeline import Engine
-from lodestone.plans.search_queries import _ASK, _engine
+from lodestone.plans.search_queries import _ASK, TOLD, _engine, told
 from lodestone.sources.articles import table
 from lodestone.streaming import live
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one under a local master alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="lodestone-stream-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        root = "file://" + root
-    return os.path.join(root, uuid.uuid4().hex)
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of files; one that is a single file is picked from its folder."""
     own = table(spark, sf_dir, name)
@@ -64,8 +50,18 @@ def stream_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("question_id", "question", F.md5(prompts.format_context(F.col("retrieved_docs"))).alias("context_md5"), F.size("retrieved_docs").alias("n_hits"))
 
 
-QUERIES = {"stream_last_turn": stream_last_turn, "stream_ask": stream_ask}
+def stream_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every node adds, as it comes from a stream of questions."""
+    engine, _ = _engine(spark, sf_dir)
+    out = work_dir(spark)
+    questions = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    live.trace_stream(engine, questions, os.path.join(out, "steps"), os.path.join(out, "checkpoint")).awaitTermination()
+    return told(spark.read.parquet(os.path.join(out, "steps")))
+
+
+QUERIES = {"stream_last_turn": stream_last_turn, "stream_ask": stream_ask, "stream_trace": stream_trace}
 SQL = {
+    "stream_trace": TOLD,
     "stream_last_turn": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
     "stream_ask": _ASK
     + """, listed AS (SELECT item_id, string_agg('[' || rank || '] (Location: ' || location || ') ' || text || chr(10) || '    Source: ' || source, chr(10) || chr(10) ORDER BY rank) AS context,

@@ -68,6 +68,17 @@ def missing_tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.missing_tool_replies(_tool_rows(spark))
 
 
+@query("""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY last, id_no)::INTEGER AS place, type, content FROM (
+  SELECT conv_id, 0 AS last, call_no AS id_no, 'tool' AS type, 'Successfully handled tool call.' AS content FROM (VALUES (1), (3)) t(conv_id), (VALUES (0), (1)) c(call_no)
+  UNION ALL SELECT conv_id, 1, 0, 'human', 'typed' FROM (VALUES (1), (2), (3)) t(conv_id))
+""")
+def submit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing tool replies come before the human message; nothing goes to a conversation without one."""
+    typed = spark.createDataFrame([(k, f"new-{k}", "typed") for k in (1, 2, 3)], "conv_id long, id string, content string")
+    return threads.submission(_tool_rows(spark), typed).select("conv_id", "place", "type", "content")
+
+
 @query(f"SELECT conv_id, turn, id, type FROM {_ROWS} WHERE id NOT LIKE 'do-not-render-%'")
 def visible_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir).select("conv_id", "turn", "id", "type")
@@ -161,9 +172,11 @@ def _blocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "k int, blocks array<struct<type:string,text:string>>")
 
 
-@query("SELECT * FROM (VALUES (1, 'a b'), (2, ''), (3, 'only'), (4, '')) t(k, content)")
+@query("SELECT * FROM (VALUES (1, 'a b'), (2, ''), (3, ' plain  text'), (4, '')) t(k, content)")
 def content_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark).select("k", prompts.joined_text_blocks(F.col("blocks"), " ").alias("content"))
+    """Blocks, or for the third message plain text."""
+    plain = F.when(F.col("k") == 3, " plain  text")
+    return _blocks(spark).select("k", prompts.content_string(plain, F.col("blocks")).alias("content"))
 
 
 @query("SELECT * FROM (VALUES (1, 'ab'), (2, ''), (3, 'only'), (4, '')) t(k, response)")
@@ -234,9 +247,11 @@ _REQUESTS = [
     (5, None),
     (6, '{"action_requests":[{"name":"f","args":{"a":"1"}}],"review_configs":[{"allowed_decisions":["edit"]}]}'),
 ]
+# of several the first decides
+_REQUESTS += [(7, f"[{_REQUESTS[0][1]}]"), (8, f" [{_REQUESTS[0][1]}, {{}}]"), (9, f"[{{}}, {_REQUESTS[0][1]}]"), (10, "[]")]
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, false)) t(k, valid)")
+@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, true), (8, true), (9, false), (10, false)) t(k, valid)")
 def hitl_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(_REQUESTS, "k int, j string").select("k", review.valid_request(F.col("j")).alias("valid"))
 
@@ -298,6 +313,12 @@ def decisions_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.all_decisions(actions, made).withColumn("status", review.after_decision(F.lit("interrupted"), F.col("complete")))
 
 
+@query("SELECT * FROM (VALUES ('busy', 'busy'), ('interrupted', 'idle'), (NULL, NULL)) t(status, resolved)")
+def resolve_interrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("busy",), ("interrupted",), (None,)], "status string")
+    return rows.select("status", review.after_resolve(F.col("status")).alias("resolved"))
+
+
 @query("SELECT * FROM (VALUES (1, 2, 'Named'), (2, 0, 'Interrupt 2'), (3, 1, 'Interrupt 3')) t(k, n, title)")
 def interrupt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, ["a", None, "b"], "Named"), (2, [], None), (3, ["c"], "")], "k int, v array<string>, title string")
@@ -343,6 +364,38 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value IS NOT NULL")
 
 
+_LONG = "x" * 120
+_RESULTS = [(1, '{"a": 1, "b": {"c": [1]}, "d": null}'), (2, '["p", 2, {"q": 3}, [4], 5, 6]'), (3, "just text"), (4, "12"), (5, '"quoted"'), (6, "[]"), (7, None)]
+
+
+@query("""SELECT * FROM (VALUES (1, 'a', '1'), (1, 'b', '{"c":[1]}'), (1, 'd', NULL), (2, '0', 'p'), (2, '1', '2'), (2, '2', '{"q":3}'), (2, '3', '[4]'), (2, '4', '5'),
+  (3, NULL, 'just text'), (4, NULL, '12'), (5, NULL, '"quoted"'), (7, NULL, NULL)) t(k, key, value)""")
+def tool_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of an object, the first five items of an array, any other text as it is."""
+    rows = spark.createDataFrame(_RESULTS, "k int, c string")
+    return rows.select("k", F.explode(text.result_rows(F.col("c"))).alias("r")).select("k", "r.key", "r.value")
+
+
+@query("""SELECT * FROM (VALUES (1, true, '{"a": 1, "b": {"c": [1]}, "d": null}'), (2, true, '["p", 2, {"q": 3}, [4], 5, 6]'), (3, false, 'just text'), (4, false, '12'), (5, false, 'quoted'), (6, true, '[]'), (7, false, NULL)) t(k, is_complex, as_text)""")
+def complex_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_RESULTS, "k int, c string")
+    return rows.select("k", text.is_complex(F.col("c")).alias("is_complex"), text.scalar_text(F.col("c")).alias("as_text"))
+
+
+@query(f"""SELECT * FROM (VALUES (1, '{_LONG[:100]}...'), (2, 'https://h/{_LONG}'), (3, '["{_LONG[:100]}...","2"]'), (4, 'Truncated 132 characters...'), (5, '{{"a":1}}'), (6, '7')) t(k, shown)""")
+def truncate_json_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long string, a long URL, an array, a long and a short object, a number."""
+    rows = spark.createDataFrame([(1, f'"{_LONG}"'), (2, f'"https://h/{_LONG}"'), (3, f'["{_LONG}", 2, 3]'), (4, f'{{"long": "{_LONG}"}}'), (5, '{"a":1}'), (6, "7")], "k int, j string")
+    return rows.select("k", text.truncate_value(F.col("j")).alias("shown"))
+
+
+@query(f"""SELECT * FROM (VALUES (1, '0', 'a'), (1, '1', 'b'), (1, '2', 'c'), (1, '3', 'd'), (1, '4', 'e'), (2, 'k', '{_LONG}'), (3, 'k', '{_LONG[:100]}...'), (3, 'n', '1'), (3, 'l', '["1","2"]')) t(k, key, value)""")
+def interrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five items of an array; a small object as it is; the values of a tall one cut."""
+    rows = spark.createDataFrame([(1, '["a", "b", "c", "d", "e", "f"]'), (2, f'{{"k": "{_LONG}"}}'), (3, f'{{\n"k": "{_LONG}",\n"n": 1,\n"l": [1, 2, 3]\n}}')], "k int, j string")
+    return rows.select("k", F.explode(text.interrupt_rows(F.col("j"))).alias("r")).select("k", "r.key", "r.value")
+
+
 @query("""SELECT page_id, CASE WHEN length(url) > 100 AND NOT regexp_matches(url, '^https?://[^\\s/?#]+') THEN substr(url, 1, 100) || '...' ELSE url END AS short_url,
   CASE WHEN length(html) > 100 THEN substr(html, 1, 100) || '...' ELSE html END AS short_html, CASE WHEN length(html) > 100 THEN 'Truncated ' || length(html) || ' characters...' ELSE html END AS note FROM pages""")
 def truncate_value(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,15 @@ def ask_stream(engine: Engine, questions: DataFrame, out: str, checkpoint: str)
     return questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def trace_stream(engine: Engine, questions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """As :func:`ask_stream`, with what every node adds: ``question_id, step, node, delta``."""
+
+    def trace(batch: DataFrame, batch_id: int) -> None:
+        engine.trace(batch).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    return questions.writeStream.foreachBatch(trace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def last_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, text``: the latest text of each conversation, kept up to date over a stream."""
     return turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))

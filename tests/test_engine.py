@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions.chunking import split_text
 from lodestone.operators import generate, prompts, review, search, threads, uploads
 from lodestone.operators.embed import HashedEmbedder, ModelEmbedder
 from lodestone.operators.store import Collection
@@ -81,6 +83,69 @@ def test_kernels_agree_and_blocks_add_up(spark, monkeypatch):
         assert [many[7, k + 1][0] for k in range(4)] == [r.vec_id for r in alone]
 
 
+def test_odd_vectors_and_dealt_blocks(spark, monkeypatch):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, []), (6, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(12)] + [(20, None), (21, [2.0]), (22, [None, 1.0]), (23, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
+    few = sorted(map(tuple, search.search_many(points, queries, 2).collect()))
+    assert {r[0] for r in few} == {*range(12), 21} and [r for r in few if r[0] == 21] == [(21, 3, 1.0, 1)]
+    assert few == sorted(map(tuple, search.search_many_native(points, queries, 2).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "POINT_BLOCK", 2)
+    assert few == sorted(map(tuple, search.search_many(points, queries, 2).collect()))
+    assert few == sorted(map(tuple, search.search_many_native(points, queries, 2).collect()))
+    assert search.search_many(points, queries.limit(0), 2).collect() == search.search_many_native(points, queries.limit(0), 2).collect() == []
+
+
+def plain_chunks(text, size=800):
+    """The splitter over a stack of texts: cut at the first separator that occurs, pack what is short."""
+    out, current = [], ""
+    todo = [(text, ("\n\n", "\n", ". ", " "))]
+    while todo:
+        own, separators = todo.pop()
+        if own is None:  # a border between cuts
+            out, current = [*out, current], ""
+            continue
+        if separators is None:
+            if len(current) + len(own) > size:
+                out, current = [*out, current], ""
+            current += own
+            continue
+        while separators and separators[0] not in own:
+            separators = separators[1:]
+        if separators:
+            mark = separators[0]
+            pieces = [p if k == 0 else mark + p for k, p in enumerate(own.split(mark))]
+        else:
+            pieces = [own[k : k + size] for k in range(0, len(own), size)]
+        row = [(None, ())]
+        for p in filter(None, pieces):
+            row += [(None, ()), (p, separators[1:]), (None, ())] if len(p) >= size and separators else [(p, None)]
+        todo += reversed([*row, (None, ())])
+    return [c.strip() for c in [*out, current] if c.strip()]
+
+
+def test_chunk_queries_against_a_plain_splitter(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {(d.source, f"doc:{d.doc_id}", k, c) for d in docs for k, c in enumerate(plain_chunks(d.text or ""))}
+    run = lambda name: catalog.queries()[name](spark, sf).collect()
+    assert {(r.location, r.source, r.chunk_no, r.text) for r in run("chunks_recursive")} == want
+    assert {(r.location, r.source, r.chunk_no) for r in run("chunks_tagged")} == {x[:3] for x in want}
+    assert len({r.chunk_id for r in run("chunks_tagged")}) == run("chunks_total")[0].n == len(want)
+    counts = Counter(x[0] for x in want)
+    assert {r.location: r.n for r in run("chunks_per_location")} == counts
+    for text in ("x" * 2000, ("word " * 400 + ". ") * 3, "a\n\n" + "b" * 801 + "\n\nc", "", " \n "):
+        assert split_text(text) == plain_chunks(text)
+
+
+def test_chat_appends_an_answer(spark, engine):
+    rows = [(1, 0, "a", "human", "which city has a cathedral?"), (1, 1, "b", "ai", "which one?"), (2, 0, "c", "human", "xyzzy"), (2, 1, "d", "human", "please, which city is the capital of Bavaria?"), (3, 0, "e", "ai", "hello")]
+    got = engine.chat(spark.createDataFrame(rows, "conv_id long, turn long, id string, type string, content string")).collect()
+    new = {r.conv_id: r for r in got if r.id.startswith("answer-")}
+    assert len(got) == len(rows) + 3 and {c: (r.turn, r.type) for c, r in new.items()} == {1: (2, "ai"), 2: (2, "ai"), 3: (1, "ai")}
+    assert new[1].content.startswith("Cologne has a famous cathedral.") and new[2].content.startswith("Munich is the capital of Bavaria.")
+
+
 def test_topk_plan(spark, capsys):
     search_queries.topk_filtered(spark, "/root/testdata/sf0.001").explain("formatted")
     plan = capsys.readouterr().out
@@ -105,6 +170,15 @@ def test_collection(spark, tmp_path):
     assert kept.version() == 2
     with pytest.raises(ValueError):
         Collection(spark, str(tmp_path), "d", 4, "nope")
+    numbered = Collection(spark, f"file://{tmp_path}", "n", 256)
+    assert numbered.version() == 0
+    numbered.rebuild(points.withColumn("location", F.lit("007")))
+    assert {r.location for r in numbered.points().collect()} == {"007"}
+    (tmp_path / "n" / "_versions").rename(tmp_path / "n" / "away")
+    (tmp_path / "n" / "_versions").mkdir()
+    (tmp_path / "n" / "_versions" / "part.json.gz").write_bytes(b"no archive")
+    with pytest.raises(Exception):  # noqa: B017  an unreadable version is no version 0
+        numbered.version()
 
 
 def test_generators(monkeypatch):
