@@ -17,9 +17,14 @@ The join runs in two steps, so that no URL's captures must meet in one task:
 within slices of time, and from the last response of the slices before, of
 which there is one row a slice.
 
-Defined cases: records without a URL or date, and repeated ones, stay and are
-not resolved for want of an earlier response; header names are compared in
-lower case and null headers count as none; equal URLs but for case of scheme
+A header that a record has several times is one entry of the map, with a line
+for each of its values in their order, and is written as several headers again.
+
+Defined cases: records without a URL or date stay and are not resolved for want
+of an earlier response; repeated records all stay, and of responses that share
+record id, URL and time the one whose headers come last as JSON answers; header
+names are compared in lower case, equal ones add up their values in order of the
+names as written, and null headers count as none; equal URLs but for case of scheme
 and host, default port, fragment, order of parameters and tracking parameters
 are one; other columns are ignored; an empty table gives an empty result.
 """
@@ -53,10 +58,11 @@ def canonical_url(url: Column) -> Column:
 
 
 def lower_names(headers: Column) -> Column:
-    """Headers with lower-case names; of equal names the last value in order of the name as written."""
+    """Headers with lower-case names; equal names add up their values, in order of the names as written."""
     entries = F.array_sort(F.map_entries(headers))
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e.key)))
-    return F.coalesce(F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: F.lower(e.key) == n), -1).value)), F.create_map().cast("map<string,string>"))
+    values = lambda n: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e.key) == n), lambda e: e.value), "\n")
+    return F.coalesce(F.map_from_arrays(names, F.transform(names, values)), F.create_map().cast("map<string,string>"))
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
@@ -95,7 +101,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     slices = base.where("NOT full AND url_key IS NOT NULL AND slice IS NOT NULL").select("url_key", "slice").distinct().join(last, ["url_key", "slice"], "full")
     far = slices.withColumn("far", F.last("last", ignorenulls=True).over(before)).select("url_key", "slice", "far").where("far IS NOT NULL")
     revisits = near.where("kind = 'revisit'").join(far, ["url_key", "slice"], "left").withColumn("ref", F.coalesce("near", "far"))
-    stored = base.where("full").select(F.col("record_id").alias("refers_to"), F.col("url_key").alias("stored_key"), F.col("at").alias("stored_at"), F.col("headers").alias("stored")).dropDuplicates(["refers_to", "stored_key", "stored_at"])
+    stored = base.where("full").select(F.col("record_id").alias("refers_to"), F.col("url_key").alias("stored_key"), F.col("at").alias("stored_at"), "headers")
+    stored = stored.groupBy("refers_to", "stored_key", "stored_at").agg(F.max_by("headers", F.to_json("headers")).alias("stored"))
     found = revisits.join(stored, (F.col("ref.record_id") == F.col("refers_to")) & (F.col("ref.at") == F.col("stored_at")) & (F.col("url_key") == F.col("stored_key")), "left")
     agree = validators_agree(F.col("stored"), F.col("headers"))
     answer = F.when(F.col("refers_to").isNull(), "no earlier response").when(agree, "resolved").otherwise("validators differ")
@@ -114,7 +121,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 def write_records(records: DataFrame) -> DataFrame:
     """``record_id, warc``: the text of each record."""
-    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value, F.lit(CRLF))), "")
+    each = lambda e: F.transform(F.split(e.value, "\n"), lambda v: F.concat(e.key, F.lit(": "), v, F.lit(CRLF)))
+    lines = F.array_join(F.flatten(F.transform(F.array_sort(F.map_entries("headers")), each)), "")
     http = F.concat(F.lit("HTTP/1.1 "), F.col("status").cast("string"), F.lit(CRLF), lines, F.lit(CRLF), F.coalesce("payload", F.lit("")))
     fields = [
         ("WARC-Type", F.col("kind")),
@@ -133,7 +141,8 @@ def _headers(block: Column) -> Column:
     lines = F.filter(F.split(block, CRLF), lambda x: F.instr(x, ":") > 1)
     names = F.transform(lines, lambda x: F.substring_index(x, ":", 1))
     first = F.array_distinct(names)
-    return F.map_from_arrays(first, F.transform(first, lambda n: F.trim(F.substring(F.element_at(F.filter(lines, lambda x: F.substring_index(x, ":", 1) == n), -1), F.length(n) + 2, F.lit(2**31 - 1)))))
+    value = lambda n: lambda x: F.trim(F.substring(x, F.length(n) + 2, F.lit(2**31 - 1)))
+    return F.map_from_arrays(first, F.transform(first, lambda n: F.array_join(F.transform(F.filter(lines, lambda x: F.substring_index(x, ":", 1) == n), value(n)), "\n")))
 
 
 def read_records(records: DataFrame) -> DataFrame:

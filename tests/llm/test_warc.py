@@ -78,6 +78,29 @@ def test_records_round_trip(spark):
     assert sorted(map(tuple, back)) == rows
 
 
+def test_repeated_headers(spark):
+    """No value of a repeated header is lost, neither in a record nor in what a revisit gets."""
+    rows = [(1, "http://a/", T0, "response", 200, {"Set-Cookie": "a=1\nb=2; c", "set-cookie": "d=3", "ETag": "x"}, ""), (2, "http://a/", T0 + timedelta(days=1), "revisit", 304, {"etag": "x"}, None)]
+    text = warc.write_records(spark.createDataFrame(rows, RECORD))
+    assert "Set-Cookie: a=1\r\nSet-Cookie: b=2; c\r\nset-cookie: d=3\r\n" in text.where("record_id = 1").first().warc
+    back = warc.read_records(text)
+    assert sorted(map(tuple, back.collect())) == rows
+    got = {r.record_id: r for r in warc.resolve_revisits(back).collect()}
+    assert got[2].resolution == "resolved" and got[2].headers == {"set-cookie": "a=1\nb=2; c\nd=3", "etag": "x"}
+
+
+def test_ties_and_long_payloads(spark):
+    """Of responses of one time the largest id answers, of one id the last headers; payloads of any length stay where they are."""
+    long = "word " * 400_000
+    tied = [(i, "http://a/", T0, "response", 200, {"ETag": "x", "N": n}, long if i == 3 else "b") for i, n in ((1, "1"), (3, "5"), (3, "7"), (3, "6"), (2, "9"))]
+    df = spark.createDataFrame([*tied, (9, "http://a/", T0 + timedelta(seconds=1), "revisit", 304, {"ETag": "x"}, None)], RECORD)
+    for order in (df, df.orderBy(F.desc("record_id"), F.desc(F.col("headers")["N"]))):
+        got = warc.resolve_revisits(order).where("kind = 'revisit'").collect()
+        assert [(r.refers_to, r.headers["n"]) for r in got] == [(3, "7")]
+    whole = warc.read_records(warc.write_records(df)).where("record_id = 3").select("payload").collect()
+    assert [r.payload for r in whole] == [long] * 3
+
+
 def test_query_and_sql(spark):
     sf = "/root/testdata/sf0.01"
     db = duckdb.connect()
