@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontaminate, langid, similar, substrings
 from lodestone.llm.common import table, written
 
+#: Posterior that a document's language needs: likelier than all others together.
+LEAST_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: no text (null or empty), or no letter in it.
+    """Drops the documents whose language can't be told.
 
-    ``lang`` stays as it came; a prediction fills it where it is null.  The
+    These have no text (null or empty), no letter in it, or no language whose
+    posterior under the model is ``LEAST_SCORE`` or more.  ``lang`` stays as it came; a prediction fills it where it is null.  The
     model learns from the labelled documents of this input that aren't held out;
     if there are none, every text with a letter stays and ``lang`` with it.
     Ids play no part but for the split and may be null or repeat; repeated rows
@@ -28,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train(docs.where(~langid.held_out()).select("lang", "text"), bpe.public_path("piece_bpe_32k.model"))
     if not model.languages:
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
-    said = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
+    said = langid.predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return said.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline as cp
-from lodestone.llm import decontaminate, similar
+from lodestone.llm import bpe, decontaminate, langid, similar
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,6 +68,18 @@ def test_copies_without_ids_are_not_lost(spark, own_sf):
         assert sorted(str(r.doc_id) for r in at.collect()) == (["1", "5", "None", "None", "None"] if name == "language_id" else ["1", "5", "None"]), name
 
 
+def test_texts_of_no_one_language_go(spark, own_sf):
+    """Three languages share one text, two of them have one of their own: only what is likelier than not stays."""
+    both = "alpha beta gamma delta " * 20
+    own = {"x": "kilo lima mike november " * 20, "y": "tango uniform victor whiskey " * 20}
+    rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate([(both, "x"), (both, "y"), (both, "z"), (own["x"], "x"), (own["y"], "y")] * 8)]
+    df = spark.createDataFrame([*rows, (900, "november lima kilo", None, "s", 0), (901, "whiskey victor", None, "s", 0)], SCHEMA)
+    model = langid.train(df.where(~langid.held_out()).select("lang", "text"), bpe.public_path("piece_bpe_32k.model"))
+    want = {r.doc_id: r.lang or r.lang_pred for r in langid.predict(df, model).collect() if r.score >= 0.5}
+    got = {r.doc_id: r.lang for r in cp.identify_language(spark, df, own_sf[0]).collect()}
+    assert got == want and got[900] == "x" and got[901] == "y"
+
+
 @pytest.mark.parametrize("name,stage", cp.STAGES)
 def test_empty_and_odd_rows(spark, own_sf, name, stage):
     sf = own_sf[0]
