@@ -8,17 +8,21 @@ refuses.  It stands in for a language model's wiring, not for its quality.
 
 from __future__ import annotations
 
-import os
+import json
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
-from lodestone.sources.config import Settings
+from lodestone.sources.config import Settings, required_env
 
-from .prompts import REFUSAL
+from .prompts import REFUSAL, SYSTEM_ANSWER, SYSTEM_REWRITE, answer_text, format_context, rewrite_text
+from .prompts import messages as message_list
 
 FILLER = "(?i)^\\s*(hello|hi|hey|please|could you|can you|tell me|i would like to know)[,!.:]*\\s+"
 LEAST_TEMPERATURE = 1e-5
@@ -52,24 +56,83 @@ class Extractive:
         return F.when(F.coalesce(best.shared, F.lit(0)) < 0, F.concat(best.s, F.lit(" (Source: "), best.source, F.lit(")"))).otherwise(REFUSAL)
 
 
+Send = Callable[[str, dict[str, str], dict], dict]
+
+
+def post(url: str, headers: dict[str, str], body: dict) -> dict:
+    """The JSON answer to a JSON request."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), headers | {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=120) as answer:
+        return json.load(answer)
+
+
 @dataclass(frozen=True)
 class Remote:
-    """A hosted model behind a key; calls belong in an iterator UDF of the deployment."""
+    """A hosted model, asked from the workers, a message list at a time.
+
+    ``{BACKEND}_API_URL`` and ``{BACKEND}_API_KEY`` of the environment name it,
+    on the driver and on the workers; neither is part of a plan.
+    """
 
+    backend: str
     model: str
-    key_name: str
     temperature: float
     max_tokens: int
+    send: Send = post
 
     def __post_init__(self) -> None:
-        if not os.getenv(self.key_name):
-            raise RuntimeError(f"set {self.key_name} to use this backend")
+        required_env(self._name("KEY"))
+
+    def _name(self, what: str) -> str:
+        return f"{self.backend.upper()}_API_{what}"
+
+    def body(self, messages: list[dict]) -> dict:
+        """The request: the messages as they are."""
+        return {"model": self.model, "messages": messages, "temperature": self.temperature, "max_tokens": self.max_tokens}
+
+    def text(self, answer: dict) -> str:
+        return answer["choices"][0]["message"]["content"]
+
+    def headers(self, key: str) -> dict[str, str]:
+        return {"Authorization": f"Bearer {key}"}
+
+    def chat(self, messages: list[dict]) -> str:
+        """What the model says to ``[{"role", "content"}]``, stripped."""
+        url, key = required_env(self._name("URL")), required_env(self._name("KEY"))
+        return self.text(self.send(url, self.headers(key), self.body(messages))).strip()
+
+    def said(self, messages: Column) -> Column:
+        """:meth:`chat` of a column of message lists, in Arrow batches."""
+        own = self
+
+        @F.pandas_udf("string")
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(lambda m: own.chat(json.loads(m)), na_action="ignore")
+
+        return ask(F.to_json(messages))
 
     def rewrite(self, question: Column) -> Column:
-        raise NotImplementedError("needs a network client")
+        return self.said(message_list(SYSTEM_REWRITE, rewrite_text(F.coalesce(question, F.lit("")), F.lit(None).cast("string"))))
 
     def answer(self, question: Column, hits: Column) -> Column:
-        raise NotImplementedError("needs a network client")
+        return self.said(message_list(SYSTEM_ANSWER, answer_text(F.coalesce(question, F.lit("")), format_context(hits))))
+
+
+@dataclass(frozen=True)
+class RemoteBlocks(Remote):
+    """A hosted model that takes the system text apart from the turns and answers in blocks."""
+
+    def body(self, messages: list[dict]) -> dict:
+        system = "\n\n".join(m["content"] for m in messages if m["role"] == "system")
+        turns = [m for m in messages if m["role"] in ("user", "assistant")]
+        return super().body(turns) | ({"system": system} if system else {})
+
+    def text(self, answer: dict) -> str:
+        return "".join(b["text"] for b in answer["content"] if b["type"] == "text")
+
+    def headers(self, key: str) -> dict[str, str]:
+        return {"X-Api-Key": key}
 
 
 def sampling(temperature: float) -> tuple[float, bool]:
@@ -82,5 +145,6 @@ def make_generator(settings: Settings) -> Generator:
     if backend == "local":
         return Extractive()
     if backend in ("groq", "api"):
-        return Remote(settings.models.get(backend, ""), f"{backend.upper()}_API_KEY", settings.temperature, settings.max_tokens)
+        kind = Remote if backend == "groq" else RemoteBlocks
+        return kind(backend, settings.models.get(backend, ""), settings.temperature, settings.max_tokens)
     raise ValueError(f"unknown backend {settings.backend!r}")

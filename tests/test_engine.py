@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,6 +192,32 @@ def test_generators(monkeypatch):
     assert generate.sampling(0.0) == (1e-5, False) and generate.sampling(0.3) == (0.3, True)
 
 
+def test_remote_models(spark, monkeypatch):
+    """Requests and answers of both forms, and a whole chain that asks a model from the workers."""
+    for name, value in (("GROQ_API_KEY", "k"), ("GROQ_API_URL", "http://x/"), ("API_API_KEY", "k2"), ("API_API_URL", "http://y/")):
+        monkeypatch.setenv(name, value)
+        monkeypatch.setitem(spark.sparkContext.environment, name, value)
+    seen = []
+    talk = [{"role": "system", "content": "a"}, {"role": "user", "content": "q"}, {"role": "system", "content": "b"}, {"role": "tool", "content": "t"}]
+    made = generate.make_generator(Settings(backend="Groq", models={"groq": "m"}))
+    plain = replace(made, send=lambda *r: seen.append(r) or {"choices": [{"message": {"content": " yes\n"}}]})
+    assert plain.chat(talk) == "yes"
+    assert seen.pop() == ("http://x/", {"Authorization": "Bearer k"}, {"model": "m", "messages": talk, "temperature": 0.1, "max_tokens": 512})
+    blocks = replace(generate.make_generator(Settings(backend="api", models={"api": "n"})), send=lambda *r: seen.append(r) or {"content": [{"type": "text", "text": " a"}, {"type": "x"}, {"type": "text", "text": "b "}]})
+    assert blocks.chat(talk) == "ab" and blocks.chat(talk[1:2]) == "ab"
+    assert [r[2].get("system") for r in seen] == ["a\n\nb", None] and seen[0][2]["messages"] == talk[1:2]
+
+    def echo(url, headers, body):
+        first, last = body["messages"]
+        said = last["content"] if first["content"] == prompts.SYSTEM_REWRITE else f"{url} {headers['Authorization']} {last['content'].count('(Location: ')}"
+        return {"choices": [{"message": {"content": f'"{said}"'}}]}
+
+    points = spark.createDataFrame(PASSAGES, KIND)
+    got = ask(spark, Engine.over(points, generator=replace(made, send=echo), top_k=3), "a cathedral", "")
+    assert got["a cathedral"].rewritten_query == "a cathedral" and got["a cathedral"].answer == '"http://x/ Bearer k 3"'
+    assert len(got) == 2
+
+
 def test_model_adapter_needs_its_package(spark):
     with pytest.raises(RuntimeError):
         ModelEmbedder("m", 4).transform(spark.range(1).select(F.lit("x").alias("t")), "t")
