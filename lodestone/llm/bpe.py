@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import releasing, table
 
 #: Pre-tokens whose ids a worker keeps between groups of texts.
 CACHED_PIECES = 300_000
@@ -266,7 +266,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, *([bpe.decode_batch(lists)] if decoded else [])], names=names)
 
-    return frame.mapInArrow(run, f"{_types(frame.select(id_col))}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
+    return frame.mapInArrow(releasing(run), f"{_types(frame.select(id_col))}, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -279,7 +279,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, bpe.decode_batch(batch.column(names.index(ids_col)))], names=[*names, out])
 
-    return frame.mapInArrow(run, f"{_types(frame)}, `{out}` string")
+    return frame.mapInArrow(releasing(run), f"{_types(frame)}, `{out}` string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +67,31 @@ def within(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows whose long ``on`` isn't among ``keys``, likewise."""
     return rows.join(F.broadcast(keys) if _small(keys) else keys, on, "left_anti")
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Gives this process's free memory back to the system: Arrow's pool and, where the C library can, the heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work`` over the batches of a task, whose worker releases memory at the end.
+
+    Spark keeps workers for the tasks of later stages; without this each keeps
+    the most that any of its tasks has taken.
+    """
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run

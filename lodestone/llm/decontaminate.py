@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _clean, _groups, _types
-from .common import table
+from .common import releasing, table
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -238,7 +238,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     flat = [x for f in found for x in f]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([i for i, _ in flat], kind), pa.array([s for _, s in flat], pa.float64())], names=["doc_id", "item_id", "score"])
 
-        found = frame.mapInArrow(run, schema)
+        found = frame.mapInArrow(releasing(run), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -259,7 +259,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out: str
                     before = part.column(len(names)).to_numpy()
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(before + np.array(found, dtype=np.int64))], names=[*names, out])
 
-        frame = frame.mapInArrow(run, _types(frame))
+        frame = frame.mapInArrow(releasing(run), _types(frame))
     return frame
 
 

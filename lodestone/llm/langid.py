@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _clean, _groups, _types, public_path
-from .common import table, written
+from .common import releasing, table, written
 from .pieces import normal_pieces
 
 MARK = "▁"
@@ -275,7 +275,7 @@ def train(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = RO
                         seen[lang, w] += n
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(releasing(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = written(counted, "langid-words")
     if not names or counts.isEmpty():
         return Model(path, [], np.zeros((Pieces(path).size, 0)))
@@ -299,7 +299,7 @@ def train(labelled: DataFrame, path: str, sample: int = SAMPLE, rounds: int = RO
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "uses"])
 
-        summed = counts.mapInArrow(expect, "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow()
+        summed = counts.mapInArrow(releasing(expect), "piece int, lang int, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses")).toArrow()
         uses = np.zeros_like(probs)
         uses[summed["piece"].to_numpy(), summed["lang"].to_numpy()] = summed["uses"].to_numpy()
         share = uses / np.maximum(uses.sum(axis=0), 1e-300)
@@ -323,7 +323,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 langs, scores, _ = scorer.predict(_clean(part.column(at)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*names, lang_out, score_out])
 
-    return frame.mapInArrow(run, f"{_types(frame)}, `{lang_out}` string, `{score_out}` double")
+    return frame.mapInArrow(releasing(run), f"{_types(frame)}, `{lang_out}` string, `{score_out}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

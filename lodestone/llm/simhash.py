@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table, written
+from .common import releasing, shuffle_partitions, table, written
 from .components import components
 
 SEED = 42
@@ -115,7 +115,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id"
             fps = np.array([fingerprint(t.as_py() or "", scheme.width, scheme.words) for t in batch.column(1)], dtype=np.uint64).reshape(-1, scheme.words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(scheme.words))], names=["doc_id", *names])
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
+    return frame.mapInArrow(releasing(run), f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names))
 
 
 # -- bit-sliced comparison ----------------------------------------------------
@@ -371,14 +371,14 @@ def links(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
     """``a, b``: links between the nodes of ``distinct(node, f0, ..)`` that span all links found."""
     names = scheme.columns()
     own = distinct.select("node", *names)
-    return links_by_key(own.mapInArrow(_keys(scheme), f"key long, node long, {', '.join(f'{c} long' for c in names)}"), own, scheme)
+    return links_by_key(own.mapInArrow(releasing(_keys(scheme)), f"key long, node long, {', '.join(f'{c} long' for c in names)}"), own, scheme)
 
 
 def links_by_key(keyed: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
     """``a, b``: links that span all links between nodes of an equal key, for ``keyed(key, node, f0, ..)`` and ``own(node, f0, ..)``."""
     parts = shuffle_partitions(keyed.sparkSession)
     names = scheme.columns()
-    found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_compare_sorted(scheme), _LINKS), "simhash-links")
+    found = written(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(releasing(_compare_sorted(scheme)), _LINKS), "simhash-links")
     direct = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select("key", "chunk", F.col("a").alias("node"))
     if hot.isEmpty():
@@ -387,7 +387,7 @@ def links_by_key(keyed: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
     paired = hot.join(chunks, "key").select("key", "chunk", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     sided = paired.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node")
     full = sided.join(own.select("node", *names), "node").select("key", "lo", "hi", "side", "node", *names)
-    far = full.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "node").mapInArrow(_compare_chunks(scheme), "a long, b long")
+    far = full.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "node").mapInArrow(releasing(_compare_chunks(scheme)), "a long, b long")
     return direct.unionByName(far)
 
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, without, within, written
+from .common import releasing, shuffle_partitions, within, without, written
 from .components import components
 from .simhash import SEED, Scheme, links_by_key, print_of, shingle_hashes
 
@@ -187,12 +187,12 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     names = SCHEME.columns()
     frame = docs.select(F.col(id_col).alias("doc_id"), _place(id_col, text_col).alias("place"), F.col(text_col).alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
-    every = written(frame.mapInArrow(_prints, f"doc_id {kind}, place long, node long, n long, keys array<long>, {', '.join(f'{c} long' for c in names)}"), "similar-prints")
+    every = written(frame.mapInArrow(releasing(_prints), f"doc_id {kind}, place long, node long, n long, keys array<long>, {', '.join(f'{c} long' for c in names)}"), "similar-prints")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")).getField("place")
     nodes = written(every.groupBy("node").agg(one.alias("place"), *(F.first(c).alias(c) for c in ("n", "keys", *names))), "similar-nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    shared = written(keyed.mapInArrow(_shared, "key long, node long"), "similar-shared")
+    shared = written(keyed.mapInArrow(releasing(_shared), "key long, node long"), "similar-shared")
     own = nodes.select("node", *names)
     near = components(links_by_key(shared.join(own, "node").select("key", "node", *names), own, SCHEME), "similar-near")
     near = written(near.join(nodes.select("node", "n", "place"), "node"), "similar-candidates")
@@ -207,9 +207,9 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     split = split.withColumn("other", F.explode(F.sequence(zero, F.col("chunks") - 1)))
     hot = split.select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node")
     texts = within(frame.select("place", "text"), near.select("place"), "place").dropDuplicates(["place"]).select("text")
-    sets = texts.mapInArrow(_sets, "node long, own binary")
+    sets = texts.mapInArrow(releasing(_sets), "node long, own binary")
     jobs = small.unionByName(hot).join(sets, "node").select("key", "lo", "hi", "node", "own")
-    checked = jobs.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(_verify, "a long, b long")
+    checked = jobs.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(releasing(_verify), "a long, b long")
     roots = components(written(checked, "similar-links"), "similar-roots")
     return written(every.select("doc_id", "place", "node").join(roots, "node", "left").select("doc_id", "place", F.coalesce("root", "node").alias("root")), "similar-places")
 

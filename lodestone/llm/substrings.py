@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, table, written
+from .common import releasing, shared_dir, shuffle_partitions, table, written
 from .difference_cover import long_prefixes, suffix_array
 
 SIZE = 200
@@ -316,7 +316,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings_elsewhere(hot: DataFrame) -> DataFrame:
     """``key, lo, hi`` of the strings in ``hot`` contexts that start in two places."""
-    strings = written(hot.select("key", "lo", "twin", "context").mapInArrow(_strings, "s long, r long, key long, lo int, twin boolean"), "substrings-strings")
+    strings = written(hot.select("key", "lo", "twin", "context").mapInArrow(releasing(_strings), "s long, r long, key long, lo int, twin boolean"), "substrings-strings")
     place = F.struct("key", "lo")
     found = strings.groupBy("s", "r").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("twin").alias("t")).where("x <> y OR t").select("s", "r")
     return strings.where("NOT twin").join(found, ["s", "r"]).select("key", "lo", (F.col("lo") + SIZE).alias("hi")).distinct()
@@ -345,15 +345,15 @@ def find_spans(name: str) -> DataFrame:
     spark = SparkSession.getActiveSession()
     texts = spark.table(name)
     parts = shuffle_partitions(spark)
-    marked = written(texts.select("key", "text").mapInArrow(_find_anchors, "a long, c long, key long, pos int"), "substrings-marked")
+    marked = written(texts.select("key", "text").mapInArrow(releasing(_find_anchors), "a long, c long, key long, pos int"), "substrings-marked")
     repeating, kinds = judge_anchors(marked)
     kinds = written(kinds, "substrings-compared")
 
     def contexts(some: DataFrame) -> DataFrame:
         places = some.groupBy("key").agg(F.collect_list(F.struct("pos", "a", "twin")).alias("places"))
-        return texts.select("key", "text").join(places, "key").select("key", "text", "places").mapInArrow(_fetch_contexts, "a long, key long, lo int, twin boolean, context binary")
+        return texts.select("key", "text").join(places, "key").select("key", "text", "places").mapInArrow(releasing(_fetch_contexts), "a long, key long, lo int, twin boolean, context binary")
 
-    sorted_ones = contexts(kinds.where(F.col("kinds") <= KINDS)).repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_sort_contexts, "key long, lo int, hi int")
+    sorted_ones = contexts(kinds.where(F.col("kinds") <= KINDS)).repartition(parts, "a").sortWithinPartitions("a").mapInArrow(releasing(_sort_contexts), "key long, lo int, hi int")
     # spans beyond a text's end are cut when they are applied
     spans = repeating.select("key", F.greatest(F.col("pos") - BEFORE, F.lit(0)).alias("lo"), (F.col("pos") + SIZE).alias("hi")).unionByName(sorted_ones)
     hot = kinds.where(F.col("kinds") > KINDS)
@@ -409,7 +409,7 @@ def repeated(docs: DataFrame, text_col: str = "text", with_text: bool = False) -
     name, _ = distinct_texts(docs.select(_text(text_col).alias("text")))
     spark = docs.sparkSession
     joined = spark.table(name).join(find_spans(name), "key", "left").where("n > 1 OR spans IS NOT NULL").select("key", "text", "n", "spans", "sha")
-    return written(joined.mapInArrow(_apply(with_text), "sha string, n_removed long, n_spans long, kept_sha256 string, kept string").where("n_removed > 0"), "substrings-kept")
+    return written(joined.mapInArrow(releasing(_apply(with_text)), "sha string, n_removed long, n_spans long, kept_sha256 string, kept string").where("n_removed > 0"), "substrings-kept")
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
