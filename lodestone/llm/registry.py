@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, hmm, langid, simhash, substrings, token_counts, topk, warc
+from . import align, bpe, chat, decontaminate, hmm, langid, negatives, packing, simhash, substrings, token_counts, topk, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_substrings": substrings.op9_substrings,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_alignment": align.op12_alignment,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.SQL,
     "op7_warc": warc.SQL,
     "op8_topk": topk.SQL,
+    "op11_hard_negatives": negatives.SQL,
 }

@@ -29,7 +29,7 @@ are evaluated in Python integers, and one that no long holds is an error.  Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -52,12 +52,12 @@ STEP = 64
 LIMIT = 2**31  # components up to here stay exact as doubles
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """``vec_id long, v array<long>`` of the rows that take part."""
-    frame = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
+def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, extra: Sequence[str] = ()) -> DataFrame:
+    """``vec_id long, v array<long>`` of the rows that take part, with their columns ``extra``."""
+    frame = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"), *extra)
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     whole = lambda e: F.when(F.abs(e * scale) < 2.0**63, F.floor(e * scale)).otherwise(F.raise_error(F.lit("a component is too large for a long")))
-    return frame.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", F.transform("x", whole).alias("v"))
+    return frame.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & finite).select("vec_id", F.transform("x", whole).alias("v"), *extra)
 
 
 def farthest_first(sample: np.ndarray, k: int) -> np.ndarray:
