@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.partial_json import repaired
+
 HIDDEN = "do-not-render-"
 HANDLED = "Successfully handled tool call."  # fixed text
 
@@ -93,11 +95,28 @@ def tool_calls_shown(with_args: Column, streamed: Column, bare: Column, hidden:
     return F.when(~hidden, F.coalesce(some(with_args), some(streamed), some(bare)))
 
 
+def assembled(fragments: DataFrame) -> DataFrame:
+    """``conv_id, blocks`` from streamed ``conv_id, block_no, fragment_no, type, id, name, input``.
+
+    A block's input is its fragments in order; type, id and name are the first
+    that any fragment has.
+    """
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("fragment_no"))).alias(c)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment_no", "input"))), lambda f: f.input), "")
+    blocks = fragments.groupBy("conv_id", "block_no").agg(first("type"), first("id"), first("name"), text.alias("input"))
+    listed = F.array_sort(F.collect_list(F.struct("block_no", "type", "id", "name", "input")))
+    return blocks.groupBy("conv_id").agg(F.transform(listed, lambda b: b.dropFields("block_no")).alias("blocks"))
+
+
 def tool_use_blocks(blocks: Column) -> Column:
-    """``array<struct<id, name, args>>`` of the streamed calls with an id; unreadable arguments are ``{}``."""
-    own = F.filter(blocks, lambda b: (b.type == "tool_use") & b.id.isNotNull())
-    args = lambda b: F.when(F.try_parse_json(b.input).isNotNull(), b.input).otherwise("{}")
-    return F.transform(own, lambda b: F.struct(b.id.alias("id"), b["name"].alias("name"), args(b).alias("args")))
+    """``array<struct<id, name, args>>`` of the streamed calls with an id.
+
+    Arguments that end too early are closed; ``{}`` if that gives nothing.  A
+    null name is empty.
+    """
+    own = F.filter(blocks, lambda b: (b.type == "tool_use") & (b.id != ""))
+    args = lambda b: F.coalesce(repaired(b.input), F.lit("{}"))
+    return F.transform(own, lambda b: F.struct(b.id.alias("id"), F.coalesce(b["name"], F.lit("")).alias("name"), args(b).alias("args")))
 
 
 def changed_errors(errors: DataFrame) -> DataFrame:

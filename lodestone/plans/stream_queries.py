@@ -13,7 +13,7 @@ from lodestone.operators.store import work_dir
 from lodestone.plans.pipeline import Engine
 from lodestone.plans.search_queries import _ASK, TOLD, _engine, told
 from lodestone.sources.articles import table
-from lodestone.streaming import live
+from lodestone.streaming import artifacts, live
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,26 @@ def stream_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(spark.read.parquet(os.path.join(out, "steps")))
 
 
-QUERIES = {"stream_last_turn": stream_last_turn, "stream_ask": stream_ask, "stream_trace": stream_trace}
+def _ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pushes to a row for each user and kind of props; an error removes it."""
+    own = _stream(spark, sf_dir, "events")
+    return own.select(F.concat_ws("-", F.col("user_id").cast("string"), F.expr("CAST(value AS INT) % 3").cast("string")).alias("ui_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "remove").otherwise("push").alias("kind"), "props")
+
+
+def ui_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user-interface rows that stand after all events of a stream."""
+    out = work_dir(spark)
+    checkpoint = os.path.join(out, "checkpoint")
+    artifacts.keep(_ui_events(spark, sf_dir), os.path.join(out, "changes"), checkpoint).awaitTermination()
+    return artifacts.state(spark, checkpoint)
+
+
+QUERIES = {"ui_merge": ui_merge, "stream_last_turn": stream_last_turn, "stream_ask": stream_ask, "stream_trace": stream_trace}
 SQL = {
+    "ui_merge": """
+WITH e AS (SELECT user_id || '-' || CAST(trunc(value) AS INTEGER) % 3 AS ui_id, event_id AS seq, event_type = 'error' AS gone, props FROM events),
+  r AS (SELECT ui_id, max(seq) FILTER (WHERE gone) AS removed FROM e GROUP BY ui_id)
+SELECT ui_id, max(seq) AS seq, arg_max(props, seq) AS props, count(*) AS merged FROM e JOIN r USING (ui_id) WHERE seq > coalesce(removed, -1) GROUP BY ui_id""",
     "stream_trace": TOLD,
     "stream_last_turn": "SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id",
     "stream_ask": _ASK

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.functions import text
 from lodestone.operators import prompts, review, threads, uploads
 from lodestone.sources.articles import table
-from lodestone.streaming.live import merged_artifacts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -198,11 +197,38 @@ def tool_call_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("k", F.get(threads.tool_calls_shown(F.col("a"), F.col("b"), F.col("c"), F.col("hidden")), F.lit(0)).alias("shown"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'i1', '{"a": 1}'), (1, 'i2', '{}')) t(k, id, args)""")
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a tool call whose arguments come in fragments of nine characters and break off after a number of characters that follows from the id.
+
+    Some have no id, an empty one or no name; some are text, some have brackets that don't match.
+    """
+    own = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    args = F.concat(F.lit('{"event": '), n.cast("string"), F.lit(', "kind": "'), F.col("event_type"), F.lit('\\n\\"q\\"", "props": '), F.col("props"), F.lit(', "tags": ["'), F.col("event_type"), F.lit('", '), F.col("user_id").cast("string"), F.lit("]}"))
+    args = F.when(n % 13 == 0, F.concat(F.lit("[}"), args)).otherwise(args)
+    whole = own.select(
+        (n % 1000).alias("conv_id"), n.alias("block_no"), F.when(n % 5 == 0, "text").otherwise("tool_use").alias("type"), F.when(n % 7 == 0, "").when(n % 11 != 0, F.concat(F.lit("call-"), n.cast("string"))).alias("id"),
+        F.when(n % 3 != 0, F.col("event_type")).alias("name"), F.substring(args, F.lit(1), (n % (F.length(args) + 1)).cast("int")).alias("input"),
+    )
+    parts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("input") - 1) / 9).cast("int"), F.lit(0)))
+    rows = whole.select("*", F.explode(parts).alias("fragment_no"))
+    later = F.col("fragment_no") > 0  # id, type and name come with the first fragment alone
+    return rows.select("conv_id", "block_no", "fragment_no", *(F.when(~later, F.col(c)).alias(c) for c in ("type", "id", "name")), F.substring("input", F.col("fragment_no") * 9 + 1, F.lit(9)).alias("input"))
+
+
+@query("""
+WITH called AS (
+  SELECT event_id, event_type, CASE WHEN event_id % 13 = 0 THEN '[}' ELSE '' END || '{"event": ' || event_id || ', "kind": "' || event_type || '\\n\\"q\\"", "props": ' || props || ', "tags": ["' || event_type || '", ' || user_id || ']}' AS args
+  FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0
+), cut AS (SELECT *, substr(args, 1, CAST(event_id % (length(args) + 1) AS INTEGER)) AS part FROM called)
+-- at most one of these ends a text rightly; a comma at the end, which DuckDB lets pass, none does
+SELECT event_id % 1000 AS conv_id, 'call-' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS name,
+  coalesce(list_filter(list_transform(['', '}', ']', '"}', '}}', '"}}', ']}', '"]}'], lambda s: CASE WHEN json_valid(part || s) AND rtrim(part) NOT LIKE '%,' THEN CAST(json(part || s) AS VARCHAR) END), lambda x: x IS NOT NULL)[1], '{}') AS args
+FROM cut
+""")
 def tool_use_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = [("tool_use", "i1", "f", '{"a": 1}'), ("text", "t", None, None), ("tool_use", None, "g", "{}"), ("tool_use", "i2", "h", '{"a": ')]
-    own = spark.createDataFrame([(1, blocks)], "k int, blocks array<struct<type:string,id:string,name:string,input:string>>")
-    return own.select("k", F.explode(threads.tool_use_blocks(F.col("blocks"))).alias("c")).select("k", "c.id", "c.args")
+    whole = threads.assembled(_streamed(spark, sf_dir))
+    return whole.select("conv_id", F.explode(threads.tool_use_blocks(F.col("blocks"))).alias("c")).select("conv_id", "c.id", "c.name", "c.args")
 
 
 def _files(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -405,9 +431,3 @@ def truncate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) || '...' || right(md5(CAST(doc_id AS VARCHAR)), 3) AS short FROM documents")
 def id_abbrev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.id_abbrev(F.md5(F.col("doc_id").cast("string"))).alias("short"))
-
-
-@query("SELECT * FROM (VALUES ('a', 'a2'), ('c', 'c1')) t(ui_id, props)")
-def ui_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 1, "push", "a1"), ("b", 2, "push", "b1"), ("a", 3, "push", "a2"), ("b", 4, "remove", None), ("c", 5, "remove", None), ("c", 6, "push", "c1")]
-    return merged_artifacts(spark.createDataFrame(rows, "ui_id string, seq long, kind string, props string"))

@@ -32,23 +32,3 @@ def trace_stream(engine: Engine, questions: DataFrame, out: str, checkpoint: str
 def last_turns(turns: DataFrame) -> DataFrame:
     """``conv_id, text``: the latest text of each conversation, kept up to date over a stream."""
     return turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-
-
-def merged_artifacts(events: DataFrame) -> DataFrame:
-    """The state of user-interface rows after events ``ui_id, seq, kind (push or remove), props``: the last push that no remove follows."""
-    last = events.groupBy("ui_id").agg(F.max_by(F.struct("kind", "props"), "seq").alias("last"))
-    return last.where("last.kind <> 'remove'").select("ui_id", "last.props")
-
-
-def merge_stream(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last event of every row in versions of a table below ``state_path``; a repeated batch gives the same version."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = os.path.join(state_path, f"v{batch_id - 1}")
-        every = batch.select("ui_id", "seq", "kind", "props")
-        if batch_id:
-            every = every.unionByName(batch.sparkSession.read.schema(every.schema).parquet(before))
-        kept = every.groupBy("ui_id").agg(F.max_by(F.struct("seq", "kind", "props"), "seq").alias("last")).select("ui_id", "last.*")
-        kept.write.mode("overwrite").parquet(os.path.join(state_path, f"v{batch_id}"))
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

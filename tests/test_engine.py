@@ -252,16 +252,5 @@ def test_last_turn_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("last_turns").collect())) == sorted(map(tuple, live.last_turns(rows).collect()))
 
 
-def test_artifact_stream(spark, tmp_path):
-    kind = "ui_id string, seq long, kind string, props string"
-    rows = [("a", 1, "push", "a1"), ("b", 2, "push", "b1"), ("b", 3, "remove", None), ("a", 4, "push", "a2")]
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    live.merge_stream(stream, f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/state/v3")
-    assert [tuple(r) for r in live.merged_artifacts(last).collect()] == [("a", "a2")]
-
-
 def test_flagship(spark):
     assert catalog.flagship(spark, "/root/testdata/sf0.001").columns == ["vec_id", "label", "score"]
