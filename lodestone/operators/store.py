@@ -37,6 +37,13 @@ def work_dir(spark: SparkSession) -> str:
     return os.path.join(root, uuid.uuid4().hex)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, where its lineage ends."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Collection:
     """A named set of points of one dimension and distance.
 

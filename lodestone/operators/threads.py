@@ -67,28 +67,10 @@ def outgoing(content: Column, blocks: Column) -> Column:
     return F.when(blank & (F.size(blocks) == 0), F.lit(None)).otherwise(both)
 
 
-def prefix_before(rows: DataFrame, turn: Column) -> DataFrame:
-    """The messages from which a turn is made anew."""
-    return rows.where(F.col("turn") < turn)
-
-
-def edit(rows: DataFrame, turn: int, text: str) -> DataFrame:
-    """Each conversation up to ``turn``, with its text there replaced."""
-    return rows.where(F.col("turn") <= turn).withColumn("content", F.when(F.col("turn") == turn, F.lit(text)).otherwise(F.col("content")))
-
-
 def artifacts(rows: DataFrame, ui: DataFrame) -> DataFrame:
     return rows.join(ui, rows["id"] == ui["message_id"])
 
 
-def branch_positions(rows: DataFrame) -> DataFrame:
-    """``conv_id, branch, position, branches, previous, next`` of sibling branches in order."""
-    order = Window.partitionBy("conv_id").orderBy("branch")
-    return rows.select(
-        "conv_id", "branch", F.row_number().over(order).alias("position"), F.count("*").over(Window.partitionBy("conv_id")).alias("branches"), F.lag("branch").over(order).alias("previous"), F.lead("branch").over(order).alias("next")
-    )
-
-
 def tool_calls_shown(with_args: Column, streamed: Column, bare: Column, hidden: Column) -> Column:
     """Calls with arguments, else streamed ones, else bare ones; none where they are hidden."""
     some = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c)

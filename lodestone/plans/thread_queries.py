@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import prompts, review, threads, uploads
+from lodestone.operators import checkpoints, prompts, review, threads, uploads
 from lodestone.sources.articles import table
 
 QUERIES: dict = {}
@@ -97,17 +97,55 @@ def threads_without_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.without_reply(_rows(spark, sf_dir))
 
 
-@query("SELECT conv_id, turn, id FROM " + _ROWS + " m WHERE turn < (SELECT max(turn) FROM conversations c WHERE c.conv_id = m.conv_id)")
-def regenerate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each last message is made from anew."""
+def _forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as checkpoints, one a turn; in every fifth the second turn was edited and answered, which is a second branch."""
     rows = _rows(spark, sf_dir)
-    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return threads.prefix_before(rows.join(last, "conv_id"), F.col("last")).select("conv_id", "turn", "id")
+    key = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    nodes = rows.select("conv_id", key(F.col("turn")).alias("checkpoint_id"), key(before).alias("parent_id"), "id", "type", "content")
+    second = rows.where("conv_id % 5 = 0 AND turn = 1")
+    edits = second.select("conv_id", F.lit("c1").alias("asked"), F.lit("c1e").alias("checkpoint_id"), F.concat("id", F.lit("-edited")).alias("id"), F.concat(F.lit("edited: "), "content").alias("content"))
+    replies = second.select("conv_id", F.lit("c1r").alias("checkpoint_id"), F.lit("c1e").alias("parent_id"), F.concat("id", F.lit("-reply")).alias("id"), F.lit("ai").alias("type"), F.lit("a reply").alias("content"))
+    return checkpoints.edited(nodes, edits).unionByName(replies)
+
+
+_FOREST = f"""nodes AS (
+  SELECT conv_id, 'c' || turn AS checkpoint_id, 'c' || lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent_id, id, type, content FROM {_ROWS}
+  UNION ALL SELECT conv_id, 'c1e', 'c' || (SELECT max(turn) FROM conversations o WHERE o.conv_id = m.conv_id AND o.turn < 1), id || '-edited', type, 'edited: ' || content FROM {_ROWS} m WHERE conv_id % 5 = 0 AND turn = 1
+  UNION ALL SELECT conv_id, 'c1r', 'c1e', id || '-reply', 'ai', 'a reply' FROM {_ROWS} WHERE conv_id % 5 = 0 AND turn = 1
+), walk AS (
+  SELECT conv_id, checkpoint_id AS leaf, checkpoint_id, parent_id, id, type, content, 0 AS height FROM nodes
+  UNION ALL SELECT w.conv_id, w.leaf, n.checkpoint_id, n.parent_id, n.id, n.type, n.content, w.height + 1 FROM walk w JOIN nodes n ON n.conv_id = w.conv_id AND n.checkpoint_id = w.parent_id
+), placed AS (SELECT *, max(height) OVER (PARTITION BY conv_id, leaf) - height AS place FROM walk),
+ends AS (SELECT conv_id, checkpoint_id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.conv_id = n.conv_id AND c.parent_id = n.checkpoint_id))
+"""
+
+
+@query(f"WITH RECURSIVE {_FOREST} SELECT p.conv_id, leaf, CAST(place AS BIGINT) AS place, p.checkpoint_id, id, type, content FROM placed p JOIN ends e ON e.conv_id = p.conv_id AND e.checkpoint_id = p.leaf")
+def branch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every branch, from the root to its leaf."""
+    nodes = _forest(spark, sf_dir)
+    return checkpoints.states(nodes, checkpoints.leaves(nodes))
+
+
+@query(f"""WITH RECURSIVE {_FOREST} SELECT n.conv_id, n.checkpoint_id AS asked, CAST(place AS BIGINT) AS place, p.checkpoint_id, p.id
+  FROM nodes n JOIN ends e ON e.conv_id = n.conv_id AND e.checkpoint_id = n.checkpoint_id JOIN placed p ON p.conv_id = n.conv_id AND p.leaf = n.parent_id""")
+def regenerate_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last message of every branch is made from anew: the state of its parent checkpoint."""
+    nodes = _forest(spark, sf_dir)
+    return checkpoints.before(nodes, checkpoints.leaves(nodes)).select("conv_id", "asked", "place", "checkpoint_id", "id")
 
 
-@query(f"SELECT conv_id, turn, type, CASE WHEN turn = 1 THEN 'replaced' ELSE content END AS content FROM {_ROWS} WHERE turn <= 1")
+@query(f"""WITH RECURSIVE {_FOREST}, asked AS (SELECT * FROM nodes WHERE type = 'human' AND parent_id IS NOT NULL)
+SELECT a.conv_id, a.checkpoint_id || '-again' AS leaf, CAST(place AS BIGINT) AS place, p.id, p.content FROM asked a JOIN placed p ON p.conv_id = a.conv_id AND p.leaf = a.parent_id
+UNION ALL SELECT a.conv_id, a.checkpoint_id || '-again', CAST(max(p.place) + 1 AS BIGINT), a.id || '-again', 'again: ' || a.content FROM asked a JOIN placed p ON p.conv_id = a.conv_id AND p.leaf = a.parent_id GROUP BY ALL""")
 def edit_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.edit(_rows(spark, sf_dir), 1, "replaced").select("conv_id", "turn", "type", "content")
+    """Every human message but a first one is edited; the branches that begin with the new texts."""
+    nodes = _forest(spark, sf_dir)
+    asked = nodes.where("type = 'human' AND parent_id IS NOT NULL")
+    new = lambda c: F.concat(c, F.lit("-again"))
+    edits = asked.select("conv_id", F.col("checkpoint_id").alias("asked"), new("checkpoint_id").alias("checkpoint_id"), new("id").alias("id"), F.concat(F.lit("again: "), "content").alias("content"))
+    return checkpoints.states(checkpoints.edited(nodes, edits), edits).select("conv_id", "leaf", "place", "id", "content")
 
 
 @query(f"SELECT id, 'ui-' || id AS ui_id, conv_id FROM {_ROWS} WHERE type = 'ai'")
@@ -117,13 +155,10 @@ def message_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.artifacts(rows, ui).select("id", "ui_id", "conv_id")
 
 
-@query(f"""
-SELECT conv_id, turn AS branch, CAST(row_number() OVER w AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id) AS branches, lag(turn) OVER w AS previous, lead(turn) OVER w AS next
-FROM {_ROWS} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
-""")
+@query(f"""WITH RECURSIVE {_FOREST} SELECT conv_id, checkpoint_id, CAST(row_number() OVER w AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id, parent_id) AS branches,
+  lag(checkpoint_id) OVER w AS previous, lead(checkpoint_id) OVER w AS next FROM nodes WINDOW w AS (PARTITION BY conv_id, parent_id ORDER BY checkpoint_id)""")
 def branch_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of a conversation stand in for the branches of a message."""
-    return threads.branch_positions(_rows(spark, sf_dir).withColumnRenamed("turn", "branch"))
+    return checkpoints.branches(_forest(spark, sf_dir))
 
 
 @query(f"SELECT conv_id, turn, content AS message FROM (SELECT *, lag(type) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM {_ROWS}) WHERE type IS DISTINCT FROM p".replace("content AS message", "type AS message"))
