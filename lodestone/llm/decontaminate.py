@@ -56,7 +56,10 @@ PART = 128
 PASSAGE = 64
 #: Parts of a block at least; there are at most BLOCKS blocks in a shard.
 BLOCK, BLOCKS = 4, 64
-SHARD_WORDS = 4_000_000
+#: Words of a shard; a word's number has 21 bits, three of them are a gram's number.
+SHARD_WORDS = 2_000_000
+#: Windows whose block maxima are summed together.
+TOGETHER = 256
 GROUP_CHARS = 250_000
 
 
@@ -155,39 +158,64 @@ class Index:
             cursors = left
         return found
 
+    def in_text(self, side: list[str], known: np.ndarray, sorted_codes: dict[int, np.ndarray]) -> float:
+        """As :func:`overlap`, for a whole text of ``known`` words; its grams are numbered and sorted once, in ``sorted_codes``."""
+        wanted = Counter(grams(side))
+        if not wanted:
+            return 1.0
+        n = len(next(iter(wanted)))
+        code = lambda words: sum(x.astype(np.int64) << 21 * k for k, x in enumerate(words))
+        if n not in sorted_codes:
+            words = [known[k : len(known) - n + 1 + k] + 1 for k in range(n)] if len(known) >= n else []
+            sorted_codes[n] = np.sort(code([x[np.all([y > 0 for y in words], axis=0)] for x in words])) if words else np.zeros(0, np.int64)
+        own = code(np.array([[self.number.get(w, -1) + 1 for w in g] for g in wanted]).T)  # a number of 0 is in no gram of the text
+        have = np.searchsorted(sorted_codes[n], own, side="right") - np.searchsorted(sorted_codes[n], own)
+        return int(np.minimum(have, list(wanted.values())).sum()) / sum(wanted.values())
+
     def matches(self, texts: list[str]) -> list[list[tuple[int | None, float]]]:
         """For every text the items found in it with their best score."""
-        number = self.number
-        out: list[dict[int, float]] = [{} for _ in texts]
-        step = max(1, PASSAGE)
-        size = step + PART
-        ids: list[np.ndarray] = []
-        where: list[tuple[int, int]] = []
-        words: list[list[str]] = []
-        for t, text in enumerate(texts):
-            words.append(WORD.findall(text.lower()))
-            known = np.fromiter((number.get(w, -1) for w in words[t]), np.int64, len(words[t]))
-            for at in range(0, max(1, len(known) - size + step), step):
+        out = [self._in_one(text) for text in texts]
+        return [[(self.items[i][0], s) for i, s in sorted(found.items())] for found in out]
+
+    def _in_one(self, text: str) -> dict[int, float]:
+        """Item numbers with their best scores; the time is linear in the text, the memory beyond its words bounded."""
+        number, size = self.number, PASSAGE + PART
+        words = WORD.findall(text.lower())
+        known = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+        out: dict[int, float] = {}
+        codes: dict[int, np.ndarray] = {}
+        long_items: dict[int, bool] = {}  # those of several parts, decided once for the text
+        starts = range(0, max(1, len(known) - size + PASSAGE), PASSAGE)
+        for first in range(0, len(starts), TOGETHER):
+            ids: list[np.ndarray] = []
+            where: list[int] = []
+            for at in starts[first : first + TOGETHER]:
                 part = np.unique(known[at : at + size])
                 part = part[1:] if len(part) and part[0] < 0 else part
                 if len(part):
                     ids.append(part)
-                    where.append((t, at))
-        if ids:
+                    where.append(at)
+            if not ids:
+                continue
             firsts = np.concatenate(([0], np.cumsum([len(x) for x in ids])[:-1]))
             bounds = np.add.reduceat(self.blocks[np.concatenate(ids)], firsts, axis=0)
             reach = bounds >= THRESHOLD * (1 - 1e-4)
             for p, block in zip(*(x.tolist() for x in np.nonzero(reach)), strict=True):
-                t, at = where[p]
-                passage = words[t][at : at + size]
+                passage = words[where[p] : where[p] + size]
                 for part, score in self.wand(ids[p].tolist(), block):
                     item = self.item_of[part]
-                    if score > out[t].get(item, 0.0):
-                        _, question, answer = self.items[item]
-                        whole = passage if len(question) + len(answer) <= PART else words[t]
-                        if overlap(question, whole) >= QUESTION and overlap(answer, whole) >= ANSWER:
-                            out[t][item] = score
-        return [[(self.items[i][0], s) for i, s in sorted(found.items())] for found in out]
+                    if score <= out.get(item, 0.0):
+                        continue
+                    _, question, answer = self.items[item]
+                    if len(question) + len(answer) <= PART:
+                        held = overlap(question, passage) >= QUESTION and overlap(answer, passage) >= ANSWER
+                    elif item in long_items:
+                        held = long_items[item]
+                    else:
+                        held = long_items[item] = self.in_text(question, known, codes) >= QUESTION and self.in_text(answer, known, codes) >= ANSWER
+                    if held:
+                        out[item] = score
+        return out
 
 
 def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:

@@ -104,3 +104,34 @@ def test_cases(spark, docs, items, shard, monkeypatch):
     assert got == want
     flagged = {r.doc_id for r in dc.flag(frame, bench).where("n_items > 0").collect()}
     assert flagged == {d for d, _ in want}
+
+
+def test_a_million_words_take_seconds_and_bounded_memory():
+    rng = np.random.default_rng(12)
+    item = [f"w{k}" for k in rng.integers(0, 150, 200)]  # two parts, so that it is held against whole texts
+    short = "where does it lie? it lies over there"
+    parts = [(0, item[:128]), (0, item[128:]), (1, dc.WORD.findall(short))]
+    index = dc.Index([(5, " ".join(item)), (6, short)], parts, Counter(w for _, p in parts for w in set(p)), 3, 70.0)
+    filler = rng.permutation([f"w{k % 300}" for k in range(1_000_000)]).tolist()  # most windows reach the threshold, none holds the item
+    plain = " ".join(filler)
+    leaked = " ".join([*filler[:500_000], *item, *dc.WORD.findall(short), *filler[500_000:]])
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.perf_counter()
+    assert [[i for i, _ in found] for found in index.matches([plain, leaked])] == [[], [5, 6]]
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_whole_text_overlap_equals_the_plain_one():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        item = [f"w{k}" for k in rng.integers(0, 6, rng.integers(1, 9))]
+        text = [f"w{k}" for k in rng.integers(0, 8, rng.integers(0, 12))]
+        index = dc.Index([(0, " ".join(item))], [(0, item)], Counter(set(item)), 1, float(len(item)))
+        known = np.array([index.number.get(w, -1) for w in text], np.int64)
+        codes: dict = {}
+        for side in (item, item[:1], item[:2], []):
+            assert index.in_text(side, known, codes) == dc.overlap(side, text)
