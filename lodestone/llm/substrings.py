@@ -47,6 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import _groups
 from .common import releasing, shared_dir, shuffle_partitions, table, written
 from .difference_cover import long_prefixes, suffix_array
 
@@ -59,6 +60,10 @@ BEFORE = WINDOW - 1
 #: Bytes hashed at once, and the strings of a long text that are treated together.
 GROUP_BYTES = 1 << 20
 SEGMENT = 1 << 18
+#: Bytes of texts whose results are held together.
+APPLY_BYTES = 2_000_000
+#: Ways to key the texts whose keys clash.
+MAX_SEED = 64
 #: Contexts of one anchor that a task sorts, and symbols that are sorted together.
 KINDS = 2048
 SYMBOLS = 700_000
@@ -326,24 +331,53 @@ def _text(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def distinct_texts(texts: DataFrame, size: int = SIZE) -> tuple[str, int]:
-    """A bucketed table ``key, text, n`` of the distinct texts of at least ``size`` bytes, and the seed of its keys."""
+def _keyed(texts: DataFrame, seed: int) -> str:
+    """A bucketed table ``key, text, n, sha, clash``, a row for each 64-bit key; ``clash``: several texts have it."""
+    spark = texts.sparkSession
+    name = f"lodestone_texts_{uuid.uuid4().hex}"
+    kept = texts.select(F.xxhash64(F.lit(seed), "text").alias("key"), F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("sha"))
+    kept = kept.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.min("sha").alias("sha"), (F.min("sha") != F.max("sha")).alias("clash"))
+    kept.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), "key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return name
+
+
+def distinct_texts(texts: DataFrame, size: int = SIZE) -> list[str]:
+    """Names of tables that hold, by keys of their own, the distinct texts of at least ``size`` bytes; see :func:`texts_of`.
+
+    Texts whose keys clash, a few in 10**10, are keyed anew in a further table;
+    no other text is written again.
+    """
+    spark = texts.sparkSession
+    left = texts.where(F.octet_length("text") >= size)
+    names = [_keyed(left, 0)]
+    seed = 0
+    while not (clash := spark.table(names[-1]).where("clash").select("key")).isEmpty():
+        left = left.withColumn("key", F.xxhash64(F.lit(seed), "text")).join(clash, "key", "left_semi").drop("key")
+        seed += 1
+        while True:  # until no new key is one of another table
+            extra = _keyed(left, seed)
+            if all(spark.table(extra).join(spark.table(n), "key", "left_semi").isEmpty() for n in names):
+                break
+            seed += 1
+            if seed > MAX_SEED:
+                raise RuntimeError("no seed tells the texts apart")
+        names.append(extra)
+        if seed > MAX_SEED:
+            raise RuntimeError("no seed tells the texts apart")
+    return names
+
+
+def texts_of(spark: SparkSession, names: list[str]) -> DataFrame:
+    """``key, text, n, sha`` of all distinct texts."""
+    first, *rest = (spark.table(n).where("NOT clash").drop("clash") for n in names)
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
+def find_spans(texts: DataFrame) -> DataFrame:
+    """``key, spans array<struct<lo, hi>>`` of the distinct texts that share strings with other places."""
     spark = texts.sparkSession
-    long_ones = texts.where(F.octet_length("text") >= size)
-    for seed in range(64):
-        name = f"lodestone_texts_{uuid.uuid4().hex}"
-        kept = long_ones.select(F.xxhash64(F.lit(seed), "text").alias("key"), F.col("text").cast("binary").alias("text"), F.sha2("text", 256).alias("sha"))
-        kept = kept.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"), F.min("sha").alias("sha"), (F.min("sha") != F.max("sha")).alias("clash"))
-        kept.write.format("parquet").option("compression", "zstd").bucketBy(shuffle_partitions(spark), "key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-        if spark.table(name).where("clash").isEmpty():
-            return name, seed
-    raise RuntimeError("no seed tells the texts apart")
-
-
-def find_spans(name: str) -> DataFrame:
-    """``key, spans array<struct<lo, hi>>`` of the distinct texts in table ``name`` that share strings with other places."""
-    spark = SparkSession.getActiveSession()
-    texts = spark.table(name)
     parts = shuffle_partitions(spark)
     marked = written(texts.select("key", "text").mapInArrow(releasing(_find_anchors), "a long, c long, key long, pos int"), "substrings-marked")
     repeating, kinds = judge_anchors(marked)
@@ -364,7 +398,7 @@ def find_spans(name: str) -> DataFrame:
 
 def _apply(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in _groups(whole.column(1), APPLY_BYTES)):
             out: list[list] = [[], [], [], []]
             for r in range(batch.num_rows):
                 text, spans = batch.column(1)[r].as_buffer(), batch.column(3)[r].values
@@ -406,9 +440,8 @@ def repeated(docs: DataFrame, text_col: str = "text", with_text: bool = False) -
     ``sha`` is the SHA-256 of the text; ``kept`` is null unless ``with_text``,
     and then holds the text without the characters that go as a whole.
     """
-    name, _ = distinct_texts(docs.select(_text(text_col).alias("text")))
-    spark = docs.sparkSession
-    joined = spark.table(name).join(find_spans(name), "key", "left").where("n > 1 OR spans IS NOT NULL").select("key", "text", "n", "spans", "sha")
+    texts = texts_of(docs.sparkSession, distinct_texts(docs.select(_text(text_col).alias("text"))))
+    joined = texts.join(find_spans(texts), "key", "left").where("n > 1 OR spans IS NOT NULL").select("key", "text", "n", "spans", "sha")
     return written(joined.mapInArrow(releasing(_apply(with_text)), "sha string, n_removed long, n_spans long, kept_sha256 string, kept string").where("n_removed > 0"), "substrings-kept")
 
 

@@ -136,3 +136,21 @@ def test_characters_stay_whole():
     raw = memoryview(text.encode())
     assert substrings._whole_chars(raw, np.array([2, 6]), np.array([4, 8])) == "aééé"
     assert substrings._whole_chars(raw, np.array([0]), np.array([2])) == "éaéaé"
+
+
+def test_texts_whose_keys_clash_are_keyed_anew(spark, monkeypatch):
+    """The first seed has few keys, so that most texts clash; the tables hold every text once and no key twice."""
+    rows = [(f"text number {k} " * 20,) for k in (*range(40), *range(5))] + [("short",)]
+    docs = spark.createDataFrame(rows, "text string")
+    real = substrings.F.xxhash64
+
+    def few(*columns):
+        full = real(*columns)
+        seed = columns[0]
+        return substrings.F.when(seed == 0, substrings.F.pmod(full, substrings.F.lit(30))).when(seed == 1, substrings.F.pmod(full, substrings.F.lit(1000))).otherwise(full)
+
+    monkeypatch.setattr(substrings.F, "xxhash64", few)
+    names = substrings.distinct_texts(docs)
+    found = [(r.key, bytes(r.text).decode(), r.n) for r in substrings.texts_of(spark, names).collect()]
+    assert len(names) >= 2 and len({k for k, _, _ in found}) == 40
+    assert {t: n for _, t, n in found} == {t: (2 if k < 5 else 1) for k, (t,) in enumerate(rows[:40])}
