@@ -69,6 +69,18 @@ def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if _small(keys) else keys, on, "left_anti")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on this session sends Python at most ``rows`` rows at a time.
+
+    Batches of whole texts are bounded by this number alone, and each is held
+    several times over: by the executor's Arrow buffers, the pipe and the worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
