@@ -3,6 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result as Parquet in the shared folder and rereads it as the next
 stage's input.  All stages but the last return the columns of ``documents``.
+Texts go to Python in small batches (``small_batches``), a setting of the session
+that every stage makes.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, langid, similar, substrings
-from lodestone.llm.common import table, written
+from lodestone.llm.common import small_batches, table, written
 
 #: Posterior that a document's language needs: likelier than all others together.
 LEAST_SCORE = 0.5
@@ -28,6 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Ids play no part but for the split and may be null or repeat; repeated rows
     all stay.
     """
+    small_batches(spark)
     model = langid.train(docs.where(~langid.held_out()).select("lang", "text"), bpe.public_path("piece_bpe_32k.model"))
     if not model.languages:
         return docs.select(*COLUMNS).where(F.col("text").rlike(r"\p{L}"))
@@ -44,6 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group has one, and then one of them; of rows that share the smallest id or
     repeat each other, one stays (:func:`similar.one_of_each`).
     """
+    small_batches(spark)
     return similar.one_of_each(docs.select(*COLUMNS))
 
 
@@ -54,6 +58,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     is left goes.  Null and empty texts and those under 200 bytes stay as they
     are; repeated rows, had the stage before left any, would lose all copies.
     """
+    small_batches(spark)
     lost = substrings.repeated(docs, with_text=True).select("sha", "kept")
     own = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
     left = own.join(lost, "sha", "left").withColumn("text", F.coalesce("kept", "text"))
@@ -64,12 +69,14 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold an item of ``benchmark``; null and empty texts hold none, ids play no part."""
+    small_batches(spark)
     found = decontaminate.flag(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
     return found.where("n_items = 0").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, ids`` and the digests of ids and decoded text of every row; a null text encodes as the empty one."""
+    small_batches(spark)
     path = bpe.public_path("word_bpe_49k.json")
     encoded = bpe.encode(docs, path, decoded="decoded")
     return encoded.select(
