@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.vectors import distance
+from lodestone.operators.insert import BATCH, inserted_files, point_writer
 
 #: Rows of a written file at most.
 ROWS_PER_FILE = 1_000_000
@@ -81,12 +82,35 @@ class Collection:
         path = os.path.join(self.path, f"v{max(self.version(), 1)}")
         points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("location").parquet(path)
 
+    def insert(self, points: DataFrame, batch_size: int = BATCH) -> None:
+        """Adds points in batches of ``batch_size``: all of them become visible at once, or none does.
+
+        Every point needs a location, and a vector of the collection's dimension
+        without null components; ids aren't compared with those that are there.
+        """
+        version = max(self.version(), 1)
+        root = os.path.join(self.path, f"inserts-v{version}")
+        at = points.columns.index("location"), points.columns.index("embedding")
+        source = point_writer(root, points.schema, at, self.dim, batch_size)
+        self.spark.dataSource.register(source)
+        points.write.format(source.name()).mode("append").save()
+
     def points(self) -> DataFrame:
         """The points in use; a location is text, even where all locations look like numbers."""
-        path = os.path.join(self.path, f"v{self.version()}")
-        found = self.spark.read.parquet(path).schema
-        kinds = T.StructType([T.StructField("location", T.StringType()) if f.name == "location" else f for f in found])
-        return self.spark.read.schema(kinds).parquet(path)
+        version = self.version()
+        files = inserted_files(os.path.join(self.path, f"inserts-v{max(version, 1)}"))
+        found = None
+        if version:
+            path = os.path.join(self.path, f"v{version}")
+            schema = self.spark.read.parquet(path).schema
+            kinds = T.StructType([T.StructField("location", T.StringType()) if f.name == "location" else f for f in schema])
+            found = self.spark.read.schema(kinds).parquet(path)
+        if files:
+            added = self.spark.read.parquet(*files)
+            found = added if found is None else found.unionByName(added)
+        if found is None:
+            raise ValueError("the collection was never built")
+        return found
 
     def count(self) -> int:
         return self.points().count()

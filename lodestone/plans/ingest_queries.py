@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,14 +50,47 @@ def articles_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.truncated(articles(spark, sf_dir)).select("article_no", "text")
 
 
-@query("SELECT CAST(i AS INTEGER) AS attempt, i * 3.0::DOUBLE AS wait_s FROM range(1, 4) r(i)")
+def _failures(place: str) -> int:
+    """How often the stand-in service fails for a location: 0 to 5 times, by its name."""
+    return int(md5(place.encode()).hexdigest()[0], 16) % 6
+
+
+def _fetched(spark: SparkSession, sf_dir: str, max_docs: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The configured locations, and what a fetch of English articles got and met for each."""
+    docs = table(spark, sf_dir, "documents")
+    root = store.work_dir(spark)
+    src.serve(articles(spark, sf_dir).join(docs.select(F.col("doc_id").alias("article_no"), "lang"), "article_no"), root)
+    places = docs.select(F.col("source").alias("location")).distinct()
+    names = [r.location for r in places.orderBy("location").collect()]  # the list that settings have
+    service = src.article_source(src.ServedArticles(root, _failures), names, "en", max_docs, sleep=src.no_wait)
+    return places, src.read_articles(spark, service)
+
+
+_FAILS = """places AS (SELECT DISTINCT source AS location FROM documents), fails AS (SELECT location, CAST('0x' || substr(md5(location), 1, 1) AS INTEGER) % 6 AS n FROM places)"""
+_GOT = f"""{_FAILS}, got AS (
+  SELECT source AS location, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS article_no, 'doc:' || doc_id AS source, text, CAST(n + 1 AS INTEGER) AS attempt
+  FROM documents d JOIN fails f ON f.location = d.source WHERE lang = 'en' AND n < 4 QUALIFY article_no < 3)"""
+
+
+@query(f"WITH {_GOT} SELECT location, article_no, source, substr(text, 1, 1000000) AS text, attempt FROM got")
+def fetched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three articles of a location, from a service that fails for some."""
+    _, rows = _fetched(spark, sf_dir)
+    return rows.where("lang = 'en' AND error IS NULL").select("location", "article_no", "source", "text", "attempt")
+
+
+@query(f"WITH {_FAILS} SELECT location, CAST(i AS INTEGER) AS attempt, CASE WHEN i < 4 THEN i * 3.0::DOUBLE END AS wait_s, 'no answer for ' || location AS error FROM fails, range(1, 5) r(i) WHERE i <= n")
 def retry_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(src.retry_waits(), 1)), "attempt int, wait_s double")
+    """Every failed attempt of that fetch with the wait behind it."""
+    _, rows = _fetched(spark, sf_dir)
+    return rows.where("error IS NOT NULL").select("location", "attempt", "wait_s", "error")
 
 
-@query("SELECT DISTINCT source AS location FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es')")
+@query(f"WITH {_GOT} SELECT location FROM places WHERE location NOT IN (SELECT location FROM got)")
 def skipped_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.skipped(articles(spark, sf_dir).select("location").distinct(), articles(spark, sf_dir, "es"))
+    """The locations that gave no article."""
+    places, rows = _fetched(spark, sf_dir)
+    return src.skipped(places, rows)
 
 
 _STRIP = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
@@ -167,10 +202,16 @@ def _collection(spark: SparkSession, sf_dir: str, times: int = 1) -> store.Colle
     return kept
 
 
-@query("SELECT md5(label || '|' || vec_id) AS id, CAST(label AS VARCHAR) AS location, vec_id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+@query("SELECT md5(label || '|' || vec_id) AS id, CAST(label AS VARCHAR) AS location, vec_id, CAST(len(embedding) AS INTEGER) AS dim, list_sum(embedding[1:2])::FLOAT::DOUBLE AS two FROM embeddings")
 def collection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of a rebuilt collection: vector and payload are columns of one row."""
-    return _collection(spark, sf_dir).points().select("id", "location", "vec_id", F.size("embedding").alias("dim"))
+    """The rows of a collection after two batched inserts: vector and payload are columns of one row."""
+    points = _points(spark, sf_dir)
+    dim = points.agg(F.max(F.size("embedding"))).first()[0] or 1
+    kept = store.Collection(spark, store.work_dir(spark), "points", dim)
+    for half in (0, 1):
+        kept.insert(points.where(F.col("vec_id") % 2 == half))
+    two = (F.get("embedding", F.lit(0)) + F.get("embedding", F.lit(1))).cast("float").cast("double")
+    return kept.points().select("id", "location", "vec_id", F.size("embedding").alias("dim"), two.alias("two"))
 
 
 @query("SELECT count(*) AS n FROM embeddings")

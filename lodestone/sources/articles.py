@@ -9,11 +9,13 @@ every location that failed.
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 ATTEMPTS, BACKOFF_S, POLITE_S = 4, 3.0, 1.5
 MAX_CHARS = 1_000_000
@@ -47,15 +49,20 @@ def retry_waits(attempts: int = ATTEMPTS, backoff: float = BACKOFF_S) -> list[fl
     return [backoff * k for k in range(1, attempts)]
 
 
-def with_retries(call: Callable[[], list[dict]], attempts: int = ATTEMPTS, backoff: float = BACKOFF_S, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
-    waits = retry_waits(attempts, backoff)
-    for k in range(attempts):
+Note = Callable[[int, float | None, Exception], None]
+
+
+def with_retries(call: Callable[[], list[dict]], attempts: int = ATTEMPTS, backoff: float = BACKOFF_S, sleep: Callable[[float], None] = time.sleep, note: Note = lambda k, wait, error: None) -> list[dict]:
+    """What ``call`` gives, tried again after growing waits; ``note`` hears of every failed attempt (from 1) and the wait behind it."""
+    waits = [*retry_waits(attempts, backoff), None]
+    for k, wait in enumerate(waits, 1):
         try:
             return call()
-        except Exception:
-            if k == attempts - 1:
+        except Exception as e:
+            note(k, wait, e)
+            if wait is None:
                 raise
-            sleep(waits[k])
+            sleep(wait)
     return []
 
 
@@ -64,24 +71,55 @@ class _Location(InputPartition):
         super().__init__(location)
 
 
-def article_source(fetch: Callable[[str, str, int], list[dict]], locations: list[str], lang: str = "en", max_docs: int = 1, backoff: float = BACKOFF_S, polite: float = POLITE_S) -> type[DataSource]:
-    """A data source class over ``fetch(location, lang, max_docs) -> [{text, source}]``."""
+def no_wait(seconds: float) -> None:
+    """For services that need no politeness."""
+
+
+FETCHED = "location string, lang string, article_no bigint, text string, source string, attempt int, wait_s double, error string"
+
+
+def article_source(fetch: Callable[[str, str, int], list[dict]], locations: list[str], lang: str = "en", max_docs: int = 1, backoff: float = BACKOFF_S, polite: float = POLITE_S, sleep: Callable[[float], None] = time.sleep) -> type[DataSource]:
+    """A data source class over ``fetch(location, lang, max_docs) -> [{text, source}]``.
+
+    A location is one partition.  Filters on ``location`` leave the others
+    unasked, one on ``lang`` asks for that edition; :func:`read_articles` turns
+    them on.  Rows with an ``error`` are failed attempts with the wait behind
+    them (null after the last); the others are articles with the number of the
+    attempt that gave them.
+    """
 
     class Reader(DataSourceReader):
+        def __init__(self) -> None:
+            self.wanted, self.lang = list(dict.fromkeys(locations)), lang
+
+        def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+            for f in filters:
+                if isinstance(f, EqualTo) and f.attribute == ("location",):
+                    self.wanted = [x for x in self.wanted if x == f.value]
+                elif isinstance(f, In) and f.attribute == ("location",):
+                    self.wanted = [x for x in self.wanted if x in f.value]
+                elif isinstance(f, EqualTo) and f.attribute == ("lang",):
+                    self.lang = f.value
+                elif not isinstance(f, IsNotNull) or f.attribute not in (("location",), ("lang",)):
+                    yield f
+
         def partitions(self) -> list[InputPartition]:
-            return [_Location(x) for x in locations]
+            return [_Location(x) for x in self.wanted]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            place = partition.value
+            place = getattr(partition, "value", None)
+            if place is None:  # no location is wanted
+                return
+            failed: list[tuple] = []
             try:
-                found = with_retries(lambda: fetch(place, lang, max_docs), backoff=backoff)
-                time.sleep(polite)
-            except Exception as e:
-                yield place, None, None, None, str(e)
+                found = with_retries(lambda: fetch(place, self.lang, max_docs), backoff=backoff, sleep=sleep, note=lambda k, wait, e: failed.append((place, self.lang, None, None, None, k, wait, str(e))))
+            except Exception:
+                yield from failed
                 return
+            sleep(polite)
+            yield from failed
             for k, article in enumerate(found[:max_docs]):
-                text = article.get("text") or ""
-                yield place, k, text[:MAX_CHARS], article.get("source") or place, None
+                yield place, self.lang, k, (article.get("text") or "")[:MAX_CHARS], article.get("source") or place, len(failed) + 1, None, None
 
     class ArticleSource(DataSource):
         @classmethod
@@ -89,7 +127,7 @@ def article_source(fetch: Callable[[str, str, int], list[dict]], locations: list
             return "lodestone_articles"
 
         def schema(self) -> str:
-            return "location string, article_no bigint, text string, source string, error string"
+            return FETCHED
 
         def reader(self, schema) -> DataSourceReader:
             return Reader()
@@ -97,6 +135,42 @@ def article_source(fetch: Callable[[str, str, int], list[dict]], locations: list
     return ArticleSource
 
 
+def read_articles(spark: SparkSession, source: type[DataSource]) -> DataFrame:
+    """The rows of an :func:`article_source`, with filters pushed into it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+    return spark.read.format(source.name()).load()
+
+
+#: Articles that the stand-in service gives for a location and language at most, as search services do.
+SERVED = 50
+
+
+def serve(rows: DataFrame, root: str) -> None:
+    """Writes ``location, lang, article_no, text, source`` as the folders of a stand-in service, one a location."""
+    rank = F.row_number().over(Window.partitionBy("location", "lang").orderBy("article_no"))
+    kept = rows.withColumn("rn", rank).where(F.col("rn") <= SERVED)
+    kept.select(F.md5("location").alias("folder"), "lang", "article_no", "text", "source").write.partitionBy("folder").parquet(root)
+
+
+class ServedArticles:
+    """The ``fetch`` of a stand-in service below ``root``; it fails ``fails(location)`` times before it answers."""
+
+    def __init__(self, root: str, fails: Callable[[str], int] = lambda place: 0) -> None:
+        self.root, self.fails, self.tries = root, fails, Counter()
+
+    def __call__(self, place: str, lang: str, max_docs: int) -> list[dict]:
+        from pyarrow import dataset, fs
+
+        self.tries[place] += 1
+        if self.tries[place] <= self.fails(place):
+            raise ConnectionError(f"no answer for {place}")
+        system, path = fs.FileSystem.from_uri(self.root)
+        found = dataset.dataset(f"{path}/folder={md5(place.encode()).hexdigest()}", filesystem=system, format="parquet")
+        rows = found.to_table(filter=dataset.field("lang") == lang).sort_by("article_no").slice(0, max_docs)
+        return rows.select(["text", "source"]).to_pylist()
+
+
 def skipped(locations: DataFrame, fetched: DataFrame) -> DataFrame:
     """The locations without an article."""
     return locations.join(fetched.where("text IS NOT NULL").select("location").distinct(), "location", "left_anti")

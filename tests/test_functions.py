@@ -116,12 +116,19 @@ def test_article_source(spark):
             raise OSError("no such place")
         return [{"text": f"{place} in {lang}", "source": None}] * 3
 
-    spark.dataSource.register(articles.article_source(fetch, ["x", "bad", "y"], "de", 2, backoff=0.0, polite=0.0))
-    rows = spark.read.format("lodestone_articles").load()
-    got = sorted((r.location, r.article_no, r.text, r.source, r.error) for r in rows.collect() if r.error is None)
-    assert got == [(p, k, f"{p} in de", p, None) for p in "xy" for k in range(2)]
+    waited = []
+    rows = articles.read_articles(spark, articles.article_source(fetch, ["x", "bad", "y", "x"], "de", 2, backoff=0.0, polite=0.0))
+    got = sorted((r.location, r.article_no, r.text, r.source, r.attempt, r.error) for r in rows.collect() if r.error is None)
+    assert got == [(p, k, f"{p} in de", p, 1, None) for p in "xy" for k in range(2)] and not waited
+    failed = sorted((r.location, r.attempt, r.wait_s, r.error) for r in rows.where("error IS NOT NULL").collect())
+    assert failed == [("bad", k, None if k == 4 else 0.0, "no such place") for k in range(1, 5)]
     places = spark.createDataFrame([("x",), ("bad",), ("y",)], "location string")
     assert [r.location for r in articles.skipped(places, rows).collect()] == ["bad"]
+    # filters reach the source: other locations aren't asked, and the language is that of the filter
+    some = rows.where("location = 'y' AND lang = 'fr' AND error IS NULL")
+    assert some.rdd.getNumPartitions() == 1 and {r.text for r in some.collect()} == {"y in fr"}
+    assert rows.where("location IN ('x', 'y')").rdd.getNumPartitions() == 2
+    assert rows.where("location = 'nowhere'").collect() == [] and rows.where("article_no = 1").count() == 2
     assert articles.ensure_rows(rows) is rows
     with pytest.raises(RuntimeError):
         articles.ensure_rows(rows.limit(0))
