@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 REQUEST = "struct<action_requests:array<struct<name:string,args:map<string,string>>>,review_configs:array<struct<action_name:string,allowed_decisions:array<string>>>>"
 #: Order in which responses are offered, and in which one is the default.
 OFFERED, DEFAULTS = ("edit", "approve", "reject"), ("approve", "reject", "edit")
@@ -18,10 +20,14 @@ def _valid(r: Column) -> Column:
     return F.coalesce(actions & configs, F.lit(False))
 
 
+def first_request(json: Column) -> Column:
+    """The request of a JSON text, or the first of an array of them."""
+    return F.when(json.rlike(r"^\s*\["), F.get(F.from_json(json, f"array<{REQUEST}>"), F.lit(0))).otherwise(F.from_json(json, REQUEST))
+
+
 def valid_request(json: Column) -> Column:
     """Whether a JSON text is a request, two non-empty arrays of well-formed entries, or an array that begins with one."""
-    several = F.get(F.from_json(json, f"array<{REQUEST}>"), F.lit(0))
-    return F.when(json.rlike(r"^\s*\["), _valid(several)).otherwise(_valid(F.from_json(json, REQUEST)))
+    return _valid(first_request(json))
 
 
 def config_for(name: Column, configs: Column, fallback: Column) -> Column:
@@ -41,7 +47,7 @@ def decision(allowed: Column, selected: Column, reason: Column, edits_made: Colu
     """``struct<type, message, error>`` for the selected response."""
     out = lambda t, m, e: F.struct(t.cast("string").alias("type"), m.cast("string").alias("message"), e.cast("string").alias("error"))
     none = F.lit(None)
-    given = F.trim(F.coalesce(reason, F.lit("")))
+    given = strip(F.coalesce(reason, F.lit("")))
     return (
         F.when(F.size(offered(allowed)) == 0, out(none, none, F.lit(NO_RESPONSE)))
         .when(~F.coalesce(F.array_contains(offered(allowed), selected), F.lit(False)), out(none, none, F.lit(NOT_SELECTED)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.partial_json import repaired
+from lodestone.functions.text import strip
 
 HIDDEN = "do-not-render-"
 HANDLED = "Successfully handled tool call."  # fixed text
@@ -62,7 +63,7 @@ def without_reply(rows: DataFrame) -> DataFrame:
 def outgoing(content: Column, blocks: Column) -> Column:
     """The blocks of a message to send, the text first; null if there is nothing to send."""
     text = F.array(F.struct(F.lit("text").alias("type"), content.alias("text")))
-    blank = F.trim(F.coalesce(content, F.lit(""))) == ""
+    blank = strip(F.coalesce(content, F.lit(""))) == ""
     both = F.when(blank, blocks).otherwise(F.concat(text, blocks))
     return F.when(blank & (F.size(blocks) == 0), F.lit(None)).otherwise(both)
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import ingest_queries, search_queries, stream_queries, thread_queries
+from lodestone.plans import ingest_queries, review_queries, search_queries, stream_queries, thread_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [ingest_queries, search_queries, thread_queries, stream_queries]
+MODULES = [ingest_queries, search_queries, thread_queries, review_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import checkpoints, prompts, review, threads, uploads
+from lodestone.operators import checkpoints, prompts, threads, uploads
 from lodestone.sources.articles import table
 
 QUERIES: dict = {}
@@ -300,92 +300,6 @@ def block_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", uploads.file_label(F.col("filename"), F.col("name")).alias("label"), uploads.data_url(F.lit("application/pdf"), F.lit("QQ==")).alias("url"))
 
 
-_REQUESTS = [
-    (1, '{"action_requests":[{"name":"f","args":{}}],"review_configs":[{"action_name":"f","allowed_decisions":["approve"]}]}'),
-    (2, '{"action_requests":[],"review_configs":[{"action_name":"f","allowed_decisions":[]}]}'),
-    (3, '{"action_requests":[{"name":"f"}],"review_configs":[{"action_name":"f","allowed_decisions":[]}]}'),
-    (4, "not json"),
-    (5, None),
-    (6, '{"action_requests":[{"name":"f","args":{"a":"1"}}],"review_configs":[{"allowed_decisions":["edit"]}]}'),
-]
-# of several the first decides
-_REQUESTS += [(7, f"[{_REQUESTS[0][1]}]"), (8, f" [{_REQUESTS[0][1]}, {{}}]"), (9, f"[{{}}, {_REQUESTS[0][1]}]"), (10, "[]")]
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, false), (5, false), (6, false), (7, true), (8, true), (9, false), (10, false)) t(k, valid)")
-def hitl_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_REQUESTS, "k int, j string").select("k", review.valid_request(F.col("j")).alias("valid"))
-
-
-_CONFIGS = "array<struct<action_name:string,allowed_decisions:array<string>>>"
-
-
-@query("SELECT * FROM (VALUES (1, 'second'), (2, 'first'), (3, 'third'), (4, NULL)) t(k, decision)")
-def review_config_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By name, else the first config, or the one at the action's place."""
-    configs = [("f", ["first"]), ("g", ["second"]), ("h", ["third"]), ("g", ["fourth"])]
-    rows = spark.createDataFrame([(1, "g", configs, 0), (2, "none", configs, 0), (3, "none", configs, 2), (4, "none", [], 0)], f"k int, name string, configs {_CONFIGS}, place int")
-    return rows.select("k", F.get(review.config_for(F.col("name"), F.col("configs"), F.col("place")).allowed_decisions, F.lit(0)).alias("decision"))
-
-
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(k, every)")
-def all_allow_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, [("f", ["approve", "edit"]), ("g", ["approve"])]), (2, [("f", ["approve"]), ("g", ["reject"])]), (3, [])]
-    return spark.createDataFrame(rows, f"k int, c {_CONFIGS}").select("k", review.all_allow_approve(F.col("c")).alias("every"))
-
-
-@query("SELECT * FROM (VALUES (1, 'edit,approve,reject', 'approve', true), (2, 'edit,reject', 'reject', true), (3, 'edit', 'edit', false), (4, '', NULL, false)) t(k, offered, chosen, several)")
-def review_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["reject", "approve", "edit"]), (2, ["edit", "reject"]), (3, ["edit"]), (4, ["unknown"])], "k int, allowed array<string>")
-    own = review.offered(F.col("allowed"))
-    return rows.select("k", F.array_join(own, ",").alias("offered"), review.default_choice(F.col("allowed")).alias("chosen"), (F.size(own) > 1).alias("several"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'approve', NULL, NULL), (2, NULL, NULL, 'Please provide a rejection reason.'), (3, 'reject', 'no', NULL), (4, 'approve', NULL, NULL),
- (5, 'edit', NULL, NULL), (6, NULL, NULL, 'No response selected.'), (7, NULL, NULL, 'Please enter a response.'), (8, 'edit', NULL, NULL)) t(k, type, message, error)""")
-def review_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = ["edit", "approve", "reject"]
-    rows = [(1, every, "approve", None, False), (2, every, "reject", "  ", False), (3, every, "reject", " no ", False), (4, every, "edit", None, False), (5, every, "edit", None, True), (6, ["edit"], "approve", None, False), (7, [], "approve", None, False), (8, ["edit"], "edit", None, False)]
-    own = spark.createDataFrame(rows, "k int, allowed array<string>, selected string, reason string, edited boolean")
-    return own.select("k", review.decision(F.col("allowed"), F.col("selected"), F.col("reason"), F.col("edited")).alias("d")).select("k", "d.type", "d.message", "d.error")
-
-
-def _args(spark: SparkSession) -> DataFrame:
-    rows = [(1, {"a": "1", "b": "2"}, {"a": "1", "b": "2"}), (2, {"a": "1", "b": "3"}, {"a": "1", "b": "2"}), (3, {"c": "1"}, {"a": "1"}), (4, {}, {"a": "1"})]
-    return spark.createDataFrame(rows, "k int, args map<string,string>, other map<string,string>")
-
-
-@query("SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false)) t(k, changed)")
-def args_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _args(spark).select("k", review.args_changed(F.col("args"), F.col("other")).alias("changed"))
-
-
-@query("SELECT * FROM (VALUES (1, 'a=1,b=2'), (2, 'a=1,b=2'), (3, 'a=1,c=1'), (4, 'a=1')) t(k, edited)")
-def args_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = F.array_sort(F.map_entries(review.edited_args(F.col("args"), F.col("other"))))
-    return _args(spark).select("k", F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit("="), e.value)), ",").alias("edited"))
-
-
-@query("SELECT * FROM (VALUES (1, true, 'approve,reject', 'busy'), (2, false, NULL, 'interrupted')) t(request_id, complete, decisions, status)")
-def decisions_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions in the order of the actions, and the status of the thread behind them."""
-    actions = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1)], "request_id int, action_no int")
-    made = spark.createDataFrame([(1, 1, "reject"), (1, 0, "approve"), (2, 1, "approve")], "request_id int, action_no int, decision string")
-    return review.all_decisions(actions, made).withColumn("status", review.after_decision(F.lit("interrupted"), F.col("complete")))
-
-
-@query("SELECT * FROM (VALUES ('busy', 'busy'), ('interrupted', 'idle'), (NULL, NULL)) t(status, resolved)")
-def resolve_interrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("busy",), ("interrupted",), (None,)], "status string")
-    return rows.select("status", review.after_resolve(F.col("status")).alias("resolved"))
-
-
-@query("SELECT * FROM (VALUES (1, 2, 'Named'), (2, 0, 'Interrupt 2'), (3, 1, 'Interrupt 3')) t(k, n, title)")
-def interrupt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["a", None, "b"], "Named"), (2, [], None), (3, ["c"], "")], "k int, v array<string>, title string")
-    return rows.select("k", F.size(review.normalised_interrupts(F.col("v"))).alias("n"), review.interrupt_title(F.col("title"), F.col("k")).alias("title"))
-
-
 @query("SELECT event_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(event_type, '[_-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM events")
 def prettify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.prettify(F.col("event_type")).alias("label"))
