@@ -125,6 +125,11 @@ def id_abbrev(c: Column) -> Column:
     return F.concat(F.left(c, F.lit(3)), F.lit("..."), F.right(c, F.lit(3)))
 
 
+def base64_text(c: Column) -> Column:
+    """Base64 in one line; Spark's own may break lines."""
+    return F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
+
+
 def data_url_payload(c: Column) -> Column:
     """What follows the first comma of a data URL."""
     return F.split_part(c, F.lit(","), F.lit(2))

@@ -12,20 +12,23 @@ def allowed(mime: Column) -> Column:
     return F.coalesce(mime.isin(*IMAGE_TYPES, PDF_TYPE), F.lit(False))
 
 
-def _same(files: DataFrame, attached: DataFrame) -> Column:
-    """PDFs are the same by name, images by name and type."""
-    pdf = (files["mime_type"] == PDF_TYPE) & (attached["mime_type"] == PDF_TYPE)
-    return (files["name"] == attached["name"]) & (pdf | (files["mime_type"] == attached["mime_type"]))
+def _held(attached: DataFrame) -> DataFrame:
+    return attached.select(F.col("name").alias("held_name"), F.col("mime_type").alias("held_type"))
+
+
+def _same() -> Column:
+    """PDFs are the same by name, images by name and type; an image is never the same as a PDF."""
+    return (F.col("name") == F.col("held_name")) & (F.col("mime_type") == F.col("held_type"))
 
 
 def duplicates(files: DataFrame, attached: DataFrame) -> DataFrame:
     """Allowed files that are attached already."""
-    return files.where(allowed(F.col("mime_type"))).alias("f").join(attached, _same(files, attached), "left_semi")
+    return files.where(allowed(F.col("mime_type"))).join(_held(attached), _same(), "left_semi")
 
 
 def unique(files: DataFrame, attached: DataFrame) -> DataFrame:
     """Allowed files that are not attached yet; equal files of one drop all pass."""
-    return files.where(allowed(F.col("mime_type"))).join(attached, _same(files, attached), "left_anti")
+    return files.where(allowed(F.col("mime_type"))).join(_held(attached), _same(), "left_anti")
 
 
 def is_media(kind: Column, mime: Column) -> Column:

@@ -226,20 +226,6 @@ def index_rebuild_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.points().groupBy("location").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.lit(kept.version()).alias("version"))
 
 
-_FILES = [("a.png", "image/png", "one"), ("b.pdf", "application/pdf", "two"), ("c.txt", "text/plain", "three"), ("d.jpg", "image/jpeg", "")]
-
-
-@query("""
-SELECT name, CASE WHEN mime_type = 'application/pdf' THEN 'file' ELSE 'image' END AS type, mime_type, base64(encode(body)) AS data,
-  CASE WHEN mime_type = 'application/pdf' THEN 'filename' ELSE 'name' END AS name_key
-FROM (VALUES ('a.png', 'image/png', 'one'), ('b.pdf', 'application/pdf', 'two'), ('c.txt', 'text/plain', 'three'), ('d.jpg', 'image/jpeg', '')) t(name, mime_type, body)
-WHERE mime_type IN ('image/jpeg', 'image/png', 'image/gif', 'image/webp', 'application/pdf')
-""")
-def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame(_FILES, "name string, mime_type string, body string")
-    return src.content_blocks(files.select("name", "mime_type", F.col("body").cast("binary").alias("content")))
-
-
 _THREADS = """
 SELECT CAST(conv_id AS VARCHAR) AS thread_id, CASE conv_id % 3 WHEN 0 THEN 'rag' WHEN 1 THEN 'rag_chat' ELSE NULL END AS graph_id FROM conversations GROUP BY conv_id
 """

@@ -13,7 +13,7 @@ from lodestone.operators.store import work_dir
 from lodestone.plans.pipeline import Engine
 from lodestone.plans.search_queries import _ASK, TOLD, _engine, told
 from lodestone.sources.articles import table
-from lodestone.streaming import artifacts, live
+from lodestone.streaming import artifacts, intake, live
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,54 @@ def ui_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.state(spark, checkpoint)
 
 
-QUERIES = {"ui_merge": ui_merge, "stream_last_turn": stream_last_turn, "stream_ask": stream_ask, "stream_trace": stream_trace}
+#: Files made of pages: every second page is dropped first, the others later.
+FILES = """SELECT page_id, page_id % 2 AS later, CAST(page_id % 7 AS STRING) AS message, concat('f', CAST(page_id % 40 AS STRING), '.', element_at(split('png,jpg,gif,pdf,txt,webp', ','), CAST(page_id % 40 % 6 + 1 AS INT))) AS name, html FROM {pages}"""
+
+
+def _intake(spark: SparkSession, sf_dir: str) -> str:
+    """Drops the files onto messages, twice, and takes them in; the folder of the results."""
+    out = work_dir(spark)
+    files = spark.sql(FILES, pages=table(spark, sf_dir, "pages"))
+    drops = os.path.join(out, "drops")
+
+    def put(rows) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(drops)
+        for r in rows:
+            folder = f"{root}/{r.later}/{r.message}/{r.page_id}"
+            system.create_dir(folder, recursive=True)
+            with system.open_output_stream(f"{folder}/{r.name}") as f:
+                f.write((r.html or "").encode())
+
+    for later in (0, 1):
+        files.where(F.col("later") == later).foreachPartition(put)
+        intake.take_in(intake.dropped_files(spark, drops), out, os.path.join(out, "checkpoint")).awaitTermination()
+    return out
+
+
+def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every file that was dropped onto a message."""
+    return spark.read.parquet(os.path.join(_intake(spark, sf_dir), "verdicts")).select("message", F.col("place").alias("page_id"), "name", "mime_type", "verdict", F.col("batch").cast("long").alias("drop"))
+
+
+def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the files that were attached."""
+    return spark.read.parquet(os.path.join(_intake(spark, sf_dir), "blocks")).select("message", F.col("place").alias("page_id"), "name", "type", "mime_type", F.md5("data").alias("data_md5"), "name_key")
+
+
+_DROPPED = """
+WITH f AS (SELECT page_id, page_id % 2 AS later, CAST(page_id % 7 AS VARCHAR) AS message, page_id % 40 AS k, coalesce(html, '') AS html FROM pages),
+ named AS (SELECT *, 'f' || k || '.' || ['png', 'jpg', 'gif', 'pdf', 'txt', 'webp'][k % 6 + 1] AS name, ['image/png', 'image/jpeg', 'image/gif', 'application/pdf', 'application/octet-stream', 'image/webp'][k % 6 + 1] AS mime_type FROM f),
+ judged AS (SELECT *, CASE WHEN k % 6 = 4 THEN 'invalid' WHEN later = 1 AND EXISTS (SELECT 1 FROM named o WHERE o.later = 0 AND o.message = n.message AND o.name = n.name) THEN 'duplicate' ELSE 'attached' END AS verdict FROM named n)
+"""
+
+
+QUERIES = {"ui_merge": ui_merge, "file_verdicts": file_verdicts, "content_blocks": content_blocks, "stream_last_turn": stream_last_turn, "stream_ask": stream_ask, "stream_trace": stream_trace}
 SQL = {
+    "file_verdicts": _DROPPED + "SELECT message, page_id, name, mime_type, verdict, CAST(later AS BIGINT) AS drop FROM judged",
+    "content_blocks": _DROPPED + """SELECT message, page_id, name, CASE WHEN k % 6 = 3 THEN 'file' ELSE 'image' END AS type, mime_type, md5(base64(encode(html))) AS data_md5,
+  CASE WHEN k % 6 = 3 THEN 'filename' ELSE 'name' END AS name_key FROM judged WHERE verdict = 'attached'""",
     "ui_merge": """
 WITH e AS (SELECT user_id || '-' || CAST(trunc(value) AS INTEGER) % 3 AS ui_id, event_id AS seq, event_type = 'error' AS gone, props FROM events),
   r AS (SELECT ui_id, max(seq) FILTER (WHERE gone) AS removed FROM e GROUP BY ui_id)

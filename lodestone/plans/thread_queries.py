@@ -266,38 +266,53 @@ def tool_use_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", F.explode(threads.tool_use_blocks(F.col("blocks"))).alias("c")).select("conv_id", "c.id", "c.name", "c.args")
 
 
-def _files(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    new = [("a.pdf", "application/pdf"), ("b.png", "image/png"), ("b.png", "image/png"), ("c.png", "image/png"), ("d.txt", "text/plain"), ("e.pdf", "application/pdf")]
-    old = [("a.pdf", "application/pdf"), ("c.png", "image/png"), ("b.png", "image/gif"), ("e.pdf", "image/png")]
-    kind = "name string, mime_type string"
-    return spark.createDataFrame(new, kind), spark.createDataFrame(old, kind)
+_NAMED = "SELECT page_id, 'f' || page_id // 4 || '.x' AS name, ['image/png', 'image/jpeg', 'application/pdf', 'text/plain', NULL][CASE WHEN page_id % 2 = 0 THEN page_id // 4 ELSE page_id END % 5 + 1] AS mime_type, page_id % 3 = 0 AS attached FROM pages"
 
 
-@query("SELECT * FROM (VALUES ('a.pdf', true), ('b.png', true), ('b.png', true), ('c.png', true), ('d.txt', false), ('e.pdf', true)) t(name, allowed)")
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names and types made of pages: the files of a drop, and what is attached already."""
+    k, four = F.col("page_id"), F.floor(F.col("page_id") / 4)
+    types = F.array(*map(F.lit, ("image/png", "image/jpeg", "application/pdf", "text/plain")))
+    own = table(spark, sf_dir, "pages").select(k, F.concat(F.lit("f"), four.cast("string"), F.lit(".x")).alias("name"), F.get(types, (F.when(k % 2 == 0, four).otherwise(k) % 5).cast("int")).alias("mime_type"))
+    return own.where("page_id % 3 <> 0"), own.where("page_id % 3 = 0").select("name", "mime_type")
+
+
+_ALLOWED = "mime_type IN ('image/png', 'image/jpeg', 'application/pdf')"
+
+
+@query(f"SELECT page_id, coalesce({_ALLOWED}, false) AS allowed FROM ({_NAMED}) WHERE NOT attached")
 def upload_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark)[0].select("name", uploads.allowed(F.col("mime_type")).alias("allowed"))
+    return _files(spark, sf_dir)[0].select("page_id", uploads.allowed(F.col("mime_type")).alias("allowed"))
 
 
-@query("SELECT * FROM (VALUES ('a.pdf', 'application/pdf'), ('c.png', 'image/png')) t(name, mime_type)")
+@query(f"WITH n AS ({_NAMED}) SELECT page_id, name, mime_type FROM n f WHERE NOT attached AND {_ALLOWED} AND EXISTS (SELECT 1 FROM n o WHERE o.attached AND o.name = f.name AND o.mime_type = f.mime_type)")
 def upload_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uploads.duplicates(*_files(spark))
+    return uploads.duplicates(*_files(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('b.png', 'image/png'), ('b.png', 'image/png'), ('e.pdf', 'application/pdf')) t(name, mime_type)")
+@query(f"WITH n AS ({_NAMED}) SELECT page_id, name, mime_type FROM n f WHERE NOT attached AND {_ALLOWED} AND NOT EXISTS (SELECT 1 FROM n o WHERE o.attached AND o.name = f.name AND o.mime_type = f.mime_type)")
 def upload_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uploads.unique(*_files(spark))
+    return uploads.unique(*_files(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, false), (5, true), (6, false)) t(k, media)")
+@query("""SELECT page_id, page_id % 5 IN (0, 1) AND page_id % 3 < 2 OR page_id % 5 = 2 AND page_id % 3 = 1 AS media FROM pages""")
 def is_media_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "image", "image/png"), (2, "file", "application/pdf"), (3, "file", "text/plain"), (4, "text", None), (5, "file", "image/gif"), (6, "image", "application/pdf")]
-    return spark.createDataFrame(rows, "k int, type string, mime string").select("k", uploads.is_media(F.col("type"), F.col("mime")).alias("media"))
+    """Blocks of three kinds with the types of files: images as either kind, a PDF as a file alone."""
+    k = F.col("page_id")
+    kind = F.when(k % 3 == 0, "image").when(k % 3 == 1, "file").otherwise("text")
+    types = F.array(*map(F.lit, ("image/png", "image/jpeg", "application/pdf", "text/plain")))
+    return table(spark, sf_dir, "pages").select(k, uploads.is_media(kind, F.get(types, (k % 5).cast("int"))).alias("media"))
 
 
-@query("SELECT * FROM (VALUES (1, 'f.pdf', 'data:application/pdf;base64,QQ=='), (2, 'n', 'data:application/pdf;base64,QQ=='), (3, 'PDF file', 'data:application/pdf;base64,QQ==')) t(k, label, url)")
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 2 = 0 THEN 'name of ' || page_id ELSE 'PDF file' END AS label, md5('data:application/pdf;base64,' || base64(encode(html))) AS url_md5,
+  base64(encode(html)) = split_part('data:application/pdf;base64,' || base64(encode(html)), ',', 2) AS back FROM pages""")
 def block_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "f.pdf", "n"), (2, "", "n"), (3, None, "")], "k int, filename string, name string")
-    return rows.select("k", uploads.file_label(F.col("filename"), F.col("name")).alias("label"), uploads.data_url(F.lit("application/pdf"), F.lit("QQ==")).alias("url"))
+    """A PDF's label by file name, name or neither, and its data URL, whose payload comes back."""
+    k = F.col("page_id")
+    label = uploads.file_label(F.when(k % 3 == 0, F.col("url")).when(k % 3 == 1, ""), F.when(k % 2 == 0, F.concat(F.lit("name of "), k.cast("string"))).when(k % 4 == 1, ""))
+    data = text.base64_text(F.col("html").cast("binary"))
+    url = uploads.data_url(F.lit("application/pdf"), data)
+    return table(spark, sf_dir, "pages").select(k, label.alias("label"), F.md5(url).alias("url_md5"), (text.data_url_payload(url) == data).alias("back"))
 
 
 @query("SELECT event_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(event_type, '[_-]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS label FROM events")

@@ -13,10 +13,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import md5
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
+from lodestone.functions.text import base64_text
+
 ATTEMPTS, BACKOFF_S, POLITE_S = 4, 3.0, 1.5
 MAX_CHARS = 1_000_000
 IMAGE_TYPES = ("image/jpeg", "image/png", "image/gif", "image/webp")
@@ -192,16 +194,21 @@ def search_threads(threads: DataFrame, assistant: str | None, limit: int = 100)
     return threads.where(same).orderBy("thread_id").limit(limit)
 
 
-def content_blocks(files: DataFrame) -> DataFrame:
-    """``name, type, mime_type, data, name_key`` of the allowed files ``(name, mime_type, content binary)``."""
+def content_blocks(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``name, type, mime_type, data, name_key`` of the allowed files ``(name, mime_type, content binary)``, with their columns ``keys``."""
     kind = F.when(F.col("mime_type").isin(*IMAGE_TYPES), "image").when(F.col("mime_type") == PDF_TYPE, "file")
     key = F.when(kind == "image", "name").otherwise("filename")
-    return files.where(kind.isNotNull()).select("name", kind.alias("type"), "mime_type", F.base64("content").alias("data"), key.alias("name_key"))
+    return files.where(kind.isNotNull()).select(*keys, "name", kind.alias("type"), "mime_type", base64_text(F.col("content")).alias("data"), key.alias("name_key"))
+
+
+def mime_of(name: Column) -> Column:
+    """A file's type by its suffix."""
+    types = F.create_map(*(F.lit(x) for x in ("jpg", "image/jpeg", "jpeg", "image/jpeg", "png", "image/png", "gif", "image/gif", "webp", "image/webp", "pdf", PDF_TYPE)))
+    return F.coalesce(types[F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))], F.lit("application/octet-stream"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """``name, mime_type, content`` of the files below ``path``, types by suffix."""
     files = spark.read.format("binaryFile").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1))
-    types = F.create_map(*(F.lit(x) for x in ("jpg", "image/jpeg", "jpeg", "image/jpeg", "png", "image/png", "gif", "image/gif", "webp", "image/webp", "pdf", PDF_TYPE)))
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.coalesce(types[suffix], F.lit("application/octet-stream")).alias("mime_type"), "content")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select(name.alias("name"), mime_of(name).alias("mime_type"), "content")

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import base64
 import random
 
-from lodestone.streaming import artifacts
+from lodestone.streaming import artifacts, intake
 
 KIND = "ui_id string, seq long, kind string, props string"
 
@@ -50,3 +51,24 @@ def test_state_is_the_same_with_and_without_a_restart(spark, tmp_path):
 def test_removed_rows_leave_the_state(spark, tmp_path):
     batches = [[("a", 1, "push", "x"), (None, 2, "push", "y"), ("b", 3, "other", "z"), ("c", 4, "remove", None)], [("a", 5, "remove", None)], [("c", 6, "push", None)]]
     assert run(spark, tmp_path, batches, {0, 1}) == {"c": (6, None, 1)}
+
+
+def test_files_are_compared_with_earlier_drops_alone(spark, tmp_path):
+    """Names that a message holds stay known through a restart; equal files of one drop all pass."""
+    drops = [
+        [("m1", 1, "a.png"), ("m1", 2, "a.png"), ("m1", 3, "b.PDF"), ("m1", 4, "c.txt"), ("m2", 5, "a.png")],
+        [("m1", 6, "a.png"), ("m1", 7, "a.jpg"), ("m1", 8, "b.PDF"), ("m1", 9, "d+ e.gif"), ("m2", 10, "b.PDF"), ("m1", 11, "c.txt")],
+        [("m2", 12, "b.PDF"), ("m1", 13, "d+ e.gif"), ("m1", 14, "a.jpg")],
+    ]
+    for k, files in enumerate(drops):
+        for message, place, name in files:
+            folder = tmp_path / "drops" / str(k) / message / str(place)
+            folder.mkdir(parents=True)
+            (folder / name).write_bytes(f"{name} {place}".encode() * 30)
+        intake.take_in(intake.dropped_files(spark, str(tmp_path / "drops")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.place: r.verdict[0] for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
+    assert "".join(got[k] for k in range(1, 15)) == "aaaia" + "dadaai" + "ddd"
+    blocks = {r.place: (r.type, r.name, base64.b64decode(r.data)) for r in spark.read.parquet(str(tmp_path / "out" / "blocks")).collect()}
+    assert set(blocks) == {k for k, v in got.items() if v == "a"}
+    assert blocks[9] == ("image", "d+ e.gif", b"d+ e.gif 9" * 30) and blocks[3][0] == "file"
+    assert "\n" not in "".join(r.data for r in spark.read.parquet(str(tmp_path / "out" / "blocks")).collect())
