@@ -12,7 +12,9 @@ SYSTEM_REWRITE = "Turn the user's question into one self-contained search query
 SYSTEM_ANSWER = f"Answer from the numbered passages only and end with a note of the sources used. If they do not hold the answer, reply exactly: {REFUSAL}"
 # fixed formats
 EMPTY_CONTEXT = "(no context retrieved)"
+CONTEXT, QUESTION = "Context passages:\n", "\n\nQuestion: "
 CLOSING = "Answer using only the context above."
+HISTORY, LATEST = "Conversation so far:\n", "\n\nLatest question: "
 
 
 def format_context(hits: Column) -> Column:
@@ -24,12 +26,12 @@ def format_context(hits: Column) -> Column:
 
 
 def answer_text(question: Column, context: Column) -> Column:
-    return F.concat(F.lit("Context passages:\n"), or_else(context, F.lit(EMPTY_CONTEXT)), F.lit("\n\nQuestion: "), question, F.lit(f"\n\n{CLOSING}"))
+    return F.concat(F.lit(CONTEXT), or_else(context, F.lit(EMPTY_CONTEXT)), F.lit(QUESTION), question, F.lit(f"\n\n{CLOSING}"))
 
 
 def rewrite_text(question: Column, history: Column) -> Column:
     """The bare question, or the question behind the conversation so far."""
-    return F.when(or_else(history, F.lit(None)).isNull(), question).otherwise(F.concat(F.lit("Conversation so far:\n"), history, F.lit("\n\nLatest question: "), question))
+    return F.when(or_else(history, F.lit(None)).isNull(), question).otherwise(F.concat(F.lit(HISTORY), history, F.lit(LATEST), question))
 
 
 def messages(system: str, user: Column) -> Column:

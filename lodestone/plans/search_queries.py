@@ -292,10 +292,10 @@ def rewrite_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.col("m")[1]["content"].alias("prompt"))
 
 
-_REWRITES = [('  "Population of Munich"  ', "q1"), ('""', "q2"), ('" a "', "q3"), (None, "q4"), ('"a"b""', "q5"), ("\n\t", "q6")]
-
-
-@query("SELECT * FROM (VALUES ('q1', 'Population of Munich'), ('q2', 'q2'), ('q3', ' a '), ('q4', 'q4'), ('q5', 'a\"b'), ('q6', 'q6')) t(question, rewritten)")
+@query(r"""WITH said AS (SELECT item_id, CASE item_id % 5 WHEN 0 THEN '  "' || text || '"' || chr(10) WHEN 1 THEN '""' WHEN 2 THEN '" ' || text || ' "' WHEN 3 THEN NULL ELSE chr(9) || '"' || substr(text, 1, 20) || '"b""' END AS s, text FROM benchmark)
+SELECT item_id, coalesce(nullif(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g'), ''), text) AS rewritten FROM said""")
 def rewrite_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_REWRITES, "said string, question string")
-    return rows.select("question", text.clean_rewrite(F.col("said"), F.col("question")).alias("rewritten"))
+    """Rewrites as a model may give them: with white space or quotes around, with spaces inside the quotes, empty, missing."""
+    own, k = F.col("text"), F.col("item_id") % 5
+    said = F.when(k == 0, F.concat(F.lit('  "'), own, F.lit('"\n'))).when(k == 1, '""').when(k == 2, F.concat(F.lit('" '), own, F.lit(' "'))).when(k == 4, F.concat(F.lit('\t"'), F.substring(own, 1, 20), F.lit('"b""')))
+    return table(spark, sf_dir, "benchmark").select("item_id", text.clean_rewrite(said, own).alias("rewritten"))

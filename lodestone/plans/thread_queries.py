@@ -50,32 +50,37 @@ def conversation_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads.append(rows, new.unionByName(edited))
 
 
-_CALLS = "struct<id:string,name:string,args:map<string,string>>"
+def _tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which half the AI ones have two tool calls; in every fourth conversation what users say counts as tool results."""
+    rows = _rows(spark, sf_dir)
+    kind = F.when((F.col("type") == "human") & (F.col("conv_id") % 4 == 0), "tool").otherwise(F.col("type"))
+    call = lambda i, name: F.struct(i.alias("id"), F.lit(name).alias("name"), F.create_map().cast("map<string,string>").alias("args"))
+    calls = F.array(call(F.concat("id", F.lit("-x")), "f"), call(F.lit(None).cast("string"), "g"))
+    some = (F.col("type") == "ai") & ((F.col("conv_id") + F.col("turn")) % 2 == 0)
+    return rows.select("conv_id", "turn", kind.alias("type"), F.when(some, calls).otherwise(F.slice(calls, 1, 0)).alias("tool_calls"))
 
 
-def _tool_rows(spark: SparkSession) -> DataFrame:
-    calls = [{"id": "x", "name": "f", "args": {}}, {"id": None, "name": "g", "args": {}}]
-    rows = [(1, 0, "ai", calls), (1, 1, "human", None), (2, 0, "ai", calls), (2, 1, "tool", None), (3, 0, "human", None), (3, 1, "ai", calls), (4, 0, "ai", [])]
-    return spark.createDataFrame(rows, f"conv_id long, turn long, type string, tool_calls array<{_CALLS}>")
+_TOOLS = f"""(SELECT *, lead(type) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM (SELECT conv_id, turn, id, CASE WHEN type = 'human' AND conv_id % 4 = 0 THEN 'tool' ELSE type END AS type FROM {_ROWS}))"""
+_REPLIES = f"""SELECT conv_id, turn, call_no, 'do-not-render-' || md5(conv_id || '|' || turn || '|' || call_no) AS id, CASE call_no WHEN 0 THEN id || '-x' ELSE '' END AS tool_call_id,
+  CASE call_no WHEN 0 THEN 'f' ELSE 'g' END AS name, 'Successfully handled tool call.' AS content
+FROM {_TOOLS}, (VALUES (0), (1)) c(call_no) WHERE type = 'ai' AND (conv_id + turn) % 2 = 0 AND after IS DISTINCT FROM 'tool'"""
 
 
-@query("""
-SELECT conv_id, turn, call_no, 'do-not-render-' || md5(conv_id || '|' || turn || '|' || call_no) AS id, tool_call_id, name, 'Successfully handled tool call.' AS content
-FROM (VALUES (1, 0), (3, 1)) t(conv_id, turn), (VALUES (0, 'x', 'f'), (1, '', 'g')) c(call_no, tool_call_id, name)
-""")
+@query(_REPLIES)
 def missing_tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads.missing_tool_replies(_tool_rows(spark))
+    return threads.missing_tool_replies(_tool_rows(spark, sf_dir))
 
 
-@query("""
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY last, id_no)::INTEGER AS place, type, content FROM (
-  SELECT conv_id, 0 AS last, call_no AS id_no, 'tool' AS type, 'Successfully handled tool call.' AS content FROM (VALUES (1), (3)) t(conv_id), (VALUES (0), (1)) c(call_no)
-  UNION ALL SELECT conv_id, 1, 0, 'human', 'typed' FROM (VALUES (1), (2), (3)) t(conv_id))
+@query(f"""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY last, turn, call_no)::INTEGER AS place, type, id, content FROM (
+  SELECT conv_id, 0 AS last, turn, call_no, 'tool' AS type, id, content FROM ({_REPLIES}) WHERE conv_id % 3 <> 0
+  UNION ALL SELECT DISTINCT conv_id, 1, 0, 0, 'human', 'new-' || conv_id, 'typed for ' || conv_id FROM conversations WHERE conv_id % 3 <> 0)
 """)
 def submit_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing tool replies come before the human message; nothing goes to a conversation without one."""
-    typed = spark.createDataFrame([(k, f"new-{k}", "typed") for k in (1, 2, 3)], "conv_id long, id string, content string")
-    return threads.submission(_tool_rows(spark), typed).select("conv_id", "place", "type", "content")
+    own = F.col("conv_id").cast("string")
+    typed = table(spark, sf_dir, "conversations").where("conv_id % 3 <> 0").select("conv_id").distinct().select("conv_id", F.concat(F.lit("new-"), own).alias("id"), F.concat(F.lit("typed for "), own).alias("content"))
+    return threads.submission(_tool_rows(spark, sf_dir), typed)
 
 
 @query(f"SELECT conv_id, turn, id, type FROM {_ROWS} WHERE id NOT LIKE 'do-not-render-%'")
@@ -201,35 +206,46 @@ def message_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select("conv_id", "turn", prompts.message_line(F.col("type"), F.col("content"), calls).alias("line"))
 
 
-def _blocks(spark: SparkSession) -> DataFrame:
-    rows = [(1, [("text", "a"), ("image", None), ("text", "b")]), (2, []), (3, [("text", "only")]), (4, [("image", None)])]
-    return spark.createDataFrame(rows, "k int, blocks array<struct<type:string,text:string>>")
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as the blocks of one message; every third is an image, every fifth conversation has none."""
+    block = F.struct("turn", F.when(F.col("turn") % 3 == 1, "image").otherwise("text").alias("type"), "text")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(block)), lambda b: b.dropFields("turn")).alias("blocks"))
+    return rows.select("conv_id", F.when(F.col("conv_id") % 5 == 0, F.slice("blocks", 1, 0)).otherwise(F.col("blocks")).alias("blocks"))
+
 
+_TEXTS = "FILTER (WHERE turn % 3 <> 1 AND conv_id % 5 <> 0)"
 
-@query("SELECT * FROM (VALUES (1, 'a b'), (2, ''), (3, ' plain  text'), (4, '')) t(k, content)")
+
+@query(f"SELECT conv_id, md5(CASE WHEN conv_id % 7 = 3 THEN ' plain  text ' || conv_id ELSE coalesce(string_agg(text, ' ' ORDER BY turn) {_TEXTS}, '') END) AS content_md5 FROM conversations GROUP BY conv_id")
 def content_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks, or for the third message plain text."""
-    plain = F.when(F.col("k") == 3, " plain  text")
-    return _blocks(spark).select("k", prompts.content_string(plain, F.col("blocks")).alias("content"))
+    """Blocks, or for some messages plain text."""
+    plain = F.when(F.col("conv_id") % 7 == 3, F.concat(F.lit(" plain  text "), F.col("conv_id").cast("string")))
+    return _blocks(spark, sf_dir).select("conv_id", F.md5(prompts.content_string(plain, F.col("blocks"))).alias("content_md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ab'), (2, ''), (3, 'only'), (4, '')) t(k, response)")
+@query(f"SELECT conv_id, md5(regexp_replace(coalesce(string_agg(text, '' ORDER BY turn) {_TEXTS}, ''), '^\\s+|\\s+$', '', 'g')) AS response_md5 FROM conversations GROUP BY conv_id")
 def response_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _blocks(spark).select("k", text.strip(prompts.joined_text_blocks(F.col("blocks"), "")).alias("response"))
+    return _blocks(spark, sf_dir).select("conv_id", F.md5(text.strip(prompts.joined_text_blocks(F.col("blocks"), ""))).alias("response_md5"))
 
 
-@query("SELECT * FROM (VALUES (1, 'text,text,image,text'), (2, NULL), (3, 'text,text'), (4, 'image')) t(k, sent)")
+@query("""SELECT conv_id, CASE WHEN conv_id % 2 = 1 THEN CASE WHEN conv_id % 5 = 0 THEN 'text' ELSE 'text,' || string_agg(CASE WHEN turn % 3 = 1 THEN 'image' ELSE 'text' END, ',' ORDER BY turn) END
+  WHEN conv_id % 5 <> 0 THEN string_agg(CASE WHEN turn % 3 = 1 THEN 'image' ELSE 'text' END, ',' ORDER BY turn) END AS sent FROM conversations GROUP BY conv_id""")
 def outgoing_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _blocks(spark).withColumn("typed", F.when(F.col("k") % 2 == 1, "hello").otherwise("  "))
+    """The kinds of the blocks that a message sends; the typed text is blank for every second one."""
+    rows = _blocks(spark, sf_dir).withColumn("typed", F.when(F.col("conv_id") % 2 == 1, "hello").otherwise(" \n "))
     sent = threads.outgoing(F.col("typed"), F.col("blocks"))
-    return rows.select("k", F.array_join(F.transform(sent, lambda b: b.type), ",").alias("sent"))
+    return rows.select("conv_id", F.array_join(F.transform(sent, lambda b: b.type), ",").alias("sent"))
 
 
-@query("SELECT * FROM (VALUES (1, 'full'), (2, 'stream'), (3, 'bare'), (4, NULL), (5, NULL)) t(k, shown)")
+@query("""SELECT conv_id, CASE WHEN conv_id % 6 <> 0 THEN coalesce(string_agg(turn, ',' ORDER BY turn) FILTER (WHERE role = 'system'), string_agg(turn, ',' ORDER BY turn) FILTER (WHERE role = 'assistant' AND conv_id % 2 = 0),
+  string_agg(turn, ',' ORDER BY turn) FILTER (WHERE role = 'user')) END AS shown FROM conversations GROUP BY conv_id""")
 def tool_call_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, ["full"], ["stream"], ["bare"], False), (2, [], ["stream"], ["bare"], False), (3, None, [], ["bare"], False), (4, [], [], [], False), (5, ["full"], [], [], True)]
-    own = spark.createDataFrame(rows, "k int, a array<string>, b array<string>, c array<string>, hidden boolean")
-    return own.select("k", F.get(threads.tool_calls_shown(F.col("a"), F.col("b"), F.col("c"), F.col("hidden")), F.lit(0)).alias("shown"))
+    """Turns by role stand for calls with arguments, streamed ones and bare ones; some conversations hide them."""
+    of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("turn"))))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(of("system").alias("a"), of("assistant").alias("b"), of("user").alias("c"))
+    streamed = F.when(F.col("conv_id") % 2 == 0, F.col("b"))
+    shown = threads.tool_calls_shown(F.col("a"), streamed, F.col("c"), F.col("conv_id") % 6 == 0)
+    return rows.select("conv_id", F.array_join(shown.cast("array<string>"), ",").alias("shown"))
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,36 +370,50 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("value IS NOT NULL")
 
 
-_LONG = "x" * 120
-_RESULTS = [(1, '{"a": 1, "b": {"c": [1]}, "d": null}'), (2, '["p", 2, {"q": 3}, [4], 5, 6]'), (3, "just text"), (4, "12"), (5, '"quoted"'), (6, "[]"), (7, None)]
+#: A JSON value, or another text, of each event: an object, an array of seven, plain text, a number, strings, an empty array, nothing.
+_VALUE = """CASE event_id % 8
+  WHEN 0 THEN '{"k":' || user_id || ',"kind":"' || event_type || '","more":{"c":[' || event_id || ']},"none":null,"tall":"' || repeat(event_type, 110) || '"}'
+  WHEN 1 THEN '["' || event_type || '",' || user_id || ',{"q":' || event_id || '},[4],true,6,7]' WHEN 2 THEN event_type || ' of ' || user_id WHEN 3 THEN CAST(event_id AS STRING)
+  WHEN 4 THEN '"' || repeat(event_type, 30) || '"' WHEN 5 THEN '"https://h/' || repeat(event_type, 30) || '"' WHEN 6 THEN CASE WHEN user_id % 2 = 0 THEN '[]' ELSE props END END"""
+_VALUES = f"(SELECT event_id, {_VALUE} AS j, event_id % 8 IN (0, 1) OR event_id % 8 = 6 AS complex FROM events)"
+_SHOWN = "CASE json_type(value) WHEN 'VARCHAR' THEN value ->> '$' WHEN 'NULL' THEN NULL ELSE replace(CAST(value AS VARCHAR), ' ', '') END"
+# the items of an array by number, the entries of an object by name
+_PARTS = f"""SELECT event_id, j, CAST(i AS VARCHAR) AS key, i, json_extract(j, '$[' || i || ']') AS value FROM (SELECT * FROM {_VALUES} WHERE complex AND j LIKE '[%'), range(0, 5) r(i) WHERE i < json_array_length(j)
+  UNION ALL SELECT event_id, j, key, NULL, json_extract(j, '$.' || key) FROM (SELECT event_id, j, unnest(json_keys(j)) AS key FROM {_VALUES} WHERE complex AND j LIKE '{{%')"""
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{_VALUE} AS j")
 
 
-@query("""SELECT * FROM (VALUES (1, 'a', '1'), (1, 'b', '{"c":[1]}'), (1, 'd', NULL), (2, '0', 'p'), (2, '1', '2'), (2, '2', '{"q":3}'), (2, '3', '[4]'), (2, '4', '5'),
-  (3, NULL, 'just text'), (4, NULL, '12'), (5, NULL, '"quoted"'), (7, NULL, NULL)) t(k, key, value)""")
+@query(f"SELECT event_id, key, {_SHOWN} AS value FROM ({_PARTS}) UNION ALL SELECT event_id, NULL, j FROM {_VALUES} WHERE complex IS NOT TRUE")
 def tool_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of an object, the first five items of an array, any other text as it is."""
-    rows = spark.createDataFrame(_RESULTS, "k int, c string")
-    return rows.select("k", F.explode(text.result_rows(F.col("c"))).alias("r")).select("k", "r.key", "r.value")
+    return _values(spark, sf_dir).select("event_id", F.explode(text.result_rows(F.col("j"))).alias("r")).select("event_id", "r.key", "r.value")
 
 
-@query("""SELECT * FROM (VALUES (1, true, '{"a": 1, "b": {"c": [1]}, "d": null}'), (2, true, '["p", 2, {"q": 3}, [4], 5, 6]'), (3, false, 'just text'), (4, false, '12'), (5, false, 'quoted'), (6, true, '[]'), (7, false, NULL)) t(k, is_complex, as_text)""")
+@query(f"SELECT event_id, coalesce(complex, false) AS is_complex, CASE WHEN event_id % 8 IN (4, 5) THEN substr(j, 2, length(j) - 2) ELSE j END AS as_text FROM {_VALUES}")
 def complex_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_RESULTS, "k int, c string")
-    return rows.select("k", text.is_complex(F.col("c")).alias("is_complex"), text.scalar_text(F.col("c")).alias("as_text"))
+    return _values(spark, sf_dir).select("event_id", text.is_complex(F.col("j")).alias("is_complex"), text.scalar_text(F.col("j")).alias("as_text"))
+
+
+_CUT = "CASE WHEN length(x) > 100 AND NOT regexp_matches(x, '^https?://') THEN substr(x, 1, 100) || '...' ELSE x END"
 
 
-@query(f"""SELECT * FROM (VALUES (1, '{_LONG[:100]}...'), (2, 'https://h/{_LONG}'), (3, '["{_LONG[:100]}...","2"]'), (4, 'Truncated 132 characters...'), (5, '{{"a":1}}'), (6, '7')) t(k, shown)""")
+@query(f"""SELECT event_id, CASE WHEN j LIKE '[%' THEN CASE WHEN json_array_length(j) > 0 THEN '["' || (j ->> '$[0]') || '","' || (j ->> '$[1]') || '"]' ELSE '[]' END
+  WHEN j LIKE '{{%' THEN CASE WHEN length(j) > 100 THEN 'Truncated ' || length(j) || ' characters...' ELSE j END ELSE {_CUT} END AS shown
+FROM (SELECT event_id, j, CASE WHEN event_id % 8 IN (4, 5) THEN substr(j, 2, length(j) - 2) ELSE j END AS x FROM {_VALUES})""")
 def truncate_json_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A long string, a long URL, an array, a long and a short object, a number."""
-    rows = spark.createDataFrame([(1, f'"{_LONG}"'), (2, f'"https://h/{_LONG}"'), (3, f'["{_LONG}", 2, 3]'), (4, f'{{"long": "{_LONG}"}}'), (5, '{"a":1}'), (6, "7")], "k int, j string")
-    return rows.select("k", text.truncate_value(F.col("j")).alias("shown"))
+    """Long strings and URLs, arrays, long and short objects, other texts."""
+    return _values(spark, sf_dir).select("event_id", text.truncate_value(F.col("j")).alias("shown"))
 
 
-@query(f"""SELECT * FROM (VALUES (1, '0', 'a'), (1, '1', 'b'), (1, '2', 'c'), (1, '3', 'd'), (1, '4', 'e'), (2, 'k', '{_LONG}'), (3, 'k', '{_LONG[:100]}...'), (3, 'n', '1'), (3, 'l', '["1","2"]')) t(k, key, value)""")
+@query(f"""SELECT event_id, key, CASE WHEN i IS NOT NULL OR length(j) <= 500 THEN x WHEN json_type(value) IN ('OBJECT', 'ARRAY') THEN x ELSE {_CUT} END AS value
+FROM (SELECT *, {_SHOWN} AS x FROM ({_PARTS}))""")
 def interrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five items of an array; a small object as it is; the values of a tall one cut."""
-    rows = spark.createDataFrame([(1, '["a", "b", "c", "d", "e", "f"]'), (2, f'{{"k": "{_LONG}"}}'), (3, f'{{\n"k": "{_LONG}",\n"n": 1,\n"l": [1, 2, 3]\n}}')], "k int, j string")
-    return rows.select("k", F.explode(text.interrupt_rows(F.col("j"))).alias("r")).select("k", "r.key", "r.value")
+    """Five items of an array; a small object as it is; the long strings of a long one cut."""
+    rows = _values(spark, sf_dir).where(text.is_complex(F.col("j")))
+    return rows.select("event_id", F.explode(text.interrupt_rows(F.col("j"))).alias("r")).select("event_id", "r.key", "r.value")
 
 
 @query("""SELECT page_id, CASE WHEN length(url) > 100 AND NOT regexp_matches(url, '^https?://[^\\s/?#]+') THEN substr(url, 1, 100) || '...' ELSE url END AS short_url,

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from dataclasses import replace
@@ -197,15 +198,20 @@ def test_remote_models(spark, monkeypatch):
     for name, value in (("GROQ_API_KEY", "k"), ("GROQ_API_URL", "http://x/"), ("API_API_KEY", "k2"), ("API_API_URL", "http://y/")):
         monkeypatch.setenv(name, value)
         monkeypatch.setitem(spark.sparkContext.environment, name, value)
-    seen = []
-    talk = [{"role": "system", "content": "a"}, {"role": "user", "content": "q"}, {"role": "system", "content": "b"}, {"role": "tool", "content": "t"}]
+    talk = [("system", "a"), ("user", "q"), ("system", "b"), ("tool", "t")]
+    rows = spark.createDataFrame([(1, talk), (2, talk[1:2])], "k int, m array<struct<role:string,content:string>>")
     made = generate.make_generator(Settings(backend="Groq", models={"groq": "m"}))
-    plain = replace(made, send=lambda *r: seen.append(r) or {"choices": [{"message": {"content": " yes\n"}}]})
-    assert plain.chat(talk) == "yes"
-    assert seen.pop() == ("http://x/", {"Authorization": "Bearer k"}, {"model": "m", "messages": talk, "temperature": 0.1, "max_tokens": 512})
-    blocks = replace(generate.make_generator(Settings(backend="api", models={"api": "n"})), send=lambda *r: seen.append(r) or {"content": [{"type": "text", "text": " a"}, {"type": "x"}, {"type": "text", "text": "b "}]})
-    assert blocks.chat(talk) == "ab" and blocks.chat(talk[1:2]) == "ab"
-    assert [r[2].get("system") for r in seen] == ["a\n\nb", None] and seen[0][2]["messages"] == talk[1:2]
+
+    def heard(generator):
+        return {r.k: json.loads(r.s) for r in rows.select("k", generator.said(F.col("m")).alias("s")).collect()}
+
+    plain = replace(made, send=lambda *r: {"choices": [{"message": {"content": f" {json.dumps(r)}\n"}}]})
+    told = {"model": "m", "messages": [{"role": r, "content": c} for r, c in talk], "temperature": 0.1, "max_tokens": 512}
+    assert heard(plain)[1] == ["http://x/", {"Authorization": "Bearer k"}, told]
+    cut = lambda *r: {"content": [{"type": "text", "text": " " + json.dumps(r)[:5]}, {"type": "x"}, {"type": "text", "text": json.dumps(r)[5:] + " "}]}
+    blocks = heard(replace(generate.make_generator(Settings(backend="api", models={"api": "n"})), send=cut))
+    assert [blocks[k][2].get("system") for k in (1, 2)] == ["a\n\nb", None] and blocks[1][1] == {"X-Api-Key": "k2"}
+    assert blocks[1][2]["messages"] == blocks[2][2]["messages"] == [{"role": "user", "content": "q"}]
 
     def echo(url, headers, body):
         first, last = body["messages"]
