@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import distance
+from lodestone.operators.store import settled
 
 #: Queries that are sent to the points together.
 QUERY_BLOCK = 4096
@@ -28,6 +29,10 @@ QUERY_BLOCK = 4096
 POINT_BLOCK = 65_536
 #: Points that are scored together.
 POINT_BATCH = 2048
+#: Blocks of points for each partition that they are read in.
+POINT_PARTS = 4
+#: Locations that are named to the scan; more meet it in a join.
+NAMED = 1000
 
 
 def location_filter(points: DataFrame, location: str | None, column: str = "location") -> DataFrame:
@@ -76,6 +81,18 @@ def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]
 Block = dict[int, tuple[list, np.ndarray]]  # by length: ids and vectors of queries
 
 
+def _first(cost: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` least of each row, equal ones in the order of ``by_id``; only what ties with the k-th is sorted."""
+    if cost.shape[1] > k:
+        row, column = np.nonzero(cost <= np.partition(cost, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, column = (x.ravel() for x in np.indices(cost.shape))
+    order = np.lexsort((by_id[column], cost[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep]
+
+
 def _best(asked: Block, points: pa.RecordBatch, name: str, sign: float, k: int) -> Iterator[pa.RecordBatch]:
     """Columns (id, v) of points: the ``k`` best of them for each query."""
     for start in range(0, points.num_rows, POINT_BATCH):
@@ -86,10 +103,8 @@ def _best(asked: Block, points: pa.RecordBatch, name: str, sign: float, k: int)
             ids, q = asked[v.shape[1]]
             own = batch.column(0).take(pa.array(at))
             score = np.round(_scores(name, q, v), 6)
-            by_id = np.argsort(np.array(own.to_pylist()), kind="stable")
-            best = by_id[np.argsort(sign * score[:, by_id], axis=1, kind="stable")[:, :k]]
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)]), own.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], names=["query_id", "id", "score"])
+            row, best = _first(sign * score, np.argsort(np.argsort(np.array(own.to_pylist()), kind="stable")), k)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row.tolist()]), own.take(pa.array(best)), pa.array(score[row, best])], names=["query_id", "id", "score"])
 
 
 def _ranked(found: DataFrame, k: int, larger: bool) -> DataFrame:
@@ -97,16 +112,50 @@ def _ranked(found: DataFrame, k: int, larger: bool) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _meeting(name: str, sign: float, k: int, larger: bool):
+    """What a block of queries ``i, v`` and one of points ``id, v`` give: the ``k`` best points of each query."""
+
+    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        ids, vectors = mine.column("i").to_pylist(), mine.column("v").combine_chunks()
+        block = {v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)} if ids else {}
+        kind = pa.schema([("query_id", mine.schema.field("i").type), ("id", theirs.schema.field("id").type), ("score", pa.float64())])
+        parts = [x for batch in theirs.select(["id", "v"]).combine_chunks().to_batches() for x in _best(block, batch, name, sign, k)]
+        found = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x.columns, kind, strict=True)], schema=kind) for x in parts], schema=kind)
+        order = found.sort_by([("query_id", "ascending"), ("score", "descending" if larger else "ascending"), ("id", "ascending")])
+        own = order.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        return order.filter(pa.array(rank < k))
+
+    return meet
+
+
+def _dealt(c: str, n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(c), n if isinstance(n, Column) else F.lit(n)).cast("int")
+
+
+def _each(n: Column | int) -> Column:
+    return F.explode(F.sequence(F.lit(0), (n if isinstance(n, Column) else F.lit(n)) - 1))
+
+
 def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` best points of every query; ``queries(query_id, embedding)``."""
+    """``query_id, id, score, rank``: the ``k`` best points of every query; ``queries(query_id, embedding)``.
+
+    Queries are encoded once, into a table of their own; points are only read
+    to be scored, never to be counted.
+    """
+    asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))))
+    return _search_settled(points, asked, k, metric, id_col, vector_col)
+
+
+def _search_settled(points: DataFrame, asked: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
     _, larger = distance(metric)
     name, sign = metric.upper(), -1.0 if larger else 1.0
     spark = points.sparkSession
     frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    asked = _whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")))
     schema = f"query_id {asked.schema['i'].dataType.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
-    few = asked.limit(QUERY_BLOCK + 1).toArrow()
-    if few.num_rows <= QUERY_BLOCK:
+    n = asked.count()
+    if n <= QUERY_BLOCK:
+        few = asked.toArrow()
         ids, vectors = few.column(0).to_pylist(), few.column(1).combine_chunks()
         shared = spark.sparkContext.broadcast({v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)})
 
@@ -116,25 +165,40 @@ def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
         return _ranked(frame.mapInArrow(run, schema), k, larger)
 
-    n_q = -(-asked.count() // QUERY_BLOCK)
-    n_p = max(spark.sparkContext.defaultParallelism, -(-frame.count() // POINT_BLOCK))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("qb", dealt("i", n_q)).withColumn("pb", each(n_p))
-    right = frame.withColumn("pb", dealt("id", n_p)).withColumn("qb", each(n_q))
+    n_q = -(-n // QUERY_BLOCK)
+    n_p = max(spark.sparkContext.defaultParallelism, POINT_PARTS * frame.rdd.getNumPartitions())
+    left = asked.withColumn("qb", _dealt("i", n_q)).withColumn("pb", _each(n_p))
+    right = frame.withColumn("pb", _dealt("id", n_p)).withColumn("qb", _each(n_q))
+    return _ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(_meeting(name, sign, k, larger), schema), k, larger)
 
-    def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        ids, vectors = mine.column("i").to_pylist(), mine.column("v").combine_chunks()
-        block = {v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)} if ids else {}
-        kind = pa.schema([("query_id", mine.schema.field("i").type), ("id", theirs.schema.field("id").type), ("score", pa.float64())])
-        parts = [x for batch in theirs.select(["id", "v"]).combine_chunks().to_batches() for x in _best(block, batch, name, sign, k)]
-        found = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x.columns, kind, strict=True)], schema=kind) for x in parts], schema=kind)
-        order = found.sort_by([("query_id", "ascending"), ("score", "descending" if larger else "ascending"), ("id", "ascending")])
-        own = order.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        return order.filter(pa.array(rank < k))
 
-    return _ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(meet, schema), k, larger)
+def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", by: str = "location") -> DataFrame:
+    """As :func:`search_many`, each query among the points of its own location; one with none (null or empty) among all.
+
+    The locations that are asked for reach the scan: of a table partitioned by
+    location the others aren't read.  A location and a block of queries and one
+    of points is a task, so that neither a location with many points nor one
+    with many questions is one group.
+    """
+    _, larger = distance(metric)
+    asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.nullif(F.col(by), F.lit("")).alias("place"))))
+    everywhere = asked.where("place IS NULL").select("i", "v")
+    found = None if everywhere.isEmpty() else _search_settled(points, everywhere, k, metric, id_col, vector_col)
+    bound = asked.where("place IS NOT NULL")
+    questions = bound.groupBy("place").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
+    names = [r.place for r in questions.select("place").limit(NAMED + 1).collect()]
+    if not names:
+        return found if found is not None else _search_settled(points, everywhere, k, metric, id_col, vector_col)
+    own = points.where(F.col(by).isin(names)) if len(names) <= NAMED else points.join(questions.select(F.col("place").alias(by)), by, "left_semi")
+    frame = _whole(own.select(F.col(by).alias("place"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    sizes = own.groupBy(F.col(by).alias("place")).agg(F.ceil(F.count("*") / POINT_BLOCK).cast("int").alias("n_p"))
+    left = bound.join(questions, "place").join(sizes, "place").select("place", "i", "v", _dealt("i", F.col("n_q")).alias("qb"), _each(F.col("n_p")).alias("pb"))
+    right = frame.join(questions, "place").join(sizes, "place").select("place", "id", "v", _dealt("id", F.col("n_p")).alias("pb"), _each(F.col("n_q")).alias("qb"))
+    schema = f"query_id {asked.schema['i'].dataType.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
+    keys = ["place", "qb", "pb"]
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    mine = _ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meeting(metric.upper(), -1.0 if larger else 1.0, k, larger), schema), k, larger)
+    return mine if found is None else found.unionByName(mine)
 
 
 def search_many_native(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
@@ -145,8 +209,10 @@ def search_many_native(points: DataFrame, queries: DataFrame, k: int = 10, metri
     listed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("asked"))
     frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
     frame = frame.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = frame.join(F.broadcast(listed) if blocks == 1 else listed, "block").select("id", "v", F.explode("asked").alias("one")).where(F.size("v") == F.size("one.q"))
-    scored = met.select("one.query_id", "id", F.round(score(F.col("v"), F.col("one.q")), 6).alias("score"))
+    met = frame.join(F.broadcast(listed) if blocks == 1 else listed, "block")
+    # scores are made beside the block, so that no row carries a pair of vectors
+    scores = F.transform("asked", lambda o: F.struct(o.query_id.alias("query_id"), F.when(F.size("v") == F.size(o.q), F.round(score(F.col("v"), o.q), 6)).alias("score")))
+    scored = met.select("id", F.inline(scores)).where("score IS NOT NULL").select("query_id", "id", "score")
     return _ranked(scored, k, larger)
 
 

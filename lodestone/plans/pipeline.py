@@ -12,7 +12,7 @@ from lodestone.functions.text import clean_rewrite
 from lodestone.operators.embed import Embedder, HashedEmbedder, embed_queries
 from lodestone.operators.generate import Extractive, Generator
 from lodestone.operators.prompts import answer_text, format_context
-from lodestone.operators.search import location_filter, search_many
+from lodestone.operators.search import location_filter, search_by_location, search_many
 from lodestone.operators.store import chunk_id
 from lodestone.operators.threads import append, last_user_text
 
@@ -47,9 +47,10 @@ class Engine:
 
     def hits(self, state: DataFrame, location: str | None = None) -> DataFrame:
         """``question_id, rank, score, chunk_id, text, location, source``, one row a hit."""
-        queries = embed_queries(self.embedder, state.select("question_id", "rewritten_query"), "rewritten_query", self.prefix).select(F.col("question_id").alias("query_id"), "embedding")
+        own = [c for c in ("location",) if c in state.columns]  # a question may have a location of its own
+        queries = embed_queries(self.embedder, state.select("question_id", "rewritten_query", *own), "rewritten_query", self.prefix).select(F.col("question_id").alias("query_id"), "embedding", *own)
         points = location_filter(self.index, location)
-        found = search_many(points, queries, self.top_k, self.metric, id_col="chunk_id")
+        found = (search_by_location if own else search_many)(points, queries, self.top_k, self.metric, id_col="chunk_id")
         # texts are fetched for the hits alone, from the passages, which need no encoding
         payload = location_filter(self.passages, location).select("chunk_id", "text", "location", "source")
         named = found.select(F.col("query_id").alias("question_id"), F.col("id").alias("chunk_id"), "score", "rank").join(payload, "chunk_id")
@@ -67,7 +68,7 @@ class Engine:
         return state.withColumns({"prompt": prompt, "answer": said, "sources": sources})
 
     def ask_batch(self, questions: DataFrame, location: str | None = None) -> DataFrame:
-        """``questions(question_id, question)`` with the five fields of a result."""
+        """``questions(question_id, question)`` with the five fields of a result; a column ``location`` filters each question's passages."""
         done = questions.transform(self.rewrite).transform(lambda s: self.retrieve(s, location)).transform(self.answer)
         return done.select("question_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("question", "rewritten_query")), "retrieved_docs", F.coalesce("answer", F.lit("")).alias("answer"), "sources")
 

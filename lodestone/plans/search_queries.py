@@ -95,6 +95,17 @@ def topk_batch_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir, search.search_many_native)
 
 
+@query(_BATCH.replace("FROM p, q)", "FROM p JOIN q ON query_id % 3 = 0 OR CAST(label AS VARCHAR) = CAST(query_id // 50 % 10 AS VARCHAR))") + "SELECT query_id, vec_id AS id, score, rank FROM hits")
+def topk_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A location of its own for two of three queries, none for the third, over a collection."""
+    from lodestone.plans.ingest_queries import _collection
+
+    points = _collection(spark, sf_dir).points()
+    place = F.when(F.col("vec_id") % 3 != 0, (F.floor(F.col("vec_id") / 50) % 10).cast("string")).when(F.col("vec_id") % 2 == 0, "")
+    queries = _points(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", place.alias("location"))
+    return search.search_by_location(points, queries)
+
+
 @query(_BATCH + "SELECT query_id, rank, '[' || rank || '] ' || label || ' score=' || printf('%.3f', score) AS shown FROM hits")
 def hits_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _batch(spark, sf_dir).join(_points(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id")
