@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import md5
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = re.compile("[a-z0-9]+")
@@ -25,6 +28,8 @@ BATCH = 1024
 
 class Embedder(Protocol):
     dim: int
+    #: Tells apart encoders that give different vectors.
+    name: str
 
     def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame: ...
 
@@ -32,6 +37,7 @@ class Embedder(Protocol):
 class HashedEmbedder:
     def __init__(self, dim: int = 256, normalize: bool = True) -> None:
         self.dim, self.normalize = dim, normalize
+        self.name = f"hashed-{dim}-{int(normalize)}"
 
     def vectors(self, texts: list[str], known: dict[str, int]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
@@ -67,31 +73,73 @@ class HashedEmbedder:
         return frame.mapInArrow(run, f"{types}, `{out}` array<double>")
 
 
+@lru_cache(maxsize=2)
+def model(name: str):
+    """A sentence model, loaded once in the life of a worker process, whatever tasks it runs."""
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(name)
+
+
 class ModelEmbedder:
-    """Adapter of a sentence model; the package and the model are loaded once per worker."""
+    """Adapter of a sentence model; package and model are loaded once per worker process."""
 
     def __init__(self, model: str, dim: int, normalize: bool = True, batch: int = 32) -> None:
         self.model, self.dim, self.normalize, self.batch = model, dim, normalize, batch
+        self.name = f"model-{re.sub('[^A-Za-z0-9]+', '-', model)}-{dim}-{int(normalize)}"
 
     def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
         try:
             import sentence_transformers  # noqa: F401
         except ImportError as e:
             raise RuntimeError("a sentence model needs the package sentence_transformers") from e
-        model, normalize, size = self.model, self.normalize, self.batch
+        name, normalize, size = self.model, self.normalize, self.batch
 
         @F.pandas_udf("array<double>")
-        def encode(parts: Iterator) -> Iterator:
-            import pandas as pd
-            from sentence_transformers import SentenceTransformer
+        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from lodestone.operators.embed import model
 
-            encoder = SentenceTransformer(model)
             for texts in parts:
-                yield pd.Series(list(encoder.encode(texts.fillna("").tolist(), batch_size=size, normalize_embeddings=normalize).astype(float)))
+                yield pd.Series(list(model(name).encode(texts.fillna("").tolist(), batch_size=size, normalize_embeddings=normalize).astype(float)))
 
         return df.withColumn(out, encode(F.col(text_col)))
 
 
+class VectorTable:
+    """Vectors of texts, kept in a folder by the SHA-256 of the text, so that no text is encoded twice.
+
+    What is new is encoded and appended once for each distinct text; rows get
+    their vectors by a join on the hash, in this plan and in all later ones.  A
+    text that two writers add at the same time has two equal rows, of which one
+    counts.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder) -> None:
+        self.spark, self.embedder, self.path = spark, embedder, f"{root}/vectors-{embedder.name}"
+
+    def rows(self) -> DataFrame:
+        """``text_sha, embedding`` of all texts so far."""
+        try:
+            return self.spark.read.schema("text_sha string, embedding array<double>").parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "text_sha string, embedding array<double>")
+
+    def add(self, df: DataFrame, text_col: str = "text") -> None:
+        """Encodes the texts that have no vector yet; a null text counts as empty."""
+        text = F.coalesce(text_col, F.lit(""))
+        texts = df.select(F.sha2(text, 256).alias("text_sha"), text.alias("text")).dropDuplicates(["text_sha"])
+        new = texts.join(self.rows().select("text_sha"), "text_sha", "left_anti")
+        self.embedder.transform(new, "text").select("text_sha", "embedding").write.mode("append").parquet(self.path)
+
+    def join(self, df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
+        """``df`` with the vectors of its texts, all of which must have been added."""
+        own = df.drop(out).withColumn("text_sha", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+        once = self.rows().groupBy("text_sha").agg(F.first("embedding").alias(out))
+        return own.join(once, "text_sha").drop("text_sha")
+
+
 def embed_queries(embedder: Embedder, df: DataFrame, text_col: str, prefix: str = "", out: str = "embedding") -> DataFrame:
     """Queries are encoded behind a prefix, passages are not."""
     held = "__prefixed"

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from lodestone.functions.vectors import distance
 from lodestone.operators.store import settled
@@ -140,23 +141,24 @@ def _each(n: Column | int) -> Column:
 def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best points of every query; ``queries(query_id, embedding)``.
 
-    Queries are encoded once, into a table of their own; points are only read
-    to be scored, never to be counted.
+    More queries than a block are encoded into a table of their own; points are
+    only read to be scored, never to be counted.
     """
-    asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"))))
-    return _search_settled(points, asked, k, metric, id_col, vector_col)
+    asked = _whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")))
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    return _search(points, few if few.num_rows <= QUERY_BLOCK else settled(asked), k, metric, id_col, vector_col)
 
 
-def _search_settled(points: DataFrame, asked: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+    """:func:`search_many` for queries ``i, v``: a block that is at hand, or a table of any size."""
     _, larger = distance(metric)
     name, sign = metric.upper(), -1.0 if larger else 1.0
     spark = points.sparkSession
     frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    schema = f"query_id {asked.schema['i'].dataType.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
-    n = asked.count()
-    if n <= QUERY_BLOCK:
-        few = asked.toArrow()
-        ids, vectors = few.column(0).to_pylist(), few.column(1).combine_chunks()
+    asked_id = from_arrow_type(asked.schema.field("i").type) if isinstance(asked, pa.Table) else asked.schema["i"].dataType
+    schema = f"query_id {asked_id.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
+    if isinstance(asked, pa.Table):
+        ids, vectors = asked.column(0).to_pylist(), asked.column(1).combine_chunks()
         shared = spark.sparkContext.broadcast({v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +167,7 @@ def _search_settled(points: DataFrame, asked: DataFrame, k: int, metric: str, id
 
         return _ranked(frame.mapInArrow(run, schema), k, larger)
 
-    n_q = -(-n // QUERY_BLOCK)
+    n_q = -(-asked.count() // QUERY_BLOCK)
     n_p = max(spark.sparkContext.defaultParallelism, POINT_PARTS * frame.rdd.getNumPartitions())
     left = asked.withColumn("qb", _dealt("i", n_q)).withColumn("pb", _each(n_p))
     right = frame.withColumn("pb", _dealt("id", n_p)).withColumn("qb", _each(n_q))
@@ -183,12 +185,13 @@ def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metri
     _, larger = distance(metric)
     asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.nullif(F.col(by), F.lit("")).alias("place"))))
     everywhere = asked.where("place IS NULL").select("i", "v")
-    found = None if everywhere.isEmpty() else _search_settled(points, everywhere, k, metric, id_col, vector_col)
+    few = everywhere.limit(QUERY_BLOCK + 1).toArrow()
+    found = _search(points, few if few.num_rows <= QUERY_BLOCK else everywhere, k, metric, id_col, vector_col)
     bound = asked.where("place IS NOT NULL")
     questions = bound.groupBy("place").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
     names = [r.place for r in questions.select("place").limit(NAMED + 1).collect()]
     if not names:
-        return found if found is not None else _search_settled(points, everywhere, k, metric, id_col, vector_col)
+        return found
     own = points.where(F.col(by).isin(names)) if len(names) <= NAMED else points.join(questions.select(F.col("place").alias(by)), by, "left_semi")
     frame = _whole(own.select(F.col(by).alias("place"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
     sizes = own.groupBy(F.col(by).alias("place")).agg(F.ceil(F.count("*") / POINT_BLOCK).cast("int").alias("n_p"))
@@ -198,7 +201,7 @@ def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metri
     keys = ["place", "qb", "pb"]
     right = right.select(*(F.col(c).alias(c) for c in right.columns))
     mine = _ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meeting(metric.upper(), -1.0 if larger else 1.0, k, larger), schema), k, larger)
-    return mine if found is None else found.unionByName(mine)
+    return found.unionByName(mine) if few.num_rows else mine
 
 
 def search_many_native(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:

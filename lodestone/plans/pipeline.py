@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.chunking import with_chunks
 from lodestone.functions.text import clean_rewrite
-from lodestone.operators.embed import Embedder, HashedEmbedder, embed_queries
+from lodestone.operators.embed import Embedder, HashedEmbedder, VectorTable, embed_queries
 from lodestone.operators.generate import Extractive, Generator
 from lodestone.operators.prompts import answer_text, format_context
 from lodestone.operators.search import location_filter, search_by_location, search_many
@@ -42,6 +42,14 @@ class Engine:
         embedder = embedder or HashedEmbedder()
         return cls(passages, embedder.transform(passages, "text"), embedder, generator or Extractive(), **settings)
 
+    @classmethod
+    def kept(cls, passages: DataFrame, root: str, embedder: Embedder | None = None, generator: Generator | None = None, **settings) -> Engine:
+        """As :meth:`over`, with the vectors kept below ``root``: each distinct text is encoded once, and never again by a later plan or engine."""
+        embedder = embedder or HashedEmbedder()
+        vectors = VectorTable(passages.sparkSession, root, embedder)
+        vectors.add(passages, "text")
+        return cls(passages, vectors.join(passages.select("chunk_id", "location", "text"), "text").drop("text"), embedder, generator or Extractive(), **settings)
+
     def rewrite(self, state: DataFrame) -> DataFrame:
         return state.withColumn("rewritten_query", clean_rewrite(self.generator.rewrite(F.col("question")), F.col("question")))
 

@@ -188,12 +188,12 @@ full_hits AS (SELECT h.*, d.text, d.source AS location, 'doc:' || d.doc_id AS so
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> tuple[pipeline.Engine, DataFrame]:
-    from lodestone.operators.store import chunk_id
+    from lodestone.operators.store import chunk_id, work_dir
     from lodestone.sources.articles import articles
 
     passages = articles(spark, sf_dir).withColumn("chunk_no", F.lit(0)).select(chunk_id().alias("chunk_id"), "location", "source", "text")
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    return pipeline.Engine.over(passages), questions
+    return pipeline.Engine.kept(passages, work_dir(spark)), questions
 
 
 @query(_ASK + "SELECT item_id AS question_id, rank, score, chunk_id, location, source, md5(text) AS text_md5 FROM full_hits")

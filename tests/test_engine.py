@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections import Counter
 from dataclasses import replace
 
@@ -224,7 +225,8 @@ def test_remote_models(spark, monkeypatch):
     assert len(got) == 2
 
 
-def test_model_adapter_needs_its_package(spark):
+def test_model_adapter_needs_its_package(spark, monkeypatch):
+    monkeypatch.setitem(sys.modules, "sentence_transformers", None)
     with pytest.raises(RuntimeError):
         ModelEmbedder("m", 4).transform(spark.range(1).select(F.lit("x").alias("t")), "t")
 
