@@ -8,6 +8,12 @@ bound of its distance and so an upper bound of its score.  A query evaluates
 its candidates in the order of that bound and stops, exactly, when no later
 candidate can enter its k best.
 
+The same table bounds more tightly through several pivots at once: the
+differences of a vector's squared distances to two pivots are its inner product
+with what lies between them, so that its projection onto the span of the pivots
+follows, and what is left of it has a known length.  Hence
+``q.v <= q_P.v_P + |q - q_P| |v - v_P|``; the smaller of both bounds counts.
+
 Pivots: chosen farthest-first among ``SAMPLE`` candidates, those with the
 smallest hash of their id.  The same candidates give every query a floor before
 it meets any block, the k-th best score among them: what is bounded below the
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, table, written
 
-PIVOTS = 16
+PIVOTS = 64
 SAMPLE = 2048
 #: Rows of a block at most on average; a table has at least MIN_BLOCKS of candidates.
 QUERY_BLOCK = 16_384
@@ -48,7 +54,7 @@ MIN_BLOCKS = 64
 #: Queries that meet the sample together.
 QUERY_STEP = 1024
 #: Candidates evaluated at first; the next steps double.
-STEP = 64
+STEP = 16
 LIMIT = 2**31  # components up to here stay exact as doubles
 
 
@@ -82,6 +88,24 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarr
     return np.array([r.vec_id for r in found], dtype=np.int64), np.array([r.v for r in found], dtype=np.int64)
 
 
+def directions(pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of pivots whose differences from the first span the most, and what makes inner products with those differences coordinates.
+
+    A difference that adds next to nothing to the span is left out, so that
+    coordinates are computed without much loss.
+    """
+    kept: list[int] = []
+    basis = np.zeros((0, pivots.shape[1] if pivots.ndim == 2 else 0))
+    for k in range(1, len(pivots)):
+        own = pivots[k] - pivots[0]
+        left = own - basis.T @ (basis @ own)
+        left -= basis.T @ (basis @ left)
+        if (size := np.linalg.norm(left)) > 1e-3 * np.linalg.norm(own):
+            kept.append(k)
+            basis = np.vstack((basis, left / size))
+    return np.array(kept, dtype=np.int64), np.linalg.inv(basis @ (pivots[kept] - pivots[0]).T) if kept else np.zeros((0, 0))
+
+
 class Block:
     """Vectors of one length with their pivot table."""
 
@@ -91,9 +115,15 @@ class Block:
         self.exact = bool(len(vectors) == 0 or (np.abs(vectors).max() < LIMIT and float(np.abs(self.v).max()) ** 2 * vectors.shape[1] < 2**52))
         self.whole = vectors[order]
         self.norm = (self.v * self.v).sum(axis=1)
-        near = pivots if pivots.shape[1:] == self.v.shape[1:] else np.zeros((1, self.v.shape[1]))
+        near = pivots if len(pivots) and pivots.shape[1:] == self.v.shape[1:] else np.zeros((1, self.v.shape[1]))
         squared = self.norm[:, None] + (near * near).sum(axis=1)[None, :] - 2 * self.v @ near.T
-        self.table = np.sqrt(np.maximum(squared, 0))
+        squared = np.maximum(squared, 0)
+        self.table = np.sqrt(squared)
+        kept, change = directions(near)
+        length = (near * near).sum(axis=1)
+        #: the projection onto the pivots' span, from the table alone, and the length of the rest
+        self.within = (squared[:, :1] - squared[:, kept] + length[kept] - length[0]) / 2 @ change
+        self.rest = np.sqrt(np.maximum(self.norm - (self.within * self.within).sum(axis=1), 0))
         #: candidates whose scores were computed
         self.evaluated = 0
 
@@ -117,6 +147,7 @@ def search(q: Block, i: int, c: Block, k: int, floor: float = -np.inf) -> list[t
     # rounding of the distances moves a bound by far less than what is added
     slack = 1 + 1e-9 * (q.norm[i] + c.norm)
     bound = (q.norm[i] + c.norm - gap * gap) / 2 + slack
+    np.minimum(bound, c.within @ q.within[i] + q.rest[i] * c.rest + 1 + 1e-6 * np.sqrt(q.norm[i] * c.norm), out=bound)
     open_ = np.nonzero(bound >= floor)[0]
     order = open_[np.argsort(-bound[open_], kind="stable")]  # equal bounds: the smaller id
     best_s, best_i = np.zeros(0), np.zeros(0, np.int64)

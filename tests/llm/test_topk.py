@@ -79,3 +79,26 @@ def test_elimination_skips_candidates():
     assert topk.search(whole, 1400, whole, 5, floor) == [(-s, i) for s, i in want] and whole.evaluated <= block.evaluated
     far = topk.Block(np.arange(500), v[:500], pivots)
     assert topk.search(block, 1400, far, 5, floor) == [] and far.evaluated == 0
+
+
+def test_projections_from_the_table_leave_little_to_evaluate():
+    """Vectors without clusters, and no floor from a sample: under a tenth of the candidates is evaluated, and the results are exact."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64))
+    v = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    pivots = topk.farthest_first(v[:500].astype(float), topk.PIVOTS)
+    block = topk.Block(np.arange(len(v)), v, pivots)
+    assert block.within.shape[1] == topk.PIVOTS - 1
+    assert np.allclose((block.within**2).sum(1) + block.rest**2, block.norm)
+    for i in range(0, 2000, 50):
+        want = sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:5]
+        assert topk.search(block, i, block, 5) == [(-s, j) for s, j in want]
+    assert block.evaluated < 0.1 * 40 * len(v)
+
+
+@pytest.mark.parametrize("pivots", [np.zeros((0, 3)), np.zeros((1, 3)), np.array([[1.0, 2, 3], [1.0, 2, 3]]), np.array([[0.0, 0, 0], [1, 0, 0], [2, 0, 0], [0, 1, 1e-9]])])
+def test_pivots_that_span_little(pivots):
+    v = np.array([[1, 2, 3], [-1, 0, 5], [4, 4, 4], [0, 0, 0]])
+    block = topk.Block(np.arange(4), v, pivots)
+    for i in range(4):
+        assert topk.search(block, i, block, 2) == [(-s, j) for s, j in sorted((-int(s), j) for j, s in enumerate(v @ v[i]) if j != i)[:2]]
