@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.chunking import with_chunks
 from lodestone.functions.text import clean_rewrite
@@ -117,3 +118,12 @@ def report(result: DataFrame) -> DataFrame:
         F.when(line != "", F.concat(F.lit("Sources: "), line, F.lit("\n"))).otherwise(""), F.lit("(retrieved "), F.size("retrieved_docs").cast("string"), F.lit(" passages)"),
     )
     return result.select("question_id", text.alias("report"))
+
+
+def write_json(result: DataFrame, path: str) -> None:
+    """Writes results as JSON, one a line: all characters as they are, missing values as null; what was there is replaced as a whole."""
+    result.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_json(result_schema: StructType, spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(result_schema).json(path)

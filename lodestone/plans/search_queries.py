@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text, vectors
 from lodestone.operators import prompts, search
 from lodestone.operators.embed import HashedEmbedder, embed_queries
+from lodestone.operators.store import work_dir
 from lodestone.plans import pipeline
 from lodestone.sources.articles import table
 
@@ -188,7 +189,7 @@ full_hits AS (SELECT h.*, d.text, d.source AS location, 'doc:' || d.doc_id AS so
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> tuple[pipeline.Engine, DataFrame]:
-    from lodestone.operators.store import chunk_id, work_dir
+    from lodestone.operators.store import chunk_id
     from lodestone.sources.articles import articles
 
     passages = articles(spark, sf_dir).withColumn("chunk_no", F.lit(0)).select(chunk_id().alias("chunk_id"), "location", "source", "text")
@@ -260,12 +261,19 @@ def result_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.report(engine.ask_batch(questions))
 
 
-@query("SELECT item_id AS question_id, item_id AS id_back, text AS question_back FROM benchmark")
+_LISTED = """, listed AS (SELECT item_id, string_agg('[' || rank || '] (Location: ' || location || ') ' || text || chr(10) || '    Source: ' || source, chr(10) || chr(10) ORDER BY rank) AS context FROM full_hits GROUP BY item_id)
+SELECT item_id AS question_id, question, rewritten_query, md5(context) AS context_md5 FROM rew LEFT JOIN listed USING (item_id)"""
+
+
+@query(_ASK + _LISTED)
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON sink that keeps all characters: what is read back equals what was written."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.to_json(F.struct("item_id", "text"), {"pretty": "true"}).alias("j"))
-    back = F.from_json("j", "item_id long, text string")
-    return rows.select("question_id", back["item_id"].alias("id_back"), back["text"].alias("question_back"))
+    """Results in the files of the JSON sink, read back."""
+    engine, questions = _engine(spark, sf_dir)
+    done = engine.ask_batch(questions)
+    path = work_dir(spark)
+    pipeline.write_json(done, path)
+    back = pipeline.read_json(done.schema, spark, path)
+    return back.select("question_id", "question", "rewritten_query", F.md5(prompts.format_context(F.col("retrieved_docs"))).alias("context_md5"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS preview FROM documents")

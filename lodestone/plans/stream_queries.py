@@ -51,12 +51,13 @@ def stream_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every node adds, as it comes from a stream of questions."""
+    """What every node adds: a stream of questions, and a stream of each node over what the one before has written."""
     engine, _ = _engine(spark, sf_dir)
     out = work_dir(spark)
     questions = _stream(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    live.trace_stream(engine, questions, os.path.join(out, "steps"), os.path.join(out, "checkpoint")).awaitTermination()
-    return told(spark.read.parquet(os.path.join(out, "steps")))
+    for start in live.node_streams(engine, questions, os.path.join(out, "steps"), os.path.join(out, "checkpoint")).values():
+        start().awaitTermination()
+    return told(live.updates(spark, os.path.join(out, "steps")))
 
 
 def _ui_events(spark: SparkSession, sf_dir: str) -> DataFrame:

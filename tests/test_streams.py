@@ -3,7 +3,8 @@ from __future__ import annotations
 import base64
 import random
 
-from lodestone.streaming import artifacts, intake
+from lodestone.plans.pipeline import Engine
+from lodestone.streaming import artifacts, intake, live
 
 KIND = "ui_id string, seq long, kind string, props string"
 
@@ -72,3 +73,30 @@ def test_files_are_compared_with_earlier_drops_alone(spark, tmp_path):
     assert set(blocks) == {k for k, v in got.items() if v == "a"}
     assert blocks[9] == ("image", "d+ e.gif", b"d+ e.gif 9" * 30) and blocks[3][0] == "file"
     assert "\n" not in "".join(r.data for r in spark.read.parquet(str(tmp_path / "out" / "blocks")).collect())
+
+
+def test_a_rewrite_is_seen_before_its_answer_exists(spark, tmp_path):
+    kind = "chunk_id string, location string, source string, text string"
+    engine = Engine.over(spark.createDataFrame([("c1", "A", "u1", "The cathedral is old."), ("c2", "B", "u2", "The river is long.")], kind), top_k=1)
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    asked = "question_id long, question string"
+
+    def starts():
+        return live.node_streams(engine, spark.readStream.schema(asked).parquet(str(source)), out, str(tmp_path / "cp"))
+
+    def seen(*nodes):
+        return sorted((r.question_id, r.step) for r in live.updates(spark, out, nodes).collect())
+
+    spark.createDataFrame([(1, "hello, which cathedral is old?")], asked).coalesce(1).write.parquet(str(source))
+    starts()["rewrite"]().awaitTermination()
+    assert seen("rewrite") == [(1, 1)] and not (tmp_path / "out" / "retrieve").exists()
+    starts()["retrieve"]().awaitTermination()
+    spark.createDataFrame([(2, "river?")], asked).coalesce(1).write.mode("append").parquet(str(source))
+    for node in ("rewrite", "answer", "answer"):  # the second question is rewritten while the first one is answered, once
+        starts()[node]().awaitTermination()
+    assert seen("rewrite", "retrieve", "answer") == [(1, 1), (1, 2), (1, 3), (2, 1)]
+    for node in ("retrieve", "answer"):
+        starts()[node]().awaitTermination()
+    got = sorted((r.question_id, r.step, r.delta) for r in live.updates(spark, out).collect())
+    want = engine.trace(spark.createDataFrame([(1, "hello, which cathedral is old?"), (2, "river?")], asked))
+    assert got == sorted((r.question_id, r.step, r.delta) for r in want.collect())
