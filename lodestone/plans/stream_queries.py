@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,18 +25,16 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_last_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"last_turn_{uuid.uuid4().hex}"
-    last = live.last_turns(_stream(spark, sf_dir, "conversations"))
+    """Every batch writes the conversations that it has changed; the latest change of each counts."""
     out = work_dir(spark)
+    last = live.last_turns(_stream(spark, sf_dir, "conversations"))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out, "state", str(batch_id)))
+        batch.write.mode("overwrite").parquet(os.path.join(out, "changes", f"batch={batch_id}"))
 
-    query = last.writeStream.queryName(name).outputMode("complete").foreachBatch(keep).option("checkpointLocation", os.path.join(out, "checkpoint")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    # the last state covers all turns
-    final = query.lastProgress["batchId"]
-    return spark.read.schema(last.schema).parquet(os.path.join(out, "state", str(final)))
+    last.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", os.path.join(out, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(os.path.join(out, "changes"))
+    return changes.groupBy("conv_id").agg(F.max_by("text", "batch").alias("text"))
 
 
 def stream_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
