@@ -7,6 +7,7 @@ Lengths and cuts count code points.  A value that Python's ``or`` would replace
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,6 +122,16 @@ def studio_url(base: str, deployment: Column, thread_id: Column) -> Column:
     return F.concat(F.lit(base), path, F.lit("?baseUrl="), F.url_encode(F.regexp_replace(deployment, "/$", "")))
 
 
+def three_decimals(c: Column) -> Column:
+    """``{:.3f}`` of the exact value; Spark's own formatting rounds the shortest decimal text, which takes 0.1235 up."""
+
+    @F.pandas_udf("string")
+    def shown(part: pd.Series) -> pd.Series:
+        return part.map("{:.3f}".format, na_action="ignore")
+
+    return shown(c)
+
+
 def id_abbrev(c: Column) -> Column:
     return F.concat(F.left(c, F.lit(3)), F.lit("..."), F.right(c, F.lit(3)))
 

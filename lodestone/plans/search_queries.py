@@ -110,7 +110,8 @@ def topk_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BATCH + "SELECT query_id, rank, '[' || rank || '] ' || label || ' score=' || printf('%.3f', score) AS shown FROM hits")
 def hits_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _batch(spark, sf_dir).join(_points(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), "id")
-    return named.select("query_id", "rank", F.format_string("[%d] %s score=%.3f", "rank", F.col("label").cast("string"), "score").alias("shown"))
+    shown = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("label").cast("string"), F.lit(" score="), text.three_decimals(F.col("score")))
+    return named.select("query_id", "rank", shown.alias("shown"))
 
 
 @query(_BATCH + "SELECT query_id, CAST(count(*) AS INTEGER) AS n FROM hits GROUP BY query_id")
