@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,3 +59,18 @@ def distance(name: str) -> tuple[Callable[[Column, Column], Column], bool]:
         return DISTANCES[name.upper()]
     except KeyError:
         raise ValueError(f"unknown distance {name!r}; known: {', '.join(DISTANCES)}") from None
+
+
+def unrolled(name: str, a: list[Column], b: list[Column], norm_a: Column, norm_b: Column) -> Column:
+    """The distance of that name over single components, which Spark compiles; the terms are added in the order of :func:`total`."""
+
+    def added(terms: Iterable[Column]) -> Column:
+        return reduce(lambda x, y: x + y, terms, F.lit(0.0))
+
+    pairs = list(zip(a, b, strict=True))
+    if name.upper() == "MANHATTAN":
+        return added(F.abs(x - y) for x, y in pairs)
+    if name.upper() == "EUCLID":
+        return F.sqrt(added((x - y) * (x - y) for x, y in pairs))
+    product = added(x * y for x, y in pairs)
+    return product if name.upper() == "DOT" else F.coalesce(F.try_divide(product, norm_a * norm_b), F.lit(0.0))

@@ -13,6 +13,7 @@ than its counterpart takes no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from lodestone.functions.vectors import distance
+from lodestone.functions.vectors import distance, norm, unrolled
 from lodestone.operators.store import settled
 
 #: Queries that are sent to the points together.
@@ -32,6 +33,10 @@ POINT_BLOCK = 65_536
 POINT_BATCH = 2048
 #: Blocks of points for each partition that they are read in.
 POINT_PARTS = 4
+#: Pairs of a point and a query that are ranked without a bound, and a task's at least.
+PAIRS = 1_000_000
+#: Components that can be columns of their own; longer vectors are scored as arrays.
+UNROLLED = 512
 #: Locations that are named to the scan; more meet it in a join.
 NAMED = 1000
 
@@ -204,19 +209,64 @@ def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metri
     return found.unionByName(mine) if few.num_rows else mine
 
 
+def _components(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """``rows`` with the length and the norm of a vector, and its first ``size`` components as columns; those it lacks are 0."""
+    each = (F.coalesce(F.get(vector, F.lit(i)), F.lit(0.0)).alias(f"{vector}{i}") for i in range(size))
+    return rows.select("*", F.size(vector).alias("n"), norm(F.col(vector)).alias(f"{vector}_norm"), *each)
+
+
+def _scored(points: DataFrame, asked: DataFrame, metric: str, size: int, blocks: int, parts: int, bound: bool = False) -> DataFrame:
+    """``query_id, id, score`` of the pairs of points ``id, v`` and queries ``query_id, q`` of one length.
+
+    With a bound, queries have ``least`` and ``last`` too: only pairs that come
+    no later than a score of ``least`` and an id of ``last`` go on.
+    """
+    kernel, larger = distance(metric)
+    columns = size if size <= UNROLLED else 0
+    if blocks == 1:
+        left, right, keys = F.broadcast(_components(asked, "q", columns)), _components(points.repartition(parts), "v", columns), ["n"]
+    else:
+        left = asked.withColumn("pb", _each(parts)).withColumn("part", _dealt("query_id", blocks) * parts + F.col("pb")).drop("pb")
+        right = points.withColumn("qb", _each(blocks)).withColumn("part", F.col("qb") * parts + _dealt("id", parts)).drop("qb")
+        keys = ["part", "n"]
+        left = _components(left.repartition(blocks * parts, "part"), "q", columns).hint("shuffle_hash")
+        right = _components(right.repartition(blocks * parts, "part"), "v", columns)
+    met = right.join(left, keys)
+    if columns:
+        raw = unrolled(metric, *([F.col(f"{c}{i}") for i in range(columns)] for c in "vq"), F.col("v_norm"), F.col("q_norm"))
+    else:
+        raw = kernel(F.col("v"), F.col("q"))
+    score = F.round(raw, 6)
+    if bound:
+        least = F.col("least")
+        # rounding is dear: what is out of its reach goes first
+        near, before = (raw >= least - 2e-6, score > least) if larger else (raw <= least + 2e-6, score < least)
+        met = met.where(least.isNull() | (near & (before | ((score == least) & (F.col("id") <= F.col("last"))))))
+    return met.select("query_id", "id", score.alias("score"))
+
+
 def search_many_native(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """As :func:`search_many` in DataFrame functions; every block of queries is one row that the points meet by its number."""
-    score, larger = distance(metric)
-    asked = _whole(queries.select(F.col(query_id).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    listed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", F.col("v").alias("q"))).alias("asked"))
-    frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
-    frame = frame.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = frame.join(F.broadcast(listed) if blocks == 1 else listed, "block")
-    # scores are made beside the block, so that no row carries a pair of vectors
-    scores = F.transform("asked", lambda o: F.struct(o.query_id.alias("query_id"), F.when(F.size("v") == F.size(o.q), F.round(score(F.col("v"), o.q), 6)).alias("score")))
-    scored = met.select("id", F.inline(scores)).where("score IS NOT NULL").select("query_id", "id", "score")
-    return _ranked(scored, k, larger)
+    """As :func:`search_many` in DataFrame functions.
+
+    All pairs are scored, by compiled expressions over single components.  Of
+    many points some go first: the k-th best of about ``4 sqrt(k n)`` bounds
+    what a query still needs of all, so that few pairs are kept and ranked.
+    """
+    larger = distance(metric)[1]
+    asked = settled(_whole(queries.select(F.col(query_id).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")))).withColumnRenamed("v", "q")
+    n_q, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))).where(F.size("v") <= size)
+    n = frame.count()
+    blocks = max(1, -(-n_q // QUERY_BLOCK))
+    most = max(POINT_PARTS * points.sparkSession.sparkContext.defaultParallelism, frame.rdd.getNumPartitions())
+    parts = lambda pairs: min(most, 1 + pairs // PAIRS)
+    one_of = isqrt(n // (16 * k))
+    bound = n * n_q > PAIRS and one_of > 1
+    if bound:
+        some = frame.where(F.pmod(F.hash("id"), F.lit(one_of)) == 0)
+        kth = _ranked(_scored(some, asked, metric, size, blocks, parts(n * n_q // one_of)), k, larger).where(F.col("rank") == k)
+        asked = settled(asked.join(kth.select("query_id", F.col("score").alias("least"), F.col("id").alias("last")), "query_id", "left"))
+    return _ranked(_scored(frame, asked, metric, size, blocks, parts(n * n_q), bound), k, larger)
 
 
 def distinct_sources(hits: DataFrame, key: str) -> DataFrame:
