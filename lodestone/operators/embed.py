@@ -20,6 +20,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.batches import releasing, small_batches
+
 TOKEN = re.compile("[a-z0-9]+")
 #: Words whose buckets a worker remembers.
 REMEMBERED = 200_000
@@ -54,6 +56,7 @@ class HashedEmbedder:
 
     def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame:
         """``df`` with a vector per row; a null text counts as empty and has the zero vector."""
+        small_batches(df.sparkSession)
         names = [c for c in df.columns if c != out]
         frame = df.select(*names)
         at = names.index(text_col)
@@ -70,7 +73,7 @@ class HashedEmbedder:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(v.ravel()))], names=[*names, out])
 
         types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-        return frame.mapInArrow(run, f"{types}, `{out}` array<double>")
+        return frame.mapInArrow(releasing(run), f"{types}, `{out}` array<double>")
 
 
 @lru_cache(maxsize=2)

@@ -3,15 +3,17 @@
 ``search`` answers one query as a plan of scan, filter, projection and top-k.
 ``search_many`` answers any number in one plan.  A block of at most
 ``QUERY_BLOCK`` queries is sent to the points, which are scored where they lie
-(Arrow, one matrix product a batch).  More queries are dealt into blocks, and
-blocks of points meet them in a cogroup, without the driver.  The best of every
-batch go on to a top-k per query.  Equal scores, to six digits, go to the
+(Arrow, one matrix product a batch).  More queries are kept in a table in the
+shared folder, which every block of points reads in pieces where it lies: neither
+points nor queries are shuffled or pass the driver.  The best of every block go
+on to a top-k per query.  Equal scores, to six digits, go to the
 smaller id.  A vector that is null or empty, holds nulls or has another length
 than its counterpart takes no part.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from math import isqrt
 
@@ -23,10 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from lodestone.functions.vectors import distance, norm, unrolled
+from lodestone.operators.batches import releasing, small_batches
 from lodestone.operators.store import settled
 
 #: Queries that are sent to the points together.
 QUERY_BLOCK = 4096
+#: Queries of a kept table, and bytes of points, that meet at a time in a worker.
+MET_QUERIES = 1024
+POINT_BYTES = 64 << 20
 #: Points of a block on average that meets a block of queries.
 POINT_BLOCK = 65_536
 #: Points that are scored together.
@@ -135,6 +141,35 @@ def _meeting(name: str, sign: float, k: int, larger: bool):
     return meet
 
 
+def _root(kept: DataFrame) -> str:
+    """The folder of a table that :func:`settled` has written."""
+    return os.path.dirname(kept.inputFiles()[0])
+
+
+def _kept_queries(path: str) -> Iterator[pa.Table]:
+    """The queries ``i, v`` of a table in the shared folder, a block at a time."""
+    from pyarrow import dataset, fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    # little is read ahead: blocks are wanted one after the other
+    for batch in dataset.dataset(root, filesystem=system, format="parquet").to_batches(columns=["i", "v"], batch_size=MET_QUERIES, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        if batch.num_rows:
+            yield pa.table({"i": batch.column(0), "v": batch.column(1)})
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Points ``id, v`` in blocks of about ``POINT_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= POINT_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _dealt(c: str, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(c), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
@@ -159,6 +194,7 @@ def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str,
     _, larger = distance(metric)
     name, sign = metric.upper(), -1.0 if larger else 1.0
     spark = points.sparkSession
+    small_batches(spark)
     frame = _whole(points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
     asked_id = from_arrow_type(asked.schema.field("i").type) if isinstance(asked, pa.Table) else asked.schema["i"].dataType
     schema = f"query_id {asked_id.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
@@ -170,13 +206,16 @@ def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str,
             for batch in batches:
                 yield from _best(shared.value, batch, name, sign, k)
 
-        return _ranked(frame.mapInArrow(run, schema), k, larger)
+        return _ranked(frame.mapInArrow(releasing(run), schema), k, larger)
+
+    path, meet = _root(asked), _meeting(name, sign, k, larger)
+
+    def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _gathered(batches):
+            for queries in _kept_queries(path):
+                yield from meet(queries, block).to_batches()
 
-    n_q = -(-asked.count() // QUERY_BLOCK)
-    n_p = max(spark.sparkContext.defaultParallelism, POINT_PARTS * frame.rdd.getNumPartitions())
-    left = asked.withColumn("qb", _dealt("i", n_q)).withColumn("pb", _each(n_p))
-    right = frame.withColumn("pb", _dealt("id", n_p)).withColumn("qb", _each(n_q))
-    return _ranked(left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(_meeting(name, sign, k, larger), schema), k, larger)
+    return _ranked(frame.mapInArrow(releasing(pass_by), schema), k, larger)
 
 
 def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", by: str = "location") -> DataFrame:
@@ -191,7 +230,7 @@ def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metri
     asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.nullif(F.col(by), F.lit("")).alias("place"))))
     everywhere = asked.where("place IS NULL").select("i", "v")
     few = everywhere.limit(QUERY_BLOCK + 1).toArrow()
-    found = _search(points, few if few.num_rows <= QUERY_BLOCK else everywhere, k, metric, id_col, vector_col)
+    found = _search(points, few if few.num_rows <= QUERY_BLOCK else settled(everywhere), k, metric, id_col, vector_col)
     bound = asked.where("place IS NOT NULL")
     questions = bound.groupBy("place").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
     names = [r.place for r in questions.select("place").limit(NAMED + 1).collect()]
