@@ -36,18 +36,17 @@ V are 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-
 from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import _clean, _groups, _types
+from .bpe import _groups, _types
 from .common import shuffle_partitions, table, written
 
 STATES = 6
@@ -71,8 +70,16 @@ BLOCK = 4096
 TOGETHER = 1024
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, every token's place among them, and the tokens' ends by text, all without the ends as tokens; a null counts as empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = split.flatten().dictionary_encode()
+    words, places, ends = found.dictionary, found.indices.to_numpy(), split.offsets.to_numpy()
+    empty = pc.index(words, "").as_py()  # beside white space at a text's ends
+    if empty >= 0:
+        kept = places != empty
+        places, ends = places[kept], np.concatenate(([0], np.cumsum(kept)))[ends]
+    return words, places, ends.astype(np.int64)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -80,21 +87,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def _names(words) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
-
-
 def count_tokens(texts: DataFrame) -> DataFrame:
     """``token, n`` over all rows of ``texts(text)``, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in _groups(batch.column(0), GROUP_CHARS):
-                seen: Counter[bytes] = Counter()
-                for t in _clean(batch.column(0).slice(a, b - a)):
-                    seen.update(tokens(t))
-                seen[END.encode()] += b - a
-                yield pa.RecordBatch.from_arrays([_names(list(seen)), pa.array(seen.values(), pa.int64())], names=["token", "n"])
+                words, places, _ = _words(batch.column(0).slice(a, b - a))
+                n = np.bincount(places, minlength=len(words))
+                some = np.nonzero(n)[0]
+                token = pa.concat_arrays([words.take(pa.array(some)), pa.array([END])])
+                yield pa.RecordBatch.from_arrays([token, pa.array(np.append(n[some], b - a))], names=["token", "n"])
 
     return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -160,27 +163,23 @@ def number_texts(docs: DataFrame, base: Base) -> DataFrame:
     first, hashed, end = base.hashed.start, len(base.mass), base.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w.encode(): k for k, w in enumerate(shared.value)}
+        common = pa.array(shared.value, pa.string())
         for batch in batches:
             for a, b in _groups(batch.column(2), GROUP_CHARS):
-                classes: list[int] = []
-                ends, others, times, other_ends = [0], [], [], [0]
-                for t in _clean(batch.column(2).slice(a, b - a)):
-                    words = tokens(t)
-                    own = [number.get(w, -1) for w in words]
-                    if -1 in own:
-                        left = Counter(w for w, k in zip(words, own, strict=True) if k < 0)
-                        place = {w: first + crc32(w) % hashed for w in left}
-                        own = [place[w] if k < 0 else k for w, k in zip(words, own, strict=True)]
-                        others += left
-                        times += left.values()
-                    classes += own
-                    classes.append(end)
-                    ends.append(len(classes))
-                    other_ends.append(len(others))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(classes, pa.int32()))
-                left = pa.StructArray.from_arrays([_names(others), pa.array(times, pa.int32())], names=["token", "times"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, pa.ListArray.from_arrays(pa.array(other_ends, pa.int32()), left)], names=["doc_id", "held_out", "classes", "others"])
+                words, places, ends = _words(batch.column(2).slice(a, b - a))
+                number = np.array(pc.fill_null(pc.index_in(words, common), -1))
+                rest = np.nonzero(number < 0)[0]
+                texts, owner = np.arange(b - a + 1), np.repeat(np.arange(b - a), np.diff(ends))
+                # a key for each text and word without a class of its own
+                at = np.nonzero(number[places] < 0)[0]
+                key, times = np.unique(owner[at] * len(words) + places[at], return_counts=True)
+                other_ends = np.searchsorted(key, texts * len(words))
+                number[rest] = [first + crc32(w.encode()) % hashed for w in words.take(pa.array(rest)).to_numpy(zero_copy_only=False)]
+                classes = np.full(len(places) + b - a, end, np.int32)
+                classes[np.arange(len(places)) + owner] = number[places]
+                lists = pa.ListArray.from_arrays(pa.array((ends + texts).astype(np.int32)), pa.array(classes))
+                left = pa.StructArray.from_arrays([words.take(pa.array(key % max(1, len(words)))), pa.array(times.astype(np.int32))], names=["token", "times"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, pa.ListArray.from_arrays(pa.array(other_ends.astype(np.int32)), left)], names=["doc_id", "held_out", "classes", "others"])
 
     numbered = frame.mapInArrow(run, f"{_types(frame.select('doc_id', 'held_out'))}, classes array<int>, others array<struct<token string, times int>>")
     # the numbers of rows hold from here on, as the table is written
@@ -196,8 +195,19 @@ def _cut(ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     return owner, number, ends[:-1][owner] + number * size, np.minimum(size, sizes[owner] - number * size), parts
 
 
+def _lockstep(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts by falling length, which take a token each at a time: where each step begins, and the tokens' places, step by step."""
+    alive = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), side="left")  # parts longer than a step's number
+    steps = np.concatenate(([0], np.cumsum(alive)))
+    part = np.arange(steps[-1]) - np.repeat(steps[:-1], alive)
+    return steps, begin[part] + np.repeat(np.arange(len(alive)), alive)
+
+
 class Chain:
-    """Start, moves and emissions: (state), (state, state), (class, state)."""
+    """Start, moves and emissions: (state), (state, state), (class, state).
+
+    Inside, states come first and parts of texts last, so that numpy's loops run over many parts.
+    """
 
     def __init__(self, start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.moves, self.emit = start, moves, emit
@@ -210,42 +220,44 @@ class Chain:
         return cls(np.full(states, 1.0 / states), moves, emit / emit.sum(axis=0))
 
     def _products(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled products of the matrices of each part's tokens, and the logarithms of the scales; a text's first token has no move before it."""
+        """Scaled products (from, to, part) of the matrices of each part's tokens, and the logarithms of the scales; a text's first token has no move before it."""
         k = len(self.start)
         order = np.argsort(-length, kind="stable")
-        begin, length, first = begin[order], length[order], first[order]
-        product = np.empty((len(order), k, k), emit.dtype)
-        moves, scale = self.moves.astype(emit.dtype), np.zeros(len(order))
-        longest = int(length.max(initial=0))
-        for t in range(longest):
-            n = int(np.searchsorted(-length, -t, side="left"))  # parts longer than t
-            out = emit[classes[begin[:n] + t]]
-            if t:
-                product[:n] = (product[:n].reshape(-1, k) @ moves).reshape(-1, k, k) * out[:, None, :]
-            else:
-                product[:n] = np.where(first[:n, None, None], np.eye(k, dtype=emit.dtype), moves) * out[:, None, :]
-            if t % 8 == 7 or t == longest - 1:
-                top = product[:n].max(axis=(1, 2))
-                product[:n] /= top[:, None, None]
-                scale[:n] += np.log(top)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return product[back], scale[back]
+        moves = self.moves.astype(emit.dtype)
+        forward = np.ascontiguousarray(moves.T)
+        products, scales = np.empty((k, k, len(order)), emit.dtype), np.zeros(len(order))
+        for start in range(0, len(order), TOGETHER):
+            own = order[start : start + TOGETHER]
+            steps, at = _lockstep(begin[own], length[own])
+            outs = np.take(emit, classes[at], axis=1)
+            product = np.where(first[own], np.eye(k, dtype=emit.dtype)[:, :, None], moves[:, :, None]) * outs[:, : len(own)]
+            moved, scale = np.empty_like(product), np.zeros(len(own))
+            for t in range(len(steps) - 1):
+                n = steps[t + 1] - steps[t]
+                now = product[:, :, :n]
+                if t:
+                    np.multiply(np.matmul(forward, now, out=moved[:, :, :n]), outs[:, steps[t] : steps[t + 1]], out=now)
+                if t % 8 == 7 or t == len(steps) - 2:
+                    top = now.max(axis=(0, 1))
+                    now /= top
+                    scale[:n] += np.log(top)
+            products[:, :, own], scales[own] = product, scale
+        return products, scales
 
     def log_likelihoods(self, classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural logarithms of the probabilities of all texts ``classes[ends[i]:ends[i + 1]]``."""
         _, number, begin, length, stretches = _cut(ends, STRETCH)
-        product, scale = self._products(classes, begin, length, number == 0, self.emit)
+        product, scale = self._products(classes, begin, length, number == 0, np.ascontiguousarray(self.emit.T))
         total = np.zeros(len(stretches))
-        state = np.repeat(self.start[None, :], len(stretches), axis=0)
+        state = np.repeat(self.start[:, None], len(stretches), axis=1)
         firsts = np.cumsum(stretches) - stretches
         by_length = np.argsort(-stretches, kind="stable")
         for step in range(int(stretches.max(initial=0))):
             texts = by_length[: int(np.searchsorted(-stretches[by_length], -step, side="left"))]
             at = firsts[texts] + step
-            state[texts] = np.einsum("nk,nkl->nl", state[texts], product[at])
-            top = state[texts].sum(axis=1)
-            state[texts] /= top[:, None]
+            now = np.einsum("jn,jln->ln", state[:, texts], product[:, :, at])
+            top = now.sum(axis=0)
+            state[:, texts] = now / top
             total[texts] += np.log(top) + scale[at]
         return total
 
@@ -253,64 +265,66 @@ class Chain:
         """Adds the expected counts of the texts to ``sums``."""
         owner, number, begin, length, parts = _cut(ends, PIECE)
         k = len(self.start)
-        emit = self.emit32()
-        before = np.zeros((len(owner), k), np.float32)  # the state before a piece, but for the first of a text
-        after = np.ones((len(owner), k), np.float32)  # what comes behind a piece, given its last state
+        emit = np.ascontiguousarray(self.emit32().T)
+        before = np.zeros((k, len(owner)), np.float32)  # the state before a piece, but for the first of a text
+        after = np.ones((k, len(owner)), np.float32)  # what comes behind a piece, given its last state
         several = np.nonzero(parts[owner] > 1)[0]
         if len(several):
-            product = np.zeros((len(owner), k, k), np.float32)
-            for at in range(0, len(several), TOGETHER):
-                own = several[at : at + TOGETHER]
-                product[own] = self._products(classes, begin[own], length[own], number[own] == 0, emit)[0]
+            product = np.zeros((k, k, len(owner)), np.float32)
+            product[:, :, several] = self._products(classes, begin[several], length[several], number[several] == 0, emit)[0]
             firsts = np.cumsum(parts) - parts
             for step in range(1, int(parts.max())):
                 texts = np.nonzero(parts > step)[0]
                 at = firsts[texts] + step
-                now = np.repeat(self.start[None, :].astype(np.float32), len(at), axis=0) if step == 1 else before[at - 1]
-                now = np.einsum("nk,nkl->nl", now, product[at - 1])
-                before[at] = now / now.sum(axis=1, keepdims=True)
+                now = np.repeat(self.start[:, None].astype(np.float32), len(at), axis=1) if step == 1 else before[:, at - 1]
+                now = np.einsum("jn,jln->ln", now, product[:, :, at - 1])
+                before[:, at] = now / now.sum(axis=0)
                 at = firsts[texts] + parts[texts] - step
-                now = np.einsum("nkl,nl->nk", product[at], after[at])
-                after[at - 1] = now / now.max(axis=1, keepdims=True)
+                now = np.einsum("jln,ln->jn", product[:, :, at], after[:, at])
+                after[:, at - 1] = now / now.max(axis=0)
         order = np.argsort(-length, kind="stable")
         for at in range(0, len(order), TOGETHER):
             own = order[at : at + TOGETHER]
-            self._expect(classes, begin[own], length[own], number[own] == 0, before[own], after[own], emit, sums)
+            self._expect(classes, begin[own], length[own], number[own] == 0, before[:, own], after[:, own], emit, sums)
 
     def _expect(self, classes: np.ndarray, begin: np.ndarray, length: np.ndarray, first: np.ndarray, before: np.ndarray, after: np.ndarray, emit: np.ndarray, sums: Sums) -> None:
-        k, longest = len(self.start), int(length.max())
-        alive = [int(np.searchsorted(-length, -t, side="left")) for t in range(longest)]
+        k, n = before.shape
+        steps, at = _lockstep(begin, length)
+        own = classes[at].astype(np.intp)
+        outs = np.take(emit, own, axis=1)
         moves = self.moves.astype(np.float32)
-        alpha, outs = [], []
-        now = np.where(first[:, None], self.start.astype(np.float32), before @ moves)
-        for t, m in enumerate(alive):
-            out = emit[classes[begin[:m] + t]]
-            now = (now if t == 0 else now[:m] @ moves) * out
-            now /= now.sum(axis=1, keepdims=True)
-            alpha.append(now)
-            outs.append(out)
-        beta = np.ones((0, k), np.float32)
+        forward = np.ascontiguousarray(moves.T)
+        alpha = np.empty_like(outs)
+        moved = np.where(first, self.start[:, None].astype(np.float32), forward @ before)
+        for t in range(len(steps) - 1):
+            a, b = steps[t], steps[t + 1]
+            if t:
+                np.matmul(forward, alpha[:, steps[t - 1] : steps[t - 1] + b - a], out=moved[:, : b - a])
+            now = alpha[:, a:b]
+            np.multiply(moved[:, : b - a], outs[:, a:b], out=now)
+            now /= np.add.reduce(now, axis=0)
+        beta = np.ones((k, 0), np.float32)
         pair = np.zeros((k, k))
-        for t in range(longest - 1, -1, -1):
-            m, on = alive[t], len(beta)
-            here = after[:m].copy()
+        for t in range(len(steps) - 2, -1, -1):
+            a, b, on = steps[t], steps[t + 1], beta.shape[1]
+            here, now = np.empty((k, b - a), np.float32), alpha[:, a:b]
+            here[:, on:] = after[:, on : b - a]
             if on:
-                follow = beta * outs[t + 1]
-                here[:on] = follow @ moves.T
-            norm = (alpha[t] * here).sum(axis=1, keepdims=True)
+                follow = beta * outs[:, b : b + on]
+                np.matmul(moves, follow, out=here[:, :on])
+            norm = np.add.reduce(now * here, axis=0)
             if on:
-                pair += (alpha[t][:on] / norm[:on]).T @ follow
-            beta = here / norm
-            sums.of_classes.append(classes[begin[:m] + t])
-            sums.weights.append(alpha[t] * beta)
+                pair += (now[:, :on] / norm[:on]) @ follow.T
+            beta = np.divide(here, norm, out=here)
+            now *= beta  # the states' weights from here on
         inner = ~first
         if inner.any():  # the moves into the pieces
-            follow = beta[inner] * outs[0][inner]
-            norm = (before[inner] * (follow @ moves.T)).sum(axis=1, keepdims=True)
-            pair += (before[inner] / norm).T @ follow
+            follow = beta[:, inner] * outs[:, :n][:, inner]
+            norm = (before[:, inner] * (moves @ follow)).sum(axis=0)
+            pair += (before[:, inner] / norm) @ follow.T
         sums.pair += pair * self.moves
-        sums.start += sums.weights[-1][first].sum(axis=0)
-        sums.gather()
+        sums.start += alpha[:, :n][:, first].sum(axis=1)
+        sums.add(own, alpha)
 
     def emit32(self) -> np.ndarray:
         # scaled, as rows of small numbers lose no digits that a ratio needs
@@ -337,15 +351,11 @@ class Sums:
     def __init__(self, classes: int, states: int) -> None:
         self.start, self.pair = np.zeros(states), np.zeros((states, states))
         self.emit = np.zeros((classes, states))
-        self.of_classes: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-
-    def gather(self) -> None:
-        if self.of_classes:
-            classes, weights = np.concatenate(self.of_classes), np.concatenate(self.weights)
-            for s in range(self.emit.shape[1]):
-                self.emit[:, s] += np.bincount(classes, weights[:, s], minlength=len(self.emit))
-            self.of_classes, self.weights = [], []
+
+    def add(self, classes: np.ndarray, weights: np.ndarray) -> None:
+        """Emissions of ``classes`` by their weights (state, token)."""
+        for s, own in enumerate(weights):
+            self.emit[:, s] += np.bincount(classes, own, minlength=len(self.emit))
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

@@ -184,3 +184,21 @@ def test_cases(spark, rows):
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, held_out boolean, text string, n long")
     got = hmm.score_documents(docs.select("doc_id", "held_out", "text")).collect()
     check_base(got, rows)
+
+
+def test_a_word_of_many_texts_is_hashed_once(spark, monkeypatch):
+    """Numbering works on the distinct words of a group of texts, not on every text's own."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(word):
+        calls.add(1)
+        return zlib.crc32(word)
+
+    monkeypatch.setattr(hmm, "crc32", counted)
+    docs = spark.createDataFrame([(i, False, " a A b\tC\n") for i in range(100)] + [(100, False, None), (101, False, "\x0b")], "doc_id long, held_out boolean, text string").coalesce(1)
+    base = hmm.learn_base(hmm.count_tokens(docs.select("text")), words=1, hashed=8)
+    rows = hmm.number_texts(docs, base).orderBy("doc_id").collect()
+    place = {w: 1 + zlib.crc32(w.encode()) % 8 for w in "bc"}
+    assert all(r.classes == [0, 0, place["b"], place["c"], base.end] and sorted(map(tuple, r.others)) == [("b", 1), ("c", 1)] for r in rows[:100])
+    assert all(r.classes == [base.end] and r.others == [] for r in rows[100:])
+    assert calls.value <= 3  # b, c and the empty piece that white space leaves at the ends; once a text would be 200
