@@ -37,6 +37,8 @@ POINT_BYTES = 64 << 20
 POINT_BLOCK = 65_536
 #: Points that are scored together.
 POINT_BATCH = 2048
+#: Pairs of a query and a point that are scored together: a worker's memory doesn't follow the number of queries.
+SCORED = 1 << 18
 #: Blocks of points for each partition that they are read in.
 POINT_PARTS = 4
 #: Pairs of a point and a query that are ranked without a bound, and a task's at least.
@@ -90,7 +92,11 @@ def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield at, vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), int(n))
 
 
-Block = dict[int, tuple[list, np.ndarray]]  # by length: ids and vectors of queries
+Block = dict[int, tuple[pa.Array, np.ndarray]]  # by length: ids and vectors of queries
+
+
+def _block(ids: pa.Array, vectors: pa.ListArray) -> Block:
+    return {v.shape[1]: (ids.take(pa.array(at)), v) for at, v in _by_length(vectors)}
 
 
 def _first(cost: np.ndarray, by_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +120,12 @@ def _best(asked: Block, points: pa.RecordBatch, name: str, sign: float, k: int)
                 continue
             ids, q = asked[v.shape[1]]
             own = batch.column(0).take(pa.array(at))
-            score = np.round(_scores(name, q, v), 6)
-            row, best = _first(sign * score, np.argsort(np.argsort(np.array(own.to_pylist()), kind="stable")), k)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in row.tolist()]), own.take(pa.array(best)), pa.array(score[row, best])], names=["query_id", "id", "score"])
+            by_id = np.argsort(np.argsort(np.array(own.to_pylist()), kind="stable"))
+            some = max(1, SCORED // len(at))
+            for first in range(0, len(q), some):
+                score = np.round(_scores(name, q[first : first + some], v), 6)
+                row, best = _first(sign * score, by_id, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(first + row)), own.take(pa.array(best)), pa.array(score[row, best])], names=["query_id", "id", "score"])
 
 
 def _ranked(found: DataFrame, k: int, larger: bool) -> DataFrame:
@@ -128,8 +137,7 @@ def _meeting(name: str, sign: float, k: int, larger: bool):
     """What a block of queries ``i, v`` and one of points ``id, v`` give: the ``k`` best points of each query."""
 
     def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        ids, vectors = mine.column("i").to_pylist(), mine.column("v").combine_chunks()
-        block = {v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)} if ids else {}
+        block = _block(mine.column("i").combine_chunks(), mine.column("v").combine_chunks()) if mine.num_rows else {}
         kind = pa.schema([("query_id", mine.schema.field("i").type), ("id", theirs.schema.field("id").type), ("score", pa.float64())])
         parts = [x for batch in theirs.select(["id", "v"]).combine_chunks().to_batches() for x in _best(block, batch, name, sign, k)]
         found = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x.columns, kind, strict=True)], schema=kind) for x in parts], schema=kind)
@@ -164,10 +172,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held.append(batch)
         size += batch.nbytes
         if size >= POINT_BYTES:
-            yield pa.Table.from_batches(held)
+            block = pa.Table.from_batches(held).combine_chunks()  # once, not again for every block of queries
             held, size = [], 0
+            yield block
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _dealt(c: str, n: Column | int) -> Column:
@@ -199,8 +208,7 @@ def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str,
     asked_id = from_arrow_type(asked.schema.field("i").type) if isinstance(asked, pa.Table) else asked.schema["i"].dataType
     schema = f"query_id {asked_id.simpleString()}, id {frame.schema['id'].dataType.simpleString()}, score double"
     if isinstance(asked, pa.Table):
-        ids, vectors = asked.column(0).to_pylist(), asked.column(1).combine_chunks()
-        shared = spark.sparkContext.broadcast({v.shape[1]: ([ids[r] for r in at], v) for at, v in _by_length(vectors)})
+        shared = spark.sparkContext.broadcast(_block(asked.column(0).combine_chunks(), asked.column(1).combine_chunks()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

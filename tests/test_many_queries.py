@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from lodestone.operators import batches, search
 
@@ -35,3 +38,24 @@ def test_workers_get_short_batches(spark):
         assert spark.conf.get(key) == "10"
     finally:
         spark.conf.set(key, before)
+
+
+def test_memory_of_scoring_does_not_follow_the_number_of_queries():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1000, 4))
+    points = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+
+    def peak(n):
+        q = rng.normal(size=(n, 4))
+        tracemalloc.start()
+        try:
+            found = [x.to_pydict() for x in search._best({4: (pa.array(range(n)), q)}, points, "DOT", -1.0, 1)]
+            most = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        best = {i: (j, s) for x in found for i, j, s in zip(*x.values(), strict=True)}
+        score = np.round(q @ v.T, 6)
+        assert len(best) == n and all(score[i, j] == score[i].max() == s for i, (j, s) in best.items())
+        return most
+
+    assert peak(4000) < 2 * peak(500)
