@@ -36,19 +36,28 @@ class Embedder(Protocol):
     def transform(self, df: DataFrame, text_col: str, out: str = "embedding") -> DataFrame: ...
 
 
+class Buckets(dict):
+    """The buckets of words; one that isn't known yet is found and remembered."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = int(md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return found
+
+
 class HashedEmbedder:
     def __init__(self, dim: int = 256, normalize: bool = True) -> None:
         self.dim, self.normalize = dim, normalize
         self.name = f"hashed-{dim}-{int(normalize)}"
 
-    def vectors(self, texts: list[str], known: dict[str, int]) -> np.ndarray:
+    def vectors(self, texts: list[str], known: Buckets) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for k, text in enumerate(texts):
             words = TOKEN.findall(text.lower())
-            for w in words:
-                if w not in known:
-                    known[w] = int(md5(w.encode()).hexdigest()[:8], 16) % self.dim
-            out[k] = np.bincount([known[w] for w in words], minlength=self.dim) if words else 0
+            if words:
+                out[k] = np.bincount(np.fromiter(map(known.__getitem__, words), np.intp, len(words)), minlength=self.dim)
         if self.normalize:
             size = np.sqrt((out * out).sum(axis=1, keepdims=True))
             out = np.divide(out, size, out=out, where=size > 0)
@@ -62,7 +71,7 @@ class HashedEmbedder:
         at = names.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[str, int] = {}
+            known = Buckets(self.dim)
             for whole in batches:
                 for k in range(0, whole.num_rows, BATCH):
                     batch = whole.slice(k, BATCH)

@@ -26,6 +26,8 @@ from .prompts import messages as message_list
 
 FILLER = "(?i)^\\s*(hello|hi|hey|please|could you|can you|tell me|i would like to know)[,!.:]*\\s+"
 LEAST_TEMPERATURE = 1e-5
+#: What :func:`strip` takes off; the many sentences of passages lose it without a regular expression.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Generator(Protocol):
@@ -35,7 +37,13 @@ class Generator(Protocol):
 
 
 def words(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
+    """The words of a text, repeats included."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; an expression that it names itself is computed wherever it is named, in a lambda each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -47,13 +55,14 @@ class Extractive:
         return F.concat(F.lit('"'), strip(plain), F.lit('"'))
 
     def answer(self, question: Column, hits: Column) -> Column:
-        asked = words(question)
-        sentences = lambda h: F.filter(F.transform(F.split(F.coalesce(h.text, F.lit("")), r"(?<=[.!?])\s+"), strip), lambda s: s != "")
-        scored = F.flatten(
-            F.transform(hits, lambda h, r: F.transform(sentences(h), lambda s, k: F.struct((-F.size(F.array_intersect(words(s), asked))).alias("shared"), r.alias("r"), k.alias("k"), s.alias("s"), F.coalesce(h.source, F.lit("")).alias("source"))))
+        sentences = lambda h: F.filter(F.transform(F.split(F.coalesce(h.text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.btrim(s, F.lit(WHITE))), lambda s: s != "")
+        # an intersection has no repeats
+        shared = lambda s, asked: -F.size(F.array_intersect(words(s), asked))
+        scored = lambda asked: F.flatten(
+            F.transform(hits, lambda h, r: F.transform(sentences(h), lambda s, k: F.struct(shared(s, asked).alias("shared"), r.alias("r"), k.alias("k"), s.alias("s"), F.coalesce(h.source, F.lit("")).alias("source"))))
         )
-        best = F.array_min(scored)
-        return F.when(F.coalesce(best.shared, F.lit(0)) < 0, F.concat(best.s, F.lit(" (Source: "), best.source, F.lit(")"))).otherwise(REFUSAL)
+        said = lambda best: F.when(F.coalesce(best.shared, F.lit(0)) < 0, F.concat(best.s, F.lit(" (Source: "), best.source, F.lit(")"))).otherwise(REFUSAL)
+        return let(F.array_distinct(words(question)), lambda asked: let(F.array_min(scored(asked)), said))
 
 
 Send = Callable[[str, dict[str, str], dict], dict]

@@ -4,16 +4,16 @@
 ``search_many`` answers any number in one plan.  A block of at most
 ``QUERY_BLOCK`` queries is sent to the points, which are scored where they lie
 (Arrow, one matrix product a batch).  More queries are kept in a table in the
-shared folder, which every block of points reads in pieces where it lies: neither
-points nor queries are shuffled or pass the driver.  The best of every block go
-on to a top-k per query.  Equal scores, to six digits, go to the
-smaller id.  A vector that is null or empty, holds nulls or has another length
+shared folder, and so are the points: a task reads a block of queries and a share
+of the points where they lie, so that neither are shuffled or pass the driver.
+By cosine and dot product it scores all its pairs in single precision, and those
+in reach of a query's k best so far in double precision.  The best of every task
+go on to a top-k per query.  Equal scores, to six digits, go to the smaller id.  A vector that is null or empty, holds nulls or has another length
 than its counterpart takes no part.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from math import isqrt
 
@@ -30,9 +30,14 @@ from lodestone.operators.store import settled
 
 #: Queries that are sent to the points together.
 QUERY_BLOCK = 4096
-#: Queries of a kept table, and bytes of points, that meet at a time in a worker.
-MET_QUERIES = 1024
-POINT_BYTES = 64 << 20
+#: Blocks of queries of a kept table that a task has, and queries of them that meet a batch of points at a time.
+QUERY_BLOCKS = 4
+MET_QUERIES = 512
+#: Tasks for each core at least, if there are points enough, and points of a file that they read.
+TASKS = 6
+POINT_FILE = 16_384
+#: Points of a batch in reach of a query, as multiples of the k wanted, above which it is scored against all of the batch.
+CROWD = 8
 #: Points of a block on average that meets a block of queries.
 POINT_BLOCK = 65_536
 #: Points that are scored together.
@@ -149,34 +154,155 @@ def _meeting(name: str, sign: float, k: int, larger: bool):
     return meet
 
 
-def _root(kept: DataFrame) -> str:
-    """The folder of a table that :func:`settled` has written."""
-    return os.path.dirname(kept.inputFiles()[0])
-
-
-def _kept_queries(path: str) -> Iterator[pa.Table]:
-    """The queries ``i, v`` of a table in the shared folder, a block at a time."""
-    from pyarrow import dataset, fs
-
-    system, root = fs.FileSystem.from_uri(path)
-    # little is read ahead: blocks are wanted one after the other
-    for batch in dataset.dataset(root, filesystem=system, format="parquet").to_batches(columns=["i", "v"], batch_size=MET_QUERIES, batch_readahead=1, fragment_readahead=1, use_threads=False):
-        if batch.num_rows:
-            yield pa.table({"i": batch.column(0), "v": batch.column(1)})
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Points ``id, v`` in blocks of about ``POINT_BYTES``."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= POINT_BYTES:
-            block = pa.Table.from_batches(held).combine_chunks()  # once, not again for every block of queries
-            held, size = [], 0
-            yield block
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+def _files(kept: DataFrame) -> list[tuple[str, int]]:
+    """The files of a table that :func:`settled` has written and their numbers of rows; none that is empty."""
+    from pyarrow import fs, parquet
+
+    out = []
+    for uri in kept.inputFiles():
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            out.append((uri, parquet.read_metadata(file).num_rows))
+    return [f for f in out if f[1]]
+
+
+def _shares(files: list[tuple[str, int]], n: int) -> list[list[str]]:
+    """The files in at most ``n`` groups of about as many rows."""
+    out: list[tuple[int, list[str]]] = [(0, []) for _ in range(min(n, len(files)))]
+    for uri, rows in sorted(files, key=lambda f: (-f[1], f[0])):
+        at = min(range(len(out)), key=lambda i: out[i][0])
+        out[at] = out[at][0] + rows, [*out[at][1], uri]
+    return [own for _, own in out]
+
+
+def _batches(files: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """The two columns of the files of a kept table, in batches of at most ``rows`` rows."""
+    from pyarrow import fs, parquet
+
+    for uri in files:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            yield from parquet.ParquetFile(file).iter_batches(rows, use_threads=False)
+
+
+class _Held:
+    """The ``k`` best points so far of each of a block of queries of one length."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, name: str, sign: float, k: int) -> None:
+        self.ids, self.q, self.name, self.sign, self.k = ids, q, name, sign, k
+        self.size = np.linalg.norm(q, axis=1)
+        self.unit = np.divide(q, self.size[:, None], out=np.zeros_like(q), where=self.size[:, None] > 0).astype(np.float32)
+        self.least = np.full(len(q), -np.inf)  # the worst score of k points; without k, none
+        self.parts: list[pa.Table] = []
+        self.new = self.seen = self.due = 0
+
+    def meet(self, own: pa.Array, v: np.ndarray) -> None:
+        order = pc.sort_indices(own).to_numpy(zero_copy_only=False)
+        by_id = np.empty(len(order), np.int64)
+        by_id[order] = np.arange(len(order))
+        every = np.arange(len(self.q))
+        if self.name in ("COSINE", "DOT"):
+            size = np.linalg.norm(v, axis=1)
+            plain = np.isfinite(size)  # what isn't goes by double precision alone
+            if not plain.all():
+                odd = np.flatnonzero(~plain)
+                self._all(every, own.take(pa.array(odd)), v[odd], by_id[odd])
+            at = np.flatnonzero(plain)
+            if len(at):
+                own, v, by_id, size = (own, v, by_id, size) if len(at) == len(v) else (own.take(pa.array(at)), v[at], by_id[at], size[at])
+                self._all(np.flatnonzero(~np.isfinite(self.size)), own, v, by_id)
+                self._near(own, v, size, by_id)
+        else:
+            self._all(every, own, v, by_id)
+        self.seen += len(v)
+        if self.seen >= self.due:
+            self.settle()
+            self.due = 2 * self.seen
+
+    def _all(self, at: np.ndarray, own: pa.Array, v: np.ndarray, by_id: np.ndarray) -> None:
+        some = max(1, SCORED // len(v))
+        for part in (at[first : first + some] for first in range(0, len(at), some)):
+            score = np.round(_scores(self.name, self.q[part], v), 6)
+            row, best = _first(self.sign * score, by_id, self.k)
+            self._keep(part[row], own.take(pa.array(best)), score[row, best])
+
+    def _near(self, own: pa.Array, v: np.ndarray, size: np.ndarray, by_id: np.ndarray) -> None:
+        """Scores in single precision are off by ``reach`` at most, for vectors no longer than 1; what they leave open is scored again."""
+        k, cosine = self.k, self.name == "COSINE"
+        longest = size.max()
+        by = size[:, None] if cosine else longest
+        unit = np.ascontiguousarray(np.divide(v, by, out=np.zeros_like(v), where=by > 0).T, dtype=np.float32)
+        reach = (v.shape[1] + 8) * 2.0**-24
+        for first in range(0, len(self.q), MET_QUERIES):
+            at = slice(first, first + MET_QUERIES)
+            scale = (self.size[at] > 0).astype(float) if cosine else self.size[at] * longest
+            level = scale == 0  # all points are equally good
+            near = self.unit[at] @ unit
+            with np.errstate(divide="ignore", invalid="ignore"):
+                slack = 1e-6 / scale + 2 * reach
+                bound = self.least[at] / scale - slack
+                new = ~level & np.isneginf(self.least[at])
+                if new.any() and near.shape[1] > k:
+                    bound[new] = np.partition(near[new], -k, axis=1)[:, -k] - slack[new]
+            bound[level | ~np.isfinite(self.size[at])] = np.inf
+            some = np.flatnonzero(near.max(axis=1) >= bound)
+            inside = near[some] >= bound[some, None]
+            crowd = np.count_nonzero(inside, axis=1) > CROWD * k
+            self._all(first + some[crowd], own, v, by_id)
+            row, column = np.nonzero(inside[~crowd])
+            row = first + some[~crowd][row]
+            for start in range(0, len(row), SCORED // 16):
+                r, c = row[start : start + SCORED // 16], column[start : start + SCORED // 16]
+                score = np.einsum("ij,ij->i", self.q[r], v[c])
+                if cosine:
+                    both = self.size[r] * size[c]
+                    score = np.divide(score, both, out=np.zeros_like(score), where=both > 0)
+                self._checked(r, c, np.round(score, 6), own)
+            if level.any():
+                r, c = (x.ravel() for x in np.meshgrid(first + np.flatnonzero(level), np.argsort(by_id)[:k], indexing="ij"))
+                self._checked(r, c, np.zeros(len(r)), own)
+
+    def _checked(self, row: np.ndarray, column: np.ndarray, score: np.ndarray, own: pa.Array) -> None:
+        good = score >= self.least[row]
+        self._keep(row[good], own.take(pa.array(column[good])), score[good])
+
+    def _keep(self, row: np.ndarray, own: pa.Array, score: np.ndarray) -> None:
+        if not len(row):
+            return
+        self.parts.append(pa.table({"row": pa.array(row), "id": own, "score": pa.array(score)}))
+        self.new += len(row)
+        if self.new > max(SCORED, 4 * self.k * len(self.q)):
+            self.settle()
+
+    def settle(self) -> None:
+        """What was found goes down to the ``k`` best."""
+        if not self.new:
+            return
+        found = pa.concat_tables(self.parts)
+        found = found.sort_by([("row", "ascending"), ("score", "descending" if self.sign < 0 else "ascending"), ("id", "ascending")])
+        row = found.column("row").to_numpy()
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == self.k - 1
+        self.least[row[last]] = np.nan_to_num(found.column("score").to_numpy()[last], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        self.parts, self.new = [found.filter(pa.array(rank < self.k)).combine_chunks()], 0
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        self.settle()
+        for part in self.parts:
+            for batch in part.to_batches(10_000):
+                yield pa.RecordBatch.from_arrays([self.ids.take(batch.column(0)), batch.column(1), batch.column(2)], names=["query_id", "id", "score"])
+
+
+def _passed(queries: list[str], points: list[str], name: str, sign: float, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best points of each query, both ``id, vector`` in files of kept tables."""
+    asked = pa.Table.from_batches(list(_batches(queries, QUERY_BLOCK)))
+    held = {n: _Held(*own, name, sign, k) for n, own in _block(*(c.combine_chunks() for c in asked.columns)).items()}
+    for batch in _batches(points, POINT_BATCH):
+        for at, v in _by_length(batch.column(1)):
+            if v.shape[1] in held:
+                held[v.shape[1]].meet(batch.column(0).take(pa.array(at)), v)
+    for own in held.values():
+        yield from own.best()
 
 
 def _dealt(c: str, n: Column | int) -> Column:
@@ -190,12 +316,12 @@ def _each(n: Column | int) -> Column:
 def search_many(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` best points of every query; ``queries(query_id, embedding)``.
 
-    More queries than a block are encoded into a table of their own; points are
-    only read to be scored, never to be counted.
+    More queries than a block are encoded into a table of their own, and the
+    points into another, which tasks read by blocks and shares.
     """
     asked = _whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v")))
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
-    return _search(points, few if few.num_rows <= QUERY_BLOCK else settled(asked), k, metric, id_col, vector_col)
+    return _search(points, few if few.num_rows <= QUERY_BLOCK else settled(asked, QUERY_BLOCK), k, metric, id_col, vector_col)
 
 
 def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
@@ -216,14 +342,17 @@ def _search(points: DataFrame, asked: DataFrame | pa.Table, k: int, metric: str,
 
         return _ranked(frame.mapInArrow(releasing(run), schema), k, larger)
 
-    path, meet = _root(asked), _meeting(name, sign, k, larger)
+    mine, theirs = _files(asked), _files(settled(frame, POINT_FILE))
+    queries = _shares(mine, -(-sum(n for _, n in mine) // (QUERY_BLOCKS * QUERY_BLOCK)))
+    shares = _shares(theirs, -(-TASKS * spark.sparkContext.defaultParallelism // len(queries)))
 
     def pass_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _gathered(batches):
-            for queries in _kept_queries(path):
-                yield from meet(queries, block).to_batches()
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                yield from _passed(queries[task // len(shares)], shares[task % len(shares)], name, sign, k)
 
-    return _ranked(frame.mapInArrow(releasing(pass_by), schema), k, larger)
+    tasks = len(queries) * len(shares)
+    return _ranked(spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(releasing(pass_by), schema), k, larger)
 
 
 def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "Cosine", id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", by: str = "location") -> DataFrame:
@@ -238,7 +367,7 @@ def search_by_location(points: DataFrame, queries: DataFrame, k: int = 10, metri
     asked = settled(_whole(queries.select(F.col(query_id).alias("i"), F.col(vector_col).cast("array<double>").alias("v"), F.nullif(F.col(by), F.lit("")).alias("place"))))
     everywhere = asked.where("place IS NULL").select("i", "v")
     few = everywhere.limit(QUERY_BLOCK + 1).toArrow()
-    found = _search(points, few if few.num_rows <= QUERY_BLOCK else settled(everywhere), k, metric, id_col, vector_col)
+    found = _search(points, few if few.num_rows <= QUERY_BLOCK else settled(everywhere, QUERY_BLOCK), k, metric, id_col, vector_col)
     bound = asked.where("place IS NOT NULL")
     questions = bound.groupBy("place").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("n_q"))
     names = [r.place for r in questions.select("place").limit(NAMED + 1).collect()]

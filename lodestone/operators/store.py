@@ -38,10 +38,10 @@ def work_dir(spark: SparkSession) -> str:
     return os.path.join(root, uuid.uuid4().hex)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, where its lineage ends."""
+def settled(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+    """``df`` as a table in the shared folder, where its lineage ends; its files have at most ``rows_per_file`` rows, or any number."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
