@@ -249,7 +249,7 @@ class _Held:
             inside = near[some] >= bound[some, None]
             crowd = np.count_nonzero(inside, axis=1) > CROWD * k
             self._all(first + some[crowd], own, v, by_id)
-            row, column = np.nonzero(inside[~crowd])
+            row, column = divmod(np.flatnonzero(inside[~crowd]), near.shape[1])
             row = first + some[~crowd][row]
             for start in range(0, len(row), SCORED // 16):
                 r, c = row[start : start + SCORED // 16], column[start : start + SCORED // 16]
